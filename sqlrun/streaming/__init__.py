@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The library runs batch Spark SQL only: its one reader and its one writer are
+batch Parquet, and a batch temp view cannot be the source of a streaming
+query.  Batch time windows (tumbling, sliding, session) are plain SQL and are
+covered by the query catalogue.
+"""
