@@ -1 +1,353 @@
-"""SQL-surface acceptance queries (filled below)."""
+"""SQL-surface acceptance queries.
+
+The library adds no SQL operators of its own: joins, aggregates, windows, set
+operations and functions are Spark SQL text run by ``sqlrun.run`` over the
+registered datasets.  One query per construct family shows the text reaches
+Spark intact through the pipeline (flat scans for the TPC-H tables, the
+partition-list scan for `events`).  Queries avoid unbounded per-group work:
+window partitions and collected arrays are bounded by the data model
+(lines per order, orders per customer, event types per user).
+"""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import SparkSession
+
+from . import fixtures as fx
+from . import register
+from .common import DUCK_EV, events_ds, flat, run_sql, tpch
+
+
+def _sql(name: str, spark_sql: str, duck_sql: str | None, tables: tuple[str, ...] = (),
+         events: bool = False, extra: Callable[[SparkSession, str], dict] | None = None) -> None:
+    def fn(spark: SparkSession, sf: str):
+        ds = tpch(sf, *tables)
+        if events:
+            ds.append(events_ds(spark, sf))
+        kw = extra(spark, sf) if extra else {}
+        text = spark_sql.replace("{SF}", sf)
+        return run_sql(spark, ds, text, **kw)
+    fn.__name__ = name
+    register(name, duck_sql)(fn)
+
+
+# ----------------------------------------------------------- sources
+_sql("sql_direct_file",
+     "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS sum_qty "
+     "FROM parquet.`{SF}/lineitem.parquet` GROUP BY 1, 2",
+     "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS sum_qty "
+     "FROM lineitem GROUP BY 1, 2", ("region",))
+
+_sql("sql_values",
+     "SELECT s.label, COUNT(*) AS n FROM orders o JOIN "
+     "(VALUES ('F', 'fulfilled'), ('O', 'open'), ('P', 'partial')) AS s(code, label) "
+     "ON o.o_orderstatus = s.code GROUP BY s.label",
+     "SELECT s.label, COUNT(*) AS n FROM orders o JOIN "
+     "(VALUES ('F', 'fulfilled'), ('O', 'open'), ('P', 'partial')) AS s(code, label) "
+     "ON o.o_orderstatus = s.code GROUP BY s.label", ("orders",))
+
+_sql("sql_range",
+     "SELECT CAST(r.id AS BIGINT) AS line_no, COUNT(l.l_orderkey) AS n "
+     "FROM range(1, 9) r LEFT JOIN lineitem l ON l.l_linenumber = r.id GROUP BY r.id",
+     "SELECT CAST(r.id AS BIGINT) AS line_no, COUNT(l.l_orderkey) AS n "
+     "FROM range(1, 9) r(id) LEFT JOIN lineitem l ON l.l_linenumber = r.id GROUP BY r.id",
+     ("lineitem",))
+
+
+def _csv_view(spark: SparkSession, sf: str) -> dict:
+    path = fx.part_csv(spark, sf)
+    return {"views": [{"name": "part_csv", "sql":
+                       "CREATE TEMPORARY VIEW part_csv (p_partkey BIGINT, p_name STRING, "
+                       "p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE) "
+                       f"USING csv OPTIONS (path '{path}', header 'true')"}]}
+
+
+_sql("sql_view_using_csv",
+     "SELECT p_type, COUNT(*) AS n, MAX(p_retailprice) AS max_price, "
+     "CAST(SUM(p_size) AS BIGINT) AS sum_size FROM part_csv GROUP BY p_type",
+     "SELECT p_type, COUNT(*) AS n, MAX(p_retailprice) AS max_price, "
+     "CAST(SUM(p_size) AS BIGINT) AS sum_size FROM part GROUP BY p_type",
+     ("region",), extra=_csv_view)
+
+# -------------------------------------------------- projection, filter
+_PRED = ("SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders "
+         "WHERE (o_orderstatus IN ('F', 'P') OR o_totalprice BETWEEN 100000 AND 200000) "
+         "AND o_orderpriority LIKE '%HIGH%' AND NOT (o_custkey IS NULL) "
+         "GROUP BY o_orderpriority, o_orderstatus")
+_sql("sql_predicates", _PRED, _PRED, ("orders",))
+
+_CASE = ("SELECT CASE WHEN l_discount >= 0.08 THEN 'deep' WHEN l_discount >= 0.04 THEN 'mid' "
+         "ELSE 'none' END AS band, IF(l_tax > 0.04, 'taxed', 'light') AS tax_band, "
+         "COALESCE(NULLIF(l_returnflag, 'N'), 'none') AS flag, COUNT(*) AS n "
+         "FROM lineitem GROUP BY 1, 2, 3")
+_sql("sql_case", _CASE, _CASE, ("lineitem",))
+
+_DISTINCT = "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"
+_sql("sql_distinct", _DISTINCT, _DISTINCT, ("orders",))
+
+_CTE = ("WITH big AS (SELECT o_custkey, o_orderpriority FROM orders "
+        "WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)) "
+        "SELECT o_orderpriority, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS customers "
+        "FROM big GROUP BY o_orderpriority")
+_sql("sql_cte_scalar", _CTE, _CTE, ("orders",))
+
+# ---------------------------------------------------------------- joins
+_SEMI = ("SELECT c_mktsegment, COUNT(*) AS n FROM customer c "
+         "WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) "
+         "AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey "
+         "AND o.o_orderstatus = 'F') GROUP BY c_mktsegment")
+_sql("sql_semi_join", _SEMI, _SEMI, ("customer", "orders"))
+
+_ANTI = ("SELECT c_mktsegment, COUNT(*) AS n FROM customer c WHERE NOT EXISTS "
+         "(SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000) "
+         "GROUP BY c_mktsegment")
+_sql("sql_anti_join", _ANTI, _ANTI, ("customer", "orders"))
+
+_LEFT = ("SELECT c.c_custkey, c.c_mktsegment, COUNT(o.o_orderkey) AS n_big "
+         "FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey "
+         "AND o.o_totalprice > 450000 GROUP BY c.c_custkey, c.c_mktsegment")
+_sql("sql_left_join", _LEFT, _LEFT, ("customer", "orders"))
+
+_RIGHT = ("SELECT n.n_name, COUNT(s.s_suppkey) AS suppliers FROM supplier s "
+          "RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 "
+          "GROUP BY n.n_name")
+_sql("sql_right_join", _RIGHT, _RIGHT, ("supplier", "nation"))
+
+_FULL = ("WITH a AS (SELECT o_custkey AS k, COUNT(*) AS n_big FROM orders "
+         "WHERE o_totalprice > 450000 GROUP BY o_custkey), "
+         "b AS (SELECT c_custkey AS k, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') "
+         "SELECT COALESCE(a.k, b.k) AS k, a.n_big, b.c_acctbal FROM a FULL OUTER JOIN b ON a.k = b.k")
+_sql("sql_full_join", _FULL, _FULL, ("customer", "orders"))
+
+_THETA = ("SELECT o.o_orderpriority, COUNT(*) AS n FROM orders o JOIN customer c "
+          "ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 40 "
+          "GROUP BY o.o_orderpriority")
+_sql("sql_theta_join", _THETA, _THETA, ("orders", "customer"))
+
+_LATERAL = ("SELECT c.c_custkey, t.n_orders, t.max_price FROM customer c, "
+            "LATERAL (SELECT COUNT(*) AS n_orders, MAX(o.o_totalprice) AS max_price "
+            "FROM orders o WHERE o.o_custkey = c.c_custkey) t")
+_sql("sql_lateral_join", _LATERAL, _LATERAL, ("customer", "orders"))
+
+_INTERVAL = ("SELECT o.o_orderpriority, COUNT(*) AS n FROM orders o JOIN lineitem l "
+             "ON l.l_orderkey = o.o_orderkey "
+             "AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL '60' DAY "
+             "GROUP BY o.o_orderpriority")
+_sql("sql_interval_join", _INTERVAL, _INTERVAL, ("orders", "lineitem"))
+
+# ---------------------------------------------------------- aggregation
+_AGGF = ("SELECT l_returnflag, COUNT(*) FILTER (WHERE l_discount > 0.05) AS n_disc, "
+         "ROUND(SUM(l_quantity) FILTER (WHERE l_tax > 0.04), 2) AS q_taxed, "
+         "MIN(l_extendedprice) AS min_price, MAX(l_extendedprice) AS max_price, "
+         "ROUND(AVG(l_quantity), 6) AS avg_qty FROM lineitem GROUP BY l_returnflag")
+_sql("sql_agg_filter", _AGGF, _AGGF, ("lineitem",))
+
+_HAVING = ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey "
+           "HAVING COUNT(*) >= 15")
+_sql("sql_having", _HAVING, _HAVING, ("orders",))
+
+_ROLLUP = ("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, "
+           "CAST(GROUPING(l_linestatus) AS INT) AS g FROM lineitem "
+           "GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_sql("sql_rollup", _ROLLUP, _ROLLUP, ("lineitem",))
+
+_CUBE = ("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders "
+         "GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_sql("sql_cube", _CUBE, _CUBE, ("orders",))
+
+_GSETS = ("SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer "
+          "GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+_sql("sql_grouping_sets", _GSETS, _GSETS, ("customer",))
+
+_sql("sql_pivot",
+     "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) "
+     "PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
+     "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, "
+     "COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS o, "
+     "COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority",
+     ("orders",))
+
+_sql("sql_unpivot",
+     "SELECT l_orderkey, l_linenumber, measure, amount FROM "
+     "(SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem) "
+     "UNPIVOT (amount FOR measure IN (l_quantity AS quantity, l_extendedprice AS price))",
+     "SELECT l_orderkey, l_linenumber, 'quantity' AS measure, l_quantity AS amount FROM lineitem "
+     "UNION ALL SELECT l_orderkey, l_linenumber, 'price', l_extendedprice FROM lineitem",
+     ("lineitem",))
+
+# approximate: answers may differ slightly from the exact ones -> rows-only
+_sql("sql_approx",
+     "SELECT event_type, approx_count_distinct(user_id) AS approx_users, "
+     "percentile_approx(value, 0.5) AS approx_median FROM ev GROUP BY event_type",
+     None, events=True)
+
+_sql("sql_collect",
+     "SELECT user_id, array_join(array_sort(collect_set(event_type)), ',') AS types, "
+     "COUNT(*) AS n FROM ev GROUP BY user_id",
+     f"WITH {DUCK_EV} SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') "
+     "AS types, COUNT(*) AS n FROM ev GROUP BY user_id", events=True)
+
+# -------------------------------------------------------------- windows
+_RANK = ("SELECT o_orderkey, o_custkey, "
+         "CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn, "
+         "CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS BIGINT) AS rk, "
+         "CAST(DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS BIGINT) AS drk, "
+         "CAST(NTILE(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS quartile "
+         "FROM orders")
+_sql("sql_window_rank", _RANK, _RANK, ("orders",))
+
+_W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_LAG = (f"SELECT o_orderkey, LAG(o_totalprice) OVER ({_W}) AS prev_price, "
+        f"LEAD(o_orderkey) OVER ({_W}) AS next_order, "
+        f"FIRST_VALUE(o_orderkey) OVER ({_W}) AS first_order, "
+        f"LAST_VALUE(o_orderkey) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_order, "
+        f"NTH_VALUE(o_orderkey, 2) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_order "
+        "FROM orders")
+_sql("sql_window_lag", _LAG, _LAG, ("orders",))
+
+_LW = ("PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, "
+       "l_extendedprice")
+_ROWS = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
+         f"SUM(l_quantity) OVER ({_LW} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS qty_2, "
+         f"SUM(l_quantity) OVER ({_LW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+         "AS qty_running FROM lineitem")
+_sql("sql_window_rows", _ROWS, _ROWS, ("lineitem",))
+
+_RANGE = ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate "
+          "RANGE BETWEEN INTERVAL '365' DAY PRECEDING AND CURRENT ROW) AS orders_past_year, "
+          "ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice "
+          "RANGE BETWEEN 50000 PRECEDING AND 50000 FOLLOWING), 2) AS similar_total FROM orders")
+_sql("sql_window_range", _RANGE, _RANGE, ("orders",))
+
+# -------------------------------------------------------- sort / limit
+_TOPK = ("SELECT o_orderkey, o_custkey, o_totalprice FROM orders "
+         "ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+_sql("sql_topk", _TOPK, _TOPK, ("orders",))
+
+_OFFSET = ("SELECT o_orderkey, o_totalprice FROM orders "
+           "ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+_sql("sql_offset", _OFFSET, _OFFSET, ("orders",))
+
+# LIMIT alone picks no particular rows: row count only.
+_sql("sql_limit", "SELECT * FROM lineitem LIMIT 10", None, ("lineitem",))
+
+# ------------------------------------------------------ set operations
+_UNION_ALL = ("SELECT c_nationkey AS nationkey, 'customer' AS side FROM customer "
+              "UNION ALL SELECT s_nationkey, 'supplier' FROM supplier")
+_sql("sql_union_all", _UNION_ALL, _UNION_ALL, ("customer", "supplier"))
+
+_UNION = "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"
+_sql("sql_union", _UNION, _UNION, ("customer", "supplier"))
+
+_INTERSECT = ("SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000 "
+              "INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+_sql("sql_intersect", _INTERSECT, _INTERSECT, ("orders", "customer"))
+
+_INTERSECT_ALL = ("SELECT c_nationkey AS k FROM customer "
+                  "INTERSECT ALL SELECT s_nationkey FROM supplier")
+_sql("sql_intersect_all", _INTERSECT_ALL, _INTERSECT_ALL, ("customer", "supplier"))
+
+_EXCEPT = ("SELECT c_custkey AS k FROM customer EXCEPT "
+           "SELECT o_custkey FROM orders WHERE o_totalprice > 450000")
+_sql("sql_except", _EXCEPT, _EXCEPT, ("customer", "orders"))
+
+_EXCEPT_ALL = "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"
+_sql("sql_except_all", _EXCEPT_ALL, _EXCEPT_ALL, ("customer", "supplier"))
+
+# ------------------------------------------------------------ functions
+_sql("sql_string",
+     "SELECT c_custkey, upper(c_mktsegment) AS seg_upper, lower(c_name) AS name_lower, "
+     "substring(c_name, 1, 8) AS name_prefix, concat(c_mktsegment, '-', CAST(c_nationkey AS STRING)) AS seg_nation, "
+     "CAST(length(c_name) AS BIGINT) AS name_len, regexp_replace(c_name, '[0-9]', '#') AS masked, "
+     "regexp_extract(c_name, '([0-9]+)$', 1) AS digits, trim(concat('  ', c_mktsegment, ' ')) AS trimmed, "
+     "lpad(CAST(c_nationkey AS STRING), 3, '0') AS padded, replace(c_name, 'Customer', 'C') AS short_name "
+     "FROM customer",
+     "SELECT c_custkey, upper(c_mktsegment) AS seg_upper, lower(c_name) AS name_lower, "
+     "substring(c_name, 1, 8) AS name_prefix, concat(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR)) AS seg_nation, "
+     "CAST(length(c_name) AS BIGINT) AS name_len, regexp_replace(c_name, '[0-9]', '#', 'g') AS masked, "
+     "regexp_extract(c_name, '([0-9]+)$', 1) AS digits, trim(concat('  ', c_mktsegment, ' ')) AS trimmed, "
+     "lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS padded, replace(c_name, 'Customer', 'C') AS short_name "
+     "FROM customer", ("customer",))
+
+_sql("sql_date",
+     "SELECT CAST(CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS STRING) AS month, "
+     "CAST(year(o_orderdate) AS INT) AS yr, CAST(quarter(o_orderdate) AS INT) AS qtr, "
+     "COUNT(*) AS n, MIN(CAST(date_add(CAST(o_orderdate AS DATE), 30) AS STRING)) AS first_due, "
+     "MAX(datediff(DATE'2002-01-01', CAST(o_orderdate AS DATE))) AS max_age_days "
+     "FROM orders GROUP BY 1, 2, 3",
+     "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month, "
+     "CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(quarter(o_orderdate) AS INTEGER) AS qtr, "
+     "COUNT(*) AS n, MIN(CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR)) AS first_due, "
+     "CAST(MAX(datediff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01')) AS INTEGER) AS max_age_days "
+     "FROM orders GROUP BY 1, 2, 3", ("orders",))
+
+_sql("sql_math",
+     "SELECT l_returnflag, "
+     "CAST(SUM(CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(15, 2)))) AS DOUBLE) AS revenue, "
+     "CAST(SUM(floor(l_quantity / 7)) AS BIGINT) AS sevens, CAST(SUM(ceil(l_extendedprice / 1000)) AS BIGINT) AS thousands, "
+     "CAST(SUM(CAST(l_quantity AS BIGINT) % 7) AS BIGINT) AS mod7, ROUND(MAX(sqrt(l_quantity)), 6) AS max_sqrt, "
+     "ROUND(MAX(power(l_quantity, 2)), 2) AS max_sq, ROUND(MIN(abs(l_extendedprice - 10000)), 2) AS near_10k "
+     "FROM lineitem GROUP BY l_returnflag",
+     "SELECT l_returnflag, "
+     "CAST(SUM(CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(15, 2)))) AS DOUBLE) AS revenue, "
+     "CAST(SUM(floor(l_quantity / 7)) AS BIGINT) AS sevens, CAST(SUM(ceil(l_extendedprice / 1000)) AS BIGINT) AS thousands, "
+     "CAST(SUM(CAST(l_quantity AS BIGINT) % 7) AS BIGINT) AS mod7, ROUND(MAX(sqrt(l_quantity)), 6) AS max_sqrt, "
+     "ROUND(MAX(power(l_quantity, 2)), 2) AS max_sq, ROUND(MIN(abs(l_extendedprice - 10000)), 2) AS near_10k "
+     "FROM lineitem GROUP BY l_returnflag", ("lineitem",))
+
+_sql("sql_array",
+     "SELECT p_partkey, CAST(size(split(p_name, ' ')) AS BIGINT) AS n_words, "
+     "element_at(split(p_name, ' '), 1) AS first_word, "
+     "array_join(transform(split(p_name, ' '), w -> upper(w)), '_') AS upper_words, "
+     "array_contains(split(p_name, ' '), 'bolt') AS is_bolt FROM part",
+     "SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS n_words, "
+     "string_split(p_name, ' ')[1] AS first_word, "
+     "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w)), '_') AS upper_words, "
+     "list_contains(string_split(p_name, ' '), 'bolt') AS is_bolt FROM part", ("part",))
+
+_sql("sql_map",
+     "SELECT element_at(map('F', 'fulfilled', 'O', 'open', 'P', 'partial'), o_orderstatus) AS status, "
+     "COUNT(*) AS n FROM orders GROUP BY 1",
+     "SELECT MAP {'F': 'fulfilled', 'O': 'open', 'P': 'partial'}[o_orderstatus] AS status, "
+     "COUNT(*) AS n FROM orders GROUP BY 1", ("orders",))
+
+_sql("sql_json",
+     "SELECT event_type, CAST(SUM(CAST(get_json_object(props, '$.k') AS INT)) AS BIGINT) AS sum_k, "
+     "MAX(from_json(props, 'k INT').k) AS max_k FROM ev GROUP BY event_type",
+     f"WITH {DUCK_EV} SELECT event_type, CAST(SUM(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k, "
+     "MAX(CAST(json_extract(props, '$.k') AS INTEGER)) AS max_k FROM ev GROUP BY event_type",
+     events=True)
+
+_sql("sql_explode",
+     "SELECT word, COUNT(*) AS n FROM part LATERAL VIEW explode(split(p_name, ' ')) w AS word "
+     "GROUP BY word",
+     "SELECT word, COUNT(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) "
+     "GROUP BY word", ("part",))
+
+# ------------------------------------------------- batch time windows
+_sql("sql_tumbling",
+     "SELECT CAST(CAST(window.start AS TIMESTAMP_NTZ) AS STRING) AS window_start, event_type, "
+     "COUNT(*) AS n FROM ev GROUP BY window(ts, '6 hours'), event_type",
+     f"WITH {DUCK_EV} SELECT CAST(time_bucket(INTERVAL '6 hours', ts) AS VARCHAR) AS window_start, "
+     "event_type, COUNT(*) AS n FROM ev GROUP BY 1, 2", events=True)
+
+_sql("sql_sliding",
+     "SELECT CAST(CAST(window.start AS TIMESTAMP_NTZ) AS STRING) AS window_start, COUNT(*) AS n "
+     "FROM ev GROUP BY window(ts, '2 hours', '1 hour')",
+     f"WITH {DUCK_EV}, s AS (SELECT date_trunc('hour', ts) AS w FROM ev "
+     "UNION ALL SELECT date_trunc('hour', ts) - INTERVAL '1 hour' FROM ev) "
+     "SELECT CAST(w AS VARCHAR) AS window_start, COUNT(*) AS n FROM s GROUP BY 1", events=True)
+
+_sql("sql_session",
+     "SELECT user_id, CAST(CAST(session_window.start AS TIMESTAMP_NTZ) AS STRING) AS session_start, "
+     "CAST(CAST(session_window.end AS TIMESTAMP_NTZ) AS STRING) AS session_end, COUNT(*) AS n "
+     "FROM ev GROUP BY user_id, session_window(ts, '2 hours')",
+     f"WITH {DUCK_EV}, g AS (SELECT user_id, ts, CASE WHEN LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) "
+     "IS NULL OR ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '2 hours' "
+     "THEN 1 ELSE 0 END AS new_s FROM ev), "
+     "s AS (SELECT *, SUM(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) "
+     "SELECT user_id, CAST(MIN(ts) AS VARCHAR) AS session_start, "
+     "CAST(MAX(ts) + INTERVAL '2 hours' AS VARCHAR) AS session_end, COUNT(*) AS n "
+     "FROM s GROUP BY user_id, sid", events=True)
