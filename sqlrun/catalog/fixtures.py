@@ -32,8 +32,10 @@ ORDER_YEARS = list(range(1995, 2002))
 
 
 def shared_dir(spark: SparkSession) -> str:
+    # The conf names the cluster's shared folder; getCheckpointDir() adds a
+    # per-application sub-folder, which would defeat reuse across runs.
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     local = tempfile.mkdtemp(prefix="sqlrun-checkpoint-")

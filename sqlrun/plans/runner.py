@@ -115,8 +115,6 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
 
     for view in spec.views:
         raw = view.sql if view.sql is not None else read_whole_text(session, view.path)
-        if not raw.strip():
-            log.warning("view file is empty: %s", view.name)
         text = substitute(raw, params)
         if not text.strip():
             log.warning("skipping empty view %s", view.name)
