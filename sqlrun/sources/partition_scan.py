@@ -23,6 +23,7 @@ are dropped from the scan by partition pruning and reported in the coverage.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from ..spec import DatasetSpec
 from ..operators.multiplicity import apply_multiplicity
 from . import footers
-from .hive_paths import column_type, leaf_globs
+from .hive_paths import column_type, leaf_globs, leaf_path
 
 
 class ScanError(ValueError):
@@ -102,6 +103,8 @@ def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
                 raise ScanError(f"No data loaded for dataset '{ds.name}': every listed "
                                 f"partition is missing or unreadable") from exc
         schema = _with_partition_types(inferred, listed, append_missing=True)
+        if ds.schema_mode == "merge":
+            schema = _union_order(spark, ds, globs, schema, listed)
 
     raw = spark.read.schema(schema).option("basePath", base).parquet(*globs)
     # Spark moves a partition column that is also a file column to the end
@@ -115,6 +118,57 @@ def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
     return Scan(spark, ds, apply_multiplicity(df, ds), df, globs, skipped, bad)
 
 
+def _union_order(spark: SparkSession, ds: DatasetSpec, globs: list[str],
+                 merged: T.StructType, listed: dict[str, T.DataType]) -> T.StructType:
+    """Order columns as a by-name union of the leaves would: the first listed
+    leaf's columns (a listed key in place if the files hold it, else right
+    after them), then columns first seen in later leaves.
+
+    Only matters when the files disagree, which one extra footer read (a
+    plain single-footer inference) detects; only then is the first existing
+    leaf in list order opened to read its schema."""
+    try:
+        single = (spark.read.option("basePath", ds.base_path).option("mergeSchema", "false")
+                  .parquet(*globs).schema)
+    except Exception:
+        single = None
+    merged_names = [f.name for f in merged.fields]
+    if single is not None and {f.name.lower() for f in single.fields} | {k.lower() for k in listed} \
+            == {n.lower() for n in merged_names}:
+        return merged
+    first = None
+    for combo in itertools.islice(itertools.product(*[_distinct(p.values) for p in ds.partitions]),
+                                  _MAX_ORDER_PROBES):
+        try:
+            first = spark.read.parquet(leaf_path(ds, combo)).schema
+            break
+        except Exception:
+            continue
+    if first is None:
+        return merged
+    by_lower = {f.name.lower(): f for f in merged.fields}
+    order: list[str] = []
+    for name in [f.name for f in first.fields] + list(listed):
+        f = by_lower.get(name.lower())
+        if f is not None and f.name not in order:
+            order.append(f.name)
+    order += [n for n in merged_names if n not in order]
+    return T.StructType([by_lower[n.lower()] for n in order])
+
+
+# Leaves probed (in list order) to find the first existing one when ordering
+# evolved columns; past this, Spark's merge order is kept.  Column order only.
+_MAX_ORDER_PROBES = 64
+
+
+def _distinct(values):
+    out = []
+    for v in values:
+        if not any(type(v) is type(o) and v == o for o in out):
+            out.append(v)
+    return out
+
+
 def _live_globs(spark: SparkSession, ds: DatasetSpec, globs: list[str]) -> tuple[list[str], list[str]]:
     """Drop glob chunks that match nothing (Spark refuses a glob with no
     match).  Only probed when the combined listing fails."""
