@@ -17,12 +17,13 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import threading
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LAYOUT_VERSION = "v1"
+LAYOUT_VERSION = "v2"
 
 # The event types and the day range present in the given
 # `events` table (2024-01-01 .. 2024-01-30).
@@ -53,17 +54,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+# Hidden (underscore) folder written after a layout's last write; partition
+# discovery skips it, and its presence means the layout is complete.
+_COMPLETE = "_complete"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.format("binaryFile").load(path).schema
+        spark.read.format("binaryFile").load(path).schema  # listing only, no job
         return True
     except Exception:
         return False
 
 
 def _ensure(spark: SparkSession, path: str, build: Callable[[str], None]) -> str:
-    if not _exists(spark, path):
-        build(path)
+    with _LOCKS_GUARD:
+        lock = _LOCKS.setdefault(path, threading.Lock())
+    with lock:
+        if not _exists(spark, f"{path}/{_COMPLETE}"):
+            build(path)
+            spark.range(0).write.mode("overwrite").parquet(f"{path}/{_COMPLETE}")
     return path
 
 

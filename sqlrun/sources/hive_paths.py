@@ -118,13 +118,14 @@ def level_pattern(part: PartitionKey, values: Iterable[Any]) -> str:
     return alts[0] if len(alts) == 1 else "{" + ",".join(alts) + "}"
 
 
-def leaf_globs(ds: DatasetSpec, max_alternatives: int = 512) -> list[str]:
+def leaf_globs(ds: DatasetSpec, max_alternatives: int = 64) -> list[str]:
     """Globs covering exactly the listed leaves of ``ds``.
 
     Brace alternatives per level are the Cartesian product, so one glob
-    usually covers the whole spec.  A very long first level is cut into
-    chunks (one glob each) to keep every pattern short; all chunks still go
-    to a single scan."""
+    usually covers the whole spec.  A long first level is cut into chunks
+    (one glob each): patterns stay short, and Spark expands several globs
+    concurrently where one glob is walked by a single thread.  All chunks
+    still go to a single scan."""
     base = ds.base_path
     if not ds.partitions:
         return [base]

@@ -79,11 +79,24 @@ def _scan_flat(spark: SparkSession, ds: DatasetSpec) -> Scan:
 
 # ------------------------------------------------------------------- listed
 def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
-    base = ds.base_path
     globs = leaf_globs(ds)
-    globs, skipped = _live_globs(spark, ds, globs)
-    listed = {p.key: column_type(p) for p in ds.partitions}
+    skipped: list[str] = []
+    try:
+        df, bad = _read_listed(spark, ds, globs)
+    except AnalysisException as exc:
+        # Spark refuses a glob that matches nothing; only then find out
+        # which chunks are empty and read the rest.
+        if not _is_path_not_found(exc):
+            raise
+        globs, skipped = _live_globs(spark, ds, globs)
+        df, bad = _read_listed(spark, ds, globs)
+    return Scan(spark, ds, apply_multiplicity(df, ds), df, globs, skipped, bad)
 
+
+def _read_listed(spark: SparkSession, ds: DatasetSpec,
+                 globs: list[str]) -> tuple[DataFrame, list[dict[str, str]]]:
+    base = ds.base_path
+    listed = {p.key: column_type(p) for p in ds.partitions}
     bad: list[dict[str, str]] = []
     if ds.schema:
         declared = T._parse_datatype_string(ds.schema)
@@ -93,15 +106,14 @@ def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
     else:
         try:
             inferred = _infer_schema(spark, base, globs, merge=ds.schema_mode == "merge")
-        except Exception as exc:  # merge conflict or unreadable footer
+        except AnalysisException as exc:
+            if _is_path_not_found(exc) or not _is_recoverable(exc):
+                raise
+            inferred, bad = _survey_schema(spark, ds, globs, exc)
+        except Exception as exc:  # merge conflict or unreadable footer (job failure)
             if not _is_recoverable(exc):
                 raise
-            survey = footers.survey(spark, base, globs, [p.key for p in ds.partitions])
-            bad = survey.bad_leaves
-            inferred = survey.widened_schema(spark)
-            if inferred is None:
-                raise ScanError(f"No data loaded for dataset '{ds.name}': every listed "
-                                f"partition is missing or unreadable") from exc
+            inferred, bad = _survey_schema(spark, ds, globs, exc)
         schema = _with_partition_types(inferred, listed, append_missing=True)
         if ds.schema_mode == "merge":
             schema = _union_order(spark, ds, globs, schema, listed)
@@ -115,7 +127,22 @@ def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
     df = raw.select(*[F.col(f"`{c}`") for c in order])
     if bad:
         df = df.filter(~_leaf_filter(ds, bad, listed))
-    return Scan(spark, ds, apply_multiplicity(df, ds), df, globs, skipped, bad)
+    return df, bad
+
+
+def _survey_schema(spark: SparkSession, ds: DatasetSpec, globs: list[str],
+                   cause: Exception) -> tuple[T.StructType, list[dict[str, str]]]:
+    survey = footers.survey(spark, ds.base_path, globs, [p.key for p in ds.partitions])
+    widened = survey.widened_schema(spark)
+    if widened is None:
+        raise ScanError(f"No data loaded for dataset '{ds.name}': every listed "
+                        f"partition is missing or unreadable") from cause
+    return widened, survey.bad_leaves
+
+
+def _is_path_not_found(exc: Exception) -> bool:
+    text = str(exc)
+    return "PATH_NOT_FOUND" in text or "Path does not exist" in text
 
 
 def _union_order(spark: SparkSession, ds: DatasetSpec, globs: list[str],
@@ -170,21 +197,23 @@ def _distinct(values):
 
 
 def _live_globs(spark: SparkSession, ds: DatasetSpec, globs: list[str]) -> tuple[list[str], list[str]]:
-    """Drop glob chunks that match nothing (Spark refuses a glob with no
-    match).  Only probed when the combined listing fails."""
-    try:
-        spark.read.format("binaryFile").option("basePath", ds.base_path).load(*globs).schema
-        return globs, []
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-    live, dead = [], []
-    for g in globs:
+    """Split glob chunks into those matching something and those matching
+    nothing; chunks are probed concurrently (listing only, no file read)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def matches(g: str) -> bool:
         try:
             spark.read.format("binaryFile").option("basePath", ds.base_path).load(g).schema
-            live.append(g)
-        except AnalysisException:
-            dead.append(g)
+            return True
+        except AnalysisException as exc:
+            if _is_path_not_found(exc):
+                return False
+            raise
+
+    with ThreadPoolExecutor(max_workers=min(16, len(globs))) as pool:
+        hits = list(pool.map(matches, globs))
+    live = [g for g, h in zip(globs, hits) if h]
+    dead = [g for g, h in zip(globs, hits) if not h]
     if not live:
         raise ScanError(
             f"No data loaded for dataset '{ds.name}'. All {ds.leaf_count} listed "
