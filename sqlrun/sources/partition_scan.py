@@ -148,28 +148,19 @@ def _is_path_not_found(exc: Exception) -> bool:
 def _union_order(spark: SparkSession, ds: DatasetSpec, globs: list[str],
                  merged: T.StructType, listed: dict[str, T.DataType]) -> T.StructType:
     """Order columns as a by-name union of the leaves would: the first listed
-    leaf's columns (a listed key in place if the files hold it, else right
-    after them), then columns first seen in later leaves.
+    leaf's columns (a listed key in place if its files hold it, deeper
+    partition levels after them), then the listed keys, then columns first
+    seen in later leaves.
 
-    Only matters when the files disagree, which one extra footer read (a
-    plain single-footer inference) detects; only then is the first existing
-    leaf in list order opened to read its schema."""
-    try:
-        single = (spark.read.option("basePath", ds.base_path).option("mergeSchema", "false")
-                  .parquet(*globs).schema)
-    except Exception:
-        single = None
-    merged_names = [f.name for f in merged.fields]
-    if single is not None and {f.name.lower() for f in single.fields} | {k.lower() for k in listed} \
-            == {n.lower() for n in merged_names}:
-        return merged
+    Costs one small read: the first existing leaf in list order (one leaf
+    listing and one footer), not a second listing of the whole spec."""
     first = None
     for combo in itertools.islice(itertools.product(*[_distinct(p.values) for p in ds.partitions]),
                                   _MAX_ORDER_PROBES):
         try:
             first = spark.read.parquet(leaf_path(ds, combo)).schema
             break
-        except Exception:
+        except AnalysisException:
             continue
     if first is None:
         return merged
@@ -179,7 +170,7 @@ def _union_order(spark: SparkSession, ds: DatasetSpec, globs: list[str],
         f = by_lower.get(name.lower())
         if f is not None and f.name not in order:
             order.append(f.name)
-    order += [n for n in merged_names if n not in order]
+    order += [f.name for f in merged.fields if f.name not in order]
     return T.StructType([by_lower[n.lower()] for n in order])
 
 

@@ -186,6 +186,11 @@ def _dataset(d: Any, i: int) -> DatasetSpec:
     if not isinstance(path, str) or not path.strip().rstrip("/"):
         raise SpecError(f"dataset '{name}' has an empty path")
     parts = tuple(_partition(p, j, name) for j, p in enumerate(d.get("partitions") or []))
+    if parts and any(ch in path for ch in "*?[{"):
+        # Spark cannot use a glob as the partition root (basePath); list each
+        # concrete root as its own dataset and UNION ALL them in a view.
+        raise SpecError(f"dataset '{name}': a partitioned dataset path cannot hold "
+                        f"glob characters ({path!r})")
     keys = [p.key.lower() for p in parts]
     if len(set(keys)) != len(keys):
         raise SpecError(f"dataset '{name}' lists a partition key twice")
