@@ -101,6 +101,17 @@ def events_by_day_hour(spark: SparkSession, sf_dir: str) -> str:
     return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_hour", build)
 
 
+def events_by_day_hour_type(spark: SparkSession, sf_dir: str) -> str:
+    """`events` under three levels: event_date / hour / event_type (3,600 leaves)."""
+    def build(path: str) -> None:
+        (table(spark, sf_dir, "events")
+         .withColumn("event_date", F.to_date("ts").cast("string"))
+         .withColumn("hour", F.hour("ts"))
+         .hint("rebalance", "event_date", "hour", "event_type")
+         .write.mode("overwrite").partitionBy("event_date", "hour", "event_type").parquet(path))
+    return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_hour_type", build)
+
+
 def orders_by_year(spark: SparkSession, sf_dir: str) -> str:
     def build(path: str) -> None:
         (table(spark, sf_dir, "orders")

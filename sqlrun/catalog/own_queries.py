@@ -70,6 +70,17 @@ def scan_partition_nested(spark: SparkSession, sf: str):
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
+@register("scan_partition_three_levels",
+          f"SELECT *, {D} AS event_date, CAST(hour(ts) AS INTEGER) AS hour FROM events")
+def scan_partition_three_levels(spark: SparkSession, sf: str):
+    # 30 days x 24 hours x 5 types = 3,600 listed leaves in one scan
+    ds = {"name": "ev", "path": fx.events_by_day_hour_type(spark, sf),
+          "partitions": [{"key": "event_date", "values": fx.EVENT_DATES},
+                         {"key": "hour", "values": list(range(24))},
+                         {"key": "event_type", "values": fx.EVENT_TYPES}]}
+    return run_sql(spark, [ds], "SELECT * FROM ev")
+
+
 @register("scan_partition_overlap", "SELECT * FROM events")
 def scan_partition_overlap(spark: SparkSession, sf: str):
     ds = {"name": "ev", "path": fx.events_overlap(spark, sf),

@@ -68,7 +68,7 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
     dir_cols = [f"_dir_{k}" for k in keys]
 
     files = (spark.read.format("binaryFile").option("basePath", ds.base_path)
-             .load(*scan.globs).select("path", "length"))
+             .load(list(scan.globs)).select("path", "length"))
     files = files.select("length", *leaf_text_columns("path", keys))
     for p in ds.partitions:  # booleans may be spelled True/False on storage
         if column_type(p).typeName() == "boolean":

@@ -81,7 +81,7 @@ def leaf_text_columns(path_col: str, keys: list[str]) -> list:
 
 def survey(spark: SparkSession, base: str, globs: list[str], keys: list[str]) -> Survey:
     files = (spark.read.format("binaryFile").option("basePath", base)
-             .load(*globs).select("path"))
+             .load(list(globs)).select("path"))
     checked = files.mapInPandas(_footer_batches, "path string, ok boolean, schema string")
     checked = checked.select("*", *leaf_text_columns("path", keys)).persist()
     try:

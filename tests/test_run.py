@@ -159,3 +159,12 @@ def test_layout_root_uses_shared_folder(spark):
     root = fx.layout_root(spark, SF_SMALL)
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert root.startswith(shared.rstrip("/"))
+
+
+def test_listing_parallelism_sized_to_cluster_unless_given(spark):
+    from sqlrun.plans.runner import LISTING_PARALLELISM
+
+    res = run(spark, _spec(spark))
+    assert res.session.conf.get(LISTING_PARALLELISM) == str(max(8, 2 * spark.sparkContext.defaultParallelism))
+    res = run(spark, _spec(spark, sparkSessionConfig={LISTING_PARALLELISM: "123"}))
+    assert res.session.conf.get(LISTING_PARALLELISM) == "123"
