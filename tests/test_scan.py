@@ -238,3 +238,21 @@ def test_coverage_of_catalogue_spec(spark, events_base):
     assert [r.status for r in cov] == ["found", "found", "missing", "missing"]
     assert cov[0].rows == cov[1].rows and cov[0].bytes > 0
     assert res.df.count() == 2 * cov[0].rows
+
+
+def test_coverage_and_scan_over_several_glob_chunks(spark, events_base):
+    from sqlrun.sources.hive_paths import leaf_globs
+
+    fake = [f"2031-02-{d:02d}" for d in range(1, 29)] + [f"2031-03-{d:02d}" for d in range(1, 13)]
+    dates = fake + fx.EVENT_DATES        # 70 values -> chunks of 64 and 6, both live
+    ds = _ds(events_base, [{"key": "event_date", "values": dates},
+                           {"key": "event_type", "values": ["click"]}])
+    assert len(leaf_globs(ds)) == 2
+    scan = scan_dataset(spark, ds)
+    assert len(scan.globs) == 2
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet").filter("event_type = 'click'").count()
+    assert scan.df.count() == flat
+    cov = scan.coverage().collect()
+    assert len(cov) == 70
+    assert sum(r.rows for r in cov) == flat
+    assert {r.status for r in cov if r.event_date in fake} == {"missing"}
