@@ -33,12 +33,19 @@ def write_result(df: DataFrame, prefix: str, run_id: str | None = None) -> str:
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except Exception as exc:
+        if "UNABLE_TO_INFER_SCHEMA" in str(exc) or "PATH_NOT_FOUND" in str(exc):
+            raise SinkError(f"no Parquet files at {path}") from exc
+        raise
 
 
 def preview(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
     """At most ``n`` rows of a written result, read back through Spark."""
-    return spark.read.parquet(path).limit(n)
+    if n < 0:
+        raise SinkError("preview size must be >= 0")
+    return read_result(spark, path).limit(n)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -168,3 +168,8 @@ def test_listing_parallelism_sized_to_cluster_unless_given(spark):
     assert res.session.conf.get(LISTING_PARALLELISM) == str(max(8, 2 * spark.sparkContext.defaultParallelism))
     res = run(spark, _spec(spark, sparkSessionConfig={LISTING_PARALLELISM: "123"}))
     assert res.session.conf.get(LISTING_PARALLELISM) == "123"
+
+
+def test_preview_of_folder_without_parquet(spark, scratch):
+    with pytest.raises(SinkError, match="no Parquet"):
+        preview(spark, scratch, 5)
