@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from typing import Any, Mapping
 
+# Fixed value: the placeholder syntax, ``${`` + word characters + ``}``.
 _PLACEHOLDER = re.compile(r"\$\{(\w+)\}")
 
 

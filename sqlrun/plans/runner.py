@@ -23,9 +23,11 @@ from ..spec import RunSpec, SpecError
 
 log = logging.getLogger("sqlrun")
 
-# Session profile applied when a run gives none.  These are runtime SQL confs;
-# on Spark 4.1 they restate the defaults, and they are set explicitly so a run
-# does not depend on what the cluster's defaults happen to be.
+# The session profile applied when a run gives none (adaptive
+# execution with partition coalescing, corrected calendar rebasing for
+# Parquet dates and INT96 timestamps), plus skew-join splitting.  These are
+# runtime SQL confs; on Spark 4.1 they restate the defaults, and are set
+# explicitly so a run does not depend on what a cluster's defaults happen to be.
 DEFAULT_PROFILE: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -127,9 +129,10 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
     size_listing(session, spec.session_config)
 
     # Register every dataset before any view: SQL views resolve names late.
+    # Planning a scan is driver-side listing and footer work, independent per
+    # dataset, so the datasets are planned concurrently.
     scans: dict[str, Scan] = {}
-    for ds in spec.datasets:
-        scan = scan_dataset(session, ds)
+    for ds, scan in zip(spec.datasets, _plan_scans(session, spec)):
         scan.df.createOrReplaceTempView(ds.name)
         scans[ds.name] = scan
 
@@ -148,6 +151,15 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
     return RunResult(session, spec, df, scans, skipped)
 
 
+def _plan_scans(session: SparkSession, spec: RunSpec) -> list[Scan]:
+    if len(spec.datasets) == 1:
+        return [scan_dataset(session, spec.datasets[0])]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(8, len(spec.datasets))) as pool:
+        return list(pool.map(lambda ds: scan_dataset(session, ds), spec.datasets))
+
+
 def _sql(session: SparkSession, text: str, bound: Mapping[str, Any]) -> DataFrame:
     text = text.strip().rstrip(";")
     if bound:

@@ -173,3 +173,18 @@ def test_listing_parallelism_sized_to_cluster_unless_given(spark):
 def test_preview_of_folder_without_parquet(spark, scratch):
     with pytest.raises(SinkError, match="no Parquet"):
         preview(spark, scratch, 5)
+
+
+def test_command_line_entry(spark, scratch, capsys):
+    from sqlrun.plans.runner import main
+
+    spec = {"datasets": [flat(SF_SMALL, "nation")], "query": "SELECT * FROM nation",
+            "outputPrefix": scratch + "/cli"}
+    path = os.path.join(scratch, "spec.json")
+    with open(path, "w") as fh:
+        json.dump(spec, fh)
+    assert main([path, "run-7"]) == 0
+    out = capsys.readouterr().out.strip()
+    assert out == scratch + "/cli/run-7"
+    assert spark.read.parquet(out).count() == 25
+    assert main([path]) == 1
