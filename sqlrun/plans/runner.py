@@ -96,15 +96,25 @@ def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
     return skipped
 
 
-def size_listing(session: SparkSession, conf: Mapping[str, str]) -> None:
-    """Size the folder-listing job to the cluster unless the run's conf map or
-    the cluster's own configuration already chose a value."""
-    if LISTING_PARALLELISM in (conf or {}):
-        return
-    if session.conf.get(LISTING_PARALLELISM, _SPARK_LISTING_DEFAULT) != _SPARK_LISTING_DEFAULT:
-        return
+# Shuffles start with this many partitions and AQE coalesces them to its
+# advisory size.  AQE merges small partitions but does not split large ones
+# (beyond skew), so the start must grow with the cluster: 200 fixed
+# partitions would be ~500 GB each on a 100 TB shuffle.
+INITIAL_SHUFFLE_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def size_to_cluster(session: SparkSession, conf: Mapping[str, str]) -> None:
+    """Size folder listing and initial shuffle width to the cluster's cores,
+    unless the run's conf map or the cluster's configuration chose values."""
+    conf = conf or {}
     cores = session.sparkContext.defaultParallelism
-    session.conf.set(LISTING_PARALLELISM, str(max(8, min(10000, 2 * cores))))
+    if LISTING_PARALLELISM not in conf and \
+            session.conf.get(LISTING_PARALLELISM, _SPARK_LISTING_DEFAULT) == _SPARK_LISTING_DEFAULT:
+        session.conf.set(LISTING_PARALLELISM, str(max(8, min(10000, 2 * cores))))
+    if INITIAL_SHUFFLE_PARTITIONS not in conf and \
+            not session.conf.get(INITIAL_SHUFFLE_PARTITIONS, None):
+        shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
+        session.conf.set(INITIAL_SHUFFLE_PARTITIONS, str(max(shuffle, 4 * cores)))
 
 
 def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
@@ -126,7 +136,7 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
 
     session = spark.newSession()
     skipped = apply_profile(session, spec.session_config)
-    size_listing(session, spec.session_config)
+    size_to_cluster(session, spec.session_config)
 
     # Register every dataset before any view: SQL views resolve names late.
     # Planning a scan is driver-side listing and footer work, independent per

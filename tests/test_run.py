@@ -161,13 +161,18 @@ def test_layout_root_uses_shared_folder(spark):
     assert root.startswith(shared.rstrip("/"))
 
 
-def test_listing_parallelism_sized_to_cluster_unless_given(spark):
-    from sqlrun.plans.runner import LISTING_PARALLELISM
+def test_listing_and_shuffle_width_sized_to_cluster_unless_given(spark):
+    from sqlrun.plans.runner import INITIAL_SHUFFLE_PARTITIONS, LISTING_PARALLELISM
 
+    cores = spark.sparkContext.defaultParallelism
     res = run(spark, _spec(spark))
-    assert res.session.conf.get(LISTING_PARALLELISM) == str(max(8, 2 * spark.sparkContext.defaultParallelism))
-    res = run(spark, _spec(spark, sparkSessionConfig={LISTING_PARALLELISM: "123"}))
+    assert res.session.conf.get(LISTING_PARALLELISM) == str(max(8, 2 * cores))
+    shuffle = int(res.session.conf.get("spark.sql.shuffle.partitions"))
+    assert res.session.conf.get(INITIAL_SHUFFLE_PARTITIONS) == str(max(shuffle, 4 * cores))
+    res = run(spark, _spec(spark, sparkSessionConfig={LISTING_PARALLELISM: "123",
+                                                      INITIAL_SHUFFLE_PARTITIONS: "77"}))
     assert res.session.conf.get(LISTING_PARALLELISM) == "123"
+    assert res.session.conf.get(INITIAL_SHUFFLE_PARTITIONS) == "77"
 
 
 def test_preview_of_folder_without_parquet(spark, scratch):
