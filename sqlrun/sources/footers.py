@@ -14,10 +14,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from typing import Iterator
-from urllib.parse import unquote, urlparse
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,33 +22,42 @@ from pyspark.sql import types as T
 from .hive_paths import hive_escape
 
 
-def _open(path: str):
-    import pyarrow.fs as pafs
+def _footer_reader():
+    """The per-partition function shipped to executors.
 
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(u.path)
-    uri = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
-    return pafs.FileSystem.from_uri(uri)
+    Built as a closure with its imports inside, so it is pickled by value:
+    executors need pyarrow and pyspark, not this package on their path."""
 
+    def read_footers(batches):
+        from urllib.parse import unquote, urlparse
 
-def _footer_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.parquet as pq
-    from pyspark.sql.pandas.types import from_arrow_schema
+        import pandas as pd
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import from_arrow_schema
 
-    for pdf in batches:
-        ok, schema = [], []
-        for path in pdf["path"]:
-            try:
-                fs, local = _open(path)
-                with fs.open_input_file(local) as fh:
-                    arrow_schema = pq.read_schema(fh)
-                schema.append(from_arrow_schema(arrow_schema).json())
-                ok.append(True)
-            except Exception:
-                schema.append(None)
-                ok.append(False)
-        yield pd.DataFrame({"path": pdf["path"], "ok": ok, "schema": schema})
+        def open_fs(path):
+            u = urlparse(path)
+            if u.scheme in ("", "file"):
+                return pafs.LocalFileSystem(), unquote(u.path)
+            uri = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
+            return pafs.FileSystem.from_uri(uri)
+
+        for pdf in batches:
+            ok, schema = [], []
+            for path in pdf["path"]:
+                try:
+                    fs, local = open_fs(path)
+                    with fs.open_input_file(local) as fh:
+                        arrow_schema = pq.read_schema(fh)
+                    schema.append(from_arrow_schema(arrow_schema).json())
+                    ok.append(True)
+                except Exception:
+                    schema.append(None)
+                    ok.append(False)
+            yield pd.DataFrame({"path": pdf["path"], "ok": ok, "schema": schema})
+
+    return read_footers
 
 
 @dataclass
@@ -82,7 +88,7 @@ def leaf_text_columns(path_col: str, keys: list[str]) -> list:
 def survey(spark: SparkSession, base: str, globs: list[str], keys: list[str]) -> Survey:
     files = (spark.read.format("binaryFile").option("basePath", base)
              .load(list(globs)).select("path"))
-    checked = files.mapInPandas(_footer_batches, "path string, ok boolean, schema string")
+    checked = files.mapInPandas(_footer_reader(), "path string, ok boolean, schema string")
     checked = checked.select("*", *leaf_text_columns("path", keys)).persist()
     try:
         rows = (checked.filter("ok").groupBy("schema")
