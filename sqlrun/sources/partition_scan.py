@@ -105,7 +105,7 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
         schema = _with_partition_types(declared, listed, append_missing=True)
     else:
         try:
-            inferred = _infer_schema(spark, base, globs, merge=ds.schema_mode == "merge")
+            inferred = _infer_schema(spark, ds, globs, merge=ds.schema_mode == "merge")
         except AnalysisException as exc:
             if _is_path_not_found(exc) or not _is_recoverable(exc):
                 raise
@@ -160,7 +160,7 @@ def _union_order(spark: SparkSession, ds: DatasetSpec, globs: list[str],
         try:
             first = spark.read.parquet(leaf_path(ds, combo)).schema
             break
-        except AnalysisException:
+        except Exception:  # missing, empty or unreadable leaf: try the next
             continue
     if first is None:
         return merged
@@ -212,14 +212,15 @@ def _live_globs(spark: SparkSession, ds: DatasetSpec, globs: list[str]) -> tuple
     return live, dead
 
 
-def _infer_schema(spark: SparkSession, base: str, globs: list[str], merge: bool) -> T.StructType:
+def _infer_schema(spark: SparkSession, ds: DatasetSpec, globs: list[str], merge: bool) -> T.StructType:
     try:
-        return (spark.read.option("basePath", base)
+        return (spark.read.option("basePath", ds.base_path)
                 .option("mergeSchema", "true" if merge else "false")
                 .parquet(*globs).schema)
     except AnalysisException as exc:
         if "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            raise ScanError(f"No Parquet files under the listed partitions of {base}") from exc
+            raise ScanError(f"No data loaded for dataset '{ds.name}': the listed partitions "
+                            f"under {ds.base_path} hold no Parquet files") from exc
         raise
 
 

@@ -256,3 +256,18 @@ def test_coverage_and_scan_over_several_glob_chunks(spark, events_base):
     assert len(cov) == 70
     assert sum(r.rows for r in cov) == flat
     assert {r.status for r in cov if r.event_date in fake} == {"missing"}
+
+
+def test_unreadable_first_leaf_and_marker_only_spec(spark, scratch):
+    base = f"{scratch}/t"
+    os.makedirs(f"{base}/p=0")
+    with open(f"{base}/p=0/bad.parquet", "w") as fh:   # first listed leaf is unreadable
+        fh.write("garbage")
+    spark.createDataFrame([(1, "x")], "id int, s string").write.parquet(f"{base}/p=1")
+    scan = scan_dataset(spark, _ds(base, [{"key": "p", "values": [0, 1]}]))
+    assert [tuple(r) for r in scan.df.collect()] == [(1, "x", 1)]
+    assert {r.p: r.status for r in scan.coverage().collect()} == {"0": "unreadable", "1": "found"}
+    os.makedirs(f"{scratch}/m/p=1")
+    open(f"{scratch}/m/p=1/_SUCCESS", "w").close()
+    with pytest.raises(ScanError, match="No data loaded"):
+        scan_dataset(spark, _ds(f"{scratch}/m", [{"key": "p", "values": [1]}]))
