@@ -16,12 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import DatasetSpec
-from ..sources.hive_paths import column_type
+from ..sources.hive_paths import canonical_text, column_type
 
 
 def value_multiplicities(values: tuple[Any, ...]) -> dict[Any, int]:
-    counts = Counter((type(v).__name__, v) for v in values)
-    return {v: n for (_, v), n in counts.items() if n > 1}
+    """Repeat count per leaf folder: values are counted by the folder text
+    they select (``1`` and ``"1"`` both select ``k=1``).  Returns one
+    representative value per repeated folder."""
+    counts = Counter(canonical_text(v) for v in values)
+    first: dict[str, Any] = {}
+    for v in values:
+        first.setdefault(canonical_text(v), v)
+    return {first[t]: n for t, n in counts.items() if n > 1}
 
 
 def multiplicity_expr(ds: DatasetSpec) -> Column | None:

@@ -271,3 +271,11 @@ def test_unreadable_first_leaf_and_marker_only_spec(spark, scratch):
     open(f"{scratch}/m/p=1/_SUCCESS", "w").close()
     with pytest.raises(ScanError, match="No data loaded"):
         scan_dataset(spark, _ds(f"{scratch}/m", [{"key": "p", "values": [1]}]))
+
+
+def test_same_folder_listed_as_text_and_int_counts_twice(spark, scratch):
+    base = f"{scratch}/t"
+    spark.createDataFrame([(1, 1), (2, 2)], "id int, k int").write.partitionBy("k").parquet(base)
+    df = scan_dataset(spark, _ds(base, [{"key": "k", "values": [1, "1", 2]}])).df
+    assert dict(df.dtypes)["k"] == "string"
+    assert sorted(r.id for r in df.collect()) == [1, 1, 2]
