@@ -24,6 +24,7 @@ are dropped from the scan by partition pruning and reported in the coverage.
 from __future__ import annotations
 
 import itertools
+import logging
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -38,6 +39,9 @@ from . import footers
 from .hive_paths import column_type, leaf_globs, leaf_path
 
 
+log = logging.getLogger("sqlrun.scan")
+
+
 class ScanError(ValueError):
     """No data could be loaded for a dataset."""
 
@@ -90,6 +94,13 @@ def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
             raise
         globs, skipped = _live_globs(spark, ds, globs)
         df, bad = _read_listed(spark, ds, globs)
+    log.info("dataset %s: %d listed partition(s) under %s, one scan over %d glob(s)",
+             ds.name, ds.leaf_count, ds.base_path, len(globs))
+    if skipped:
+        log.warning("dataset %s: %d glob chunk(s) matched no partition", ds.name, len(skipped))
+    if bad:
+        log.warning("dataset %s: %d partition(s) hold unreadable files and were skipped",
+                    ds.name, len(bad))
     return Scan(spark, ds, apply_multiplicity(df, ds), df, globs, skipped, bad)
 
 
