@@ -80,44 +80,46 @@ def _ensure(spark: SparkSession, path: str, build: Callable[[str], None]) -> str
     return path
 
 
+def write_partitioned(df: DataFrame, path: str, *cols: str, mode: str = "overwrite") -> None:
+    """Hive-partitioned Parquet write that survives a hot partition value:
+    ``REBALANCE`` on the partition columns lets AQE split an oversized
+    partition into several files and merge small ones."""
+    df.hint("rebalance", *cols).write.mode(mode).partitionBy(*cols).parquet(path)
+
+
 def events_by_day_type(spark: SparkSession, sf_dir: str) -> str:
     """`events` partitioned by event_date (string) and event_type."""
     def build(path: str) -> None:
-        (table(spark, sf_dir, "events")
-         .withColumn("event_date", F.to_date("ts").cast("string"))
-         .hint("rebalance", "event_date", "event_type")
-         .write.mode("overwrite").partitionBy("event_date", "event_type").parquet(path))
+        write_partitioned(table(spark, sf_dir, "events")
+                          .withColumn("event_date", F.to_date("ts").cast("string")),
+                          path, "event_date", "event_type")
     return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_type", build)
 
 
 def events_by_day_hour(spark: SparkSession, sf_dir: str) -> str:
     """`events` partitioned by event_date and hour (two levels)."""
     def build(path: str) -> None:
-        (table(spark, sf_dir, "events")
-         .withColumn("event_date", F.to_date("ts").cast("string"))
-         .withColumn("hour", F.hour("ts"))
-         .hint("rebalance", "event_date", "hour")
-         .write.mode("overwrite").partitionBy("event_date", "hour").parquet(path))
+        write_partitioned(table(spark, sf_dir, "events")
+                          .withColumn("event_date", F.to_date("ts").cast("string"))
+                          .withColumn("hour", F.hour("ts")),
+                          path, "event_date", "hour")
     return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_hour", build)
 
 
 def events_by_day_hour_type(spark: SparkSession, sf_dir: str) -> str:
     """`events` under three levels: event_date / hour / event_type (3,600 leaves)."""
     def build(path: str) -> None:
-        (table(spark, sf_dir, "events")
-         .withColumn("event_date", F.to_date("ts").cast("string"))
-         .withColumn("hour", F.hour("ts"))
-         .hint("rebalance", "event_date", "hour", "event_type")
-         .write.mode("overwrite").partitionBy("event_date", "hour", "event_type").parquet(path))
+        write_partitioned(table(spark, sf_dir, "events")
+                          .withColumn("event_date", F.to_date("ts").cast("string"))
+                          .withColumn("hour", F.hour("ts")),
+                          path, "event_date", "hour", "event_type")
     return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_hour_type", build)
 
 
 def orders_by_year(spark: SparkSession, sf_dir: str) -> str:
     def build(path: str) -> None:
-        (table(spark, sf_dir, "orders")
-         .withColumn("o_year", F.year("o_orderdate"))
-         .hint("rebalance", "o_year")
-         .write.mode("overwrite").partitionBy("o_year").parquet(path))
+        write_partitioned(table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate")),
+                          path, "o_year")
     return _ensure(spark, layout_root(spark, sf_dir) + "/orders_by_year", build)
 
 
@@ -144,10 +146,9 @@ def events_evolved(spark: SparkSession, sf_dir: str) -> str:
         ev = table(spark, sf_dir, "events")
         old = ev.filter(F.col("event_type").isin(OLD_SCHEMA_TYPES))
         new = ev.filter(~F.col("event_type").isin(OLD_SCHEMA_TYPES))
-        (old.select(F.col("event_id").cast("int").alias("event_id"), "ts", "user_id",
-                    "value", "event_type")
-         .write.mode("overwrite").partitionBy("event_type").parquet(path))
-        new.write.mode("append").partitionBy("event_type").parquet(path)
+        write_partitioned(old.select(F.col("event_id").cast("int").alias("event_id"), "ts",
+                                     "user_id", "value", "event_type"), path, "event_type")
+        write_partitioned(new, path, "event_type", mode="append")
     return _ensure(spark, layout_root(spark, sf_dir) + "/events_evolved", build)
 
 

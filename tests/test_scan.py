@@ -279,3 +279,26 @@ def test_same_folder_listed_as_text_and_int_counts_twice(spark, scratch):
     df = scan_dataset(spark, _ds(base, [{"key": "k", "values": [1, "1", 2]}])).df
     assert dict(df.dtypes)["k"] == "string"
     assert sorted(r.id for r in df.collect()) == [1, 1, 2]
+
+
+def test_parity_with_leaf_union_over_evolved_schemas(spark):
+    base = fx.events_evolved(spark, SF_SMALL)
+    parts = [{"key": "event_type", "values": fx.EVENT_TYPES}]
+    ours = scan_dataset(spark, _ds(base, parts)).df
+    naive = naive_union(spark, base, parts)
+    assert set(ours.columns) == set(naive.columns)
+    assert dict(ours.dtypes)["event_id"] == "bigint"
+    assert same_bag(naive, ours)
+
+
+def test_layout_writer_splits_a_hot_value(spark, scratch):
+    from sqlrun.catalog.fixtures import write_partitioned
+
+    s = spark.newSession()
+    s.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    ev = s.read.parquet(f"{SF_SMALL}/events.parquet")
+    hot = ev.withColumn("k", F.when(F.col("event_id") % 3 == 0, F.lit("hot"))
+                        .otherwise(F.col("event_type")))
+    write_partitioned(hot.unionByName(hot).unionByName(hot), f"{scratch}/w", "k")
+    files = [f for f in os.listdir(f"{scratch}/w/k=hot") if f.endswith(".parquet")]
+    assert len(files) > 1
