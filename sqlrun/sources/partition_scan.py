@@ -73,6 +73,8 @@ def _scan_flat(spark: SparkSession, ds: DatasetSpec) -> Scan:
     reader = spark.read
     if ds.schema:
         reader = reader.schema(ds.schema)
+    elif ds.merge_schema:
+        reader = reader.option("mergeSchema", "true")
     try:
         df = reader.parquet(ds.base_path)
     except AnalysisException as exc:
@@ -116,7 +118,7 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
         schema = _with_partition_types(declared, listed, append_missing=True)
     else:
         try:
-            inferred = _infer_schema(spark, ds, globs, merge=ds.schema_mode == "merge")
+            inferred = _infer_schema(spark, ds, globs, merge=ds.merge_schema)
         except AnalysisException as exc:
             if _is_path_not_found(exc) or not _is_recoverable(exc):
                 raise
@@ -126,7 +128,7 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
                 raise
             inferred, bad = _survey_schema(spark, ds, globs, exc)
         schema = _with_partition_types(inferred, listed, append_missing=True)
-        if ds.schema_mode == "merge":
+        if ds.merge_schema:
             schema = _union_order(spark, ds, globs, schema, listed)
 
     raw = spark.read.schema(schema).option("basePath", base).parquet(*globs)

@@ -53,8 +53,15 @@ class DatasetSpec:
     # footer-based inference, which is the cheapest option at large scale.
     schema: str | None = None
     # "merge": superset of all file schemas (Spark's parallel footer merge);
-    # "first": schema of one footer only (Spark's default).
-    schema_mode: str = "merge"
+    # "first": schema of one footer only (Spark's default).  Unset means
+    # "merge" for a partition list (a union of leaves sees every leaf's
+    # columns) and "first" for a plain path (one Spark read).
+    schema_mode: str | None = None
+
+    @property
+    def merge_schema(self) -> bool:
+        mode = self.schema_mode or ("merge" if self.partitions else "first")
+        return mode == "merge"
 
     @property
     def base_path(self) -> str:
@@ -194,8 +201,8 @@ def _dataset(d: Any, i: int) -> DatasetSpec:
     keys = [p.key.lower() for p in parts]
     if len(set(keys)) != len(keys):
         raise SpecError(f"dataset '{name}' lists a partition key twice")
-    mode = d.get("schema_mode", "merge")
-    if mode not in ("merge", "first"):
+    mode = d.get("schema_mode")
+    if mode not in (None, "merge", "first"):
         raise SpecError(f"dataset '{name}': schema_mode must be 'merge' or 'first'")
     return DatasetSpec(name=name, path=path, partitions=parts,
                        schema=d.get("schema"), schema_mode=mode)

@@ -302,3 +302,21 @@ def test_layout_writer_splits_a_hot_value(spark, scratch):
     write_partitioned(hot.unionByName(hot).unionByName(hot), f"{scratch}/w", "k")
     files = [f for f in os.listdir(f"{scratch}/w/k=hot") if f.endswith(".parquet")]
     assert len(files) > 1
+
+
+def test_case_insensitive_overlap_takes_key_spelling_and_value(spark, scratch):
+    base = f"{scratch}/t"
+    spark.createDataFrame([(1, "WRONG")], "id int, Event_Type string").write.parquet(f"{base}/event_type=click")
+    df = scan_dataset(spark, _ds(base, [{"key": "event_type", "values": ["click"]}])).df
+    assert df.columns == ["id", "event_type"]
+    assert [tuple(r) for r in df.collect()] == [(1, "click")]
+
+
+def test_flat_dataset_schema_modes(spark, scratch):
+    base = f"{scratch}/t"
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{base}/p=1")
+    spark.createDataFrame([(2, 3)], "a int, b int").write.parquet(f"{base}/p=2")
+    merged = scan_dataset(spark, _ds(base, [], schema_mode="merge")).df
+    assert set(merged.columns) == {"a", "b", "p"}
+    first = scan_dataset(spark, _ds(base, [])).df
+    assert len(first.columns) in (2, 3)   # one footer decides, as a plain Spark read
