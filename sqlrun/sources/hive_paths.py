@@ -118,23 +118,24 @@ def level_pattern(part: PartitionKey, values: Iterable[Any]) -> str:
     return alts[0] if len(alts) == 1 else "{" + ",".join(alts) + "}"
 
 
-def leaf_globs(ds: DatasetSpec, max_alternatives: int = 64) -> list[str]:
-    """Globs covering exactly the listed leaves of ``ds``.
-
-    Brace alternatives per level are the Cartesian product, so one glob
-    usually covers the whole spec.  A long first level is cut into chunks
-    (one glob each): patterns stay short, and Spark expands several globs
-    concurrently where one glob is walked by a single thread.  All chunks
-    still go to a single scan."""
+def leaf_globs(ds: DatasetSpec) -> list[str]:
+    """Globs covering exactly the listed leaves of ``ds``: one per distinct
+    first-level value, ``base/k1=a/{k2=x,k2=y}/...``.
+
+    Brace alternatives per level are the Cartesian product of the deeper
+    levels.  The first level is written out literally: a literal component
+    is not matched by listing its parent, so the base folder - often the
+    widest one, e.g. years of daily folders - is never listed; only the
+    listed folders are.  Spark expands the globs concurrently, and all of
+    them still feed a single scan."""
     base = ds.base_path
     if not ds.partitions:
         return [base]
     first, rest = ds.partitions[0], ds.partitions[1:]
     tail = "/".join(level_pattern(p, _unique(p.values)) for p in rest)
-    firsts = _unique(first.values)
     globs = []
-    for i in range(0, len(firsts), max_alternatives):
-        head = level_pattern(first, firsts[i:i + max_alternatives])
+    for v in _unique(first.values):
+        head = level_pattern(first, [v])
         globs.append("/".join(x for x in (base, head, tail) if x))
     return globs
 

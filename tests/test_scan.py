@@ -190,15 +190,21 @@ def test_all_missing_is_an_error(spark, events_base):
         scan_dataset(spark, DatasetSpec("x", "/nonexistent/sqlrun/path"))
 
 
-def test_long_value_lists_are_chunked_into_one_scan(spark, events_base):
+def test_one_glob_per_first_level_value_feeds_one_scan(spark, events_base):
     from sqlrun.sources.hive_paths import leaf_globs
 
     dates = fx.EVENT_DATES + [f"2030-01-{d:02d}" for d in range(1, 29)]
-    ds = _ds(events_base, [{"key": "event_date", "values": dates},
+    ds = _ds(events_base, [{"key": "event_date", "values": dates + dates[:3]},
                            {"key": "event_type", "values": fx.EVENT_TYPES}])
-    assert len(leaf_globs(ds, max_alternatives=7)) == 9
-    full = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
-    assert scan_dataset(spark, ds).df.count() == full
+    globs = leaf_globs(ds)
+    assert len(globs) == 58
+    assert globs[0].endswith("/event_date=2024-01-01/{event_type=click,event_type=error,"
+                             "event_type=purchase,event_type=signup,event_type=view}")
+    scan = scan_dataset(spark, ds)
+    assert len(scan.globs) == 30 and len(scan.skipped_globs) == 28
+    full = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    dup = full.filter(F.to_date("ts").cast("string").isin(dates[:3])).count()
+    assert scan.df.count() == full.count() + dup
 
 
 @pytest.mark.parametrize("bad,match", [
@@ -244,12 +250,12 @@ def test_coverage_and_scan_over_several_glob_chunks(spark, events_base):
     from sqlrun.sources.hive_paths import leaf_globs
 
     fake = [f"2031-02-{d:02d}" for d in range(1, 29)] + [f"2031-03-{d:02d}" for d in range(1, 13)]
-    dates = fake + fx.EVENT_DATES        # 70 values -> chunks of 64 and 6, both live
+    dates = fake + fx.EVENT_DATES        # 70 values -> 70 globs, 30 live
     ds = _ds(events_base, [{"key": "event_date", "values": dates},
                            {"key": "event_type", "values": ["click"]}])
-    assert len(leaf_globs(ds)) == 2
+    assert len(leaf_globs(ds)) == 70
     scan = scan_dataset(spark, ds)
-    assert len(scan.globs) == 2
+    assert len(scan.globs) == 30
     flat = spark.read.parquet(f"{SF_SMALL}/events.parquet").filter("event_type = 'click'").count()
     assert scan.df.count() == flat
     cov = scan.coverage().collect()
