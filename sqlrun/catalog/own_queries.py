@@ -238,6 +238,24 @@ def view_chain_function(spark: SparkSession, sf: str):
                    views=views)
 
 
+BIG_ORDERS_FUNCTION_SQL = """CREATE TEMPORARY FUNCTION big_orders(min_price DOUBLE)
+RETURNS TABLE (o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING, o_totalprice DOUBLE)
+RETURN SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice
+       FROM orders WHERE o_totalprice > min_price
+"""
+
+
+@register("view_chain_table_function",
+          "SELECT o_orderpriority, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS customers "
+          "FROM orders WHERE o_totalprice > 300000 GROUP BY o_orderpriority")
+def view_chain_table_function(spark: SparkSession, sf: str):
+    return run_sql(spark, [flat(sf, "orders")],
+                   "SELECT o_orderpriority, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS customers "
+                   "FROM big_orders(${MIN_PRICE}) GROUP BY o_orderpriority",
+                   views=[{"name": "big_orders", "sql": BIG_ORDERS_FUNCTION_SQL}],
+                   parameters={"MIN_PRICE": 300000})
+
+
 # ------------------------------------------------------------- README
 TOP_USERS_SQL = """
 WITH per_user AS (

@@ -193,3 +193,15 @@ def test_command_line_entry(spark, scratch, capsys):
     assert out == scratch + "/cli/run-7"
     assert spark.read.parquet(out).count() == 25
     assert main([path]) == 1
+
+
+def test_typed_args_reach_views_and_other_statements(spark):
+    res = run(spark, _spec(spark, views=[
+        {"name": "conf", "sql": "SET spark.sql.shuffle.partitions = 4"},
+        {"name": "fn", "sql": "CREATE TEMPORARY FUNCTION plus1(x BIGINT) RETURNS BIGINT RETURN x + 1"},
+        {"name": "v", "sql": "CREATE TEMPORARY VIEW rich AS SELECT * FROM customer WHERE c_acctbal > :m"},
+    ], query="SELECT plus1(COUNT(*)) AS n FROM rich WHERE c_mktsegment = :seg"),
+        args={"m": 1000.0, "seg": "BUILDING"})
+    expected = spark.read.parquet(f"{SF_SMALL}/customer.parquet") \
+        .filter("c_acctbal > 1000 AND c_mktsegment = 'BUILDING'").count()
+    assert res.df.collect()[0].n == expected + 1
