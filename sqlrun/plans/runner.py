@@ -178,16 +178,34 @@ def _sql(session: SparkSession, text: str, bound: Mapping[str, Any]) -> DataFram
 
 
 def main(argv: list[str] | None = None) -> int:
-    """``python -m sqlrun.plans.runner SPEC_PATH RUN_ID``: run a JSON spec on
-    the current cluster and print the output path."""
-    argv = list(sys.argv[1:] if argv is None else argv)
-    if len(argv) != 2 or not all(a.strip() for a in argv):
-        print("usage: runner SPEC_PATH RUN_ID", file=sys.stderr)
+    """``python -m sqlrun.plans.runner SPEC_PATH RUN_ID [--query SQL] [--preview N]``
+
+    Runs a JSON spec on the current cluster, writes the result under
+    ``outputPrefix/RUN_ID`` and prints that path; ``--query`` overrides the
+    spec's query, ``--preview N`` also prints at most N result rows."""
+    import argparse
+
+    parser = argparse.ArgumentParser(prog="sqlrun")
+    parser.add_argument("spec_path")
+    parser.add_argument("run_id")
+    parser.add_argument("--query", default=None)
+    parser.add_argument("--preview", type=int, default=0)
+    try:
+        ns = parser.parse_args(sys.argv[1:] if argv is None else argv)
+    except SystemExit:
+        return 1
+    if not ns.spec_path.strip() or not ns.run_id.strip():
+        print("spec path and run id must be non-empty", file=sys.stderr)
         return 1
     spark = SparkSession.builder.getOrCreate()
-    spec = RunSpec.load(spark, argv[0], require_output=True)
-    result = run(spark, spec)
-    print(result.write(run_id=argv[1]))
+    spec = RunSpec.load(spark, ns.spec_path, require_output=True)
+    result = run(spark, spec, query=ns.query)
+    path = result.write(run_id=ns.run_id)
+    print(path)
+    if ns.preview > 0:
+        from ..sources.result_sink import preview
+
+        preview(spark, path, ns.preview).show(ns.preview, truncate=False)
     return 0
 
 

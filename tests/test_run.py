@@ -192,6 +192,12 @@ def test_command_line_entry(spark, scratch, capsys):
     out = capsys.readouterr().out.strip()
     assert out == scratch + "/cli/run-7"
     assert spark.read.parquet(out).count() == 25
+    assert main([path, "run-8", "--query", "SELECT n_regionkey, COUNT(*) AS n FROM nation "
+                 "GROUP BY n_regionkey", "--preview", "3"]) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0] == scratch + "/cli/run-8"
+    assert spark.read.parquet(lines[0]).count() == 5
+    assert "n_regionkey" in lines[2]
     assert main([path]) == 1
 
 
