@@ -326,3 +326,19 @@ def test_flat_dataset_schema_modes(spark, scratch):
     assert set(merged.columns) == {"a", "b", "p"}
     first = scan_dataset(spark, _ds(base, [])).df
     assert len(first.columns) in (2, 3)   # one footer decides, as a plain Spark read
+
+
+_VALUE_CHARS = st.sampled_from(list("ab9 _-.:/=%*?,{}[]^\\\"'#~@!$&()+;<>|`") + ["é", "中"])
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(values=st.lists(st.text(_VALUE_CHARS, min_size=1, max_size=6).filter(lambda s: s.strip() == s),
+                       min_size=1, max_size=5, unique=True))
+def test_any_value_written_by_spark_is_found(spark, values):
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="sqlrun-prop-") + "/t"
+    rows = [(i, v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "id int, k string").write.partitionBy("k").parquet(base)
+    df = scan_dataset(spark, _ds(base, [{"key": "k", "values": values}])).df
+    assert sorted((r.id, r.k) for r in df.collect()) == sorted(rows)
