@@ -31,6 +31,11 @@ if TYPE_CHECKING:
     from ..sources.partition_scan import Scan
 
 
+def col(name: str):
+    """A column by its exact name (partition keys may hold dots)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def value_display(v) -> str | None:
     if v is None:
         return None
@@ -51,12 +56,12 @@ def requested_leaves(scan: "Scan") -> DataFrame:
     for p in ds.partitions:
         size = len(p.values)
         stride //= size
-        pos = (F.floor(F.col("leaf_index") / F.lit(stride)) % F.lit(size)).cast("int") + 1
+        pos = F.expr(f"CAST((leaf_index div {stride}) % {size} AS INT) + 1")
         shown = F.array(*[F.lit(value_display(v)).cast("string") for v in p.values])
         texts = F.array(*[F.lit(canonical_text(v)) for v in p.values])
         df = df.withColumn(p.key, F.element_at(shown, pos)) \
                .withColumn(f"_dir_{p.key}", F.element_at(texts, pos))
-        path += [F.lit("/" + hive_escape(p.key) + "="), F.col(f"_dir_{p.key}")]
+        path += [F.lit("/" + hive_escape(p.key) + "="), col(f"_dir_{p.key}")]
     return df.withColumn("path", F.concat(*path))
 
 
@@ -72,8 +77,8 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
     files = files.select("length", *leaf_text_columns("path", keys))
     for p in ds.partitions:  # booleans may be spelled True/False on storage
         if column_type(p).typeName() == "boolean":
-            files = files.withColumn(f"_dir_{p.key}", F.lower(f"_dir_{p.key}"))
-    stats = files.groupBy(*dir_cols).agg(F.count(F.lit(1)).alias("files"),
+            files = files.withColumn(f"_dir_{p.key}", F.lower(col(f"_dir_{p.key}")))
+    stats = files.groupBy(*[col(c) for c in dir_cols]).agg(F.count(F.lit(1)).alias("files"),
                                          F.sum("length").alias("bytes"))
     out = req.join(stats, on=dir_cols, how="left")
 
@@ -82,16 +87,16 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
     for combo in bad:
         cond = F.lit(True)
         for k, t in zip(keys, combo):
-            cond = cond & (F.col(f"_dir_{k}") == F.lit(t))
+            cond = cond & (col(f"_dir_{k}") == F.lit(t))
         bad_expr = bad_expr | cond
 
     if with_rows:
         typed = {p.key: column_type(p) for p in ds.partitions}
-        counts = scan.leaf_df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        counts = counts.select(*[F.col(k).alias(f"_v_{k}") for k in keys], "rows")
+        counts = scan.leaf_df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"))
+        counts = counts.select(*[col(k).alias(f"_v_{k}") for k in keys], "rows")
         cond = None
         for k in keys:
-            c = F.col(k).cast(typed[k]).eqNullSafe(F.col(f"_v_{k}"))
+            c = col(k).cast(typed[k]).eqNullSafe(col(f"_v_{k}"))
             cond = c if cond is None else cond & c
         out = out.join(counts, on=cond, how="left").drop(*[f"_v_{k}" for k in keys])
     else:
@@ -101,7 +106,7 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
               .when(F.coalesce(F.col("files"), F.lit(0)) > 0, F.lit("found"))
               .otherwise(F.lit("missing")))
     return out.select(
-        "dataset", "leaf_index", *keys, "path", status.alias("status"),
+        "dataset", "leaf_index", *[col(k) for k in keys], "path", status.alias("status"),
         F.coalesce("files", F.lit(0)).cast("bigint").alias("files"),
         F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"),
         F.when(bad_expr, F.lit(None)).otherwise(F.coalesce("rows", F.lit(0))).cast("bigint").alias("rows"),

@@ -41,7 +41,8 @@ def multiplicity_expr(ds: DatasetSpec) -> Column | None:
         typ = column_type(p)
         expr = None
         for v, n in dups.items():
-            cond = F.col(p.key).isNull() if v is None else F.col(p.key) == F.lit(v).cast(typ)
+            c = F.col(f"`{p.key}`")
+            cond = c.isNull() if v is None else c == F.lit(v).cast(typ)
             expr = (F.when(cond, F.lit(n)) if expr is None else expr.when(cond, F.lit(n)))
         factors.append(expr.otherwise(F.lit(1)))
     if not factors:

@@ -95,7 +95,7 @@ def survey(spark: SparkSession, base: str, globs: list[str], keys: list[str]) ->
                 .agg(F.min("path").alias("first_path"))
                 .orderBy("first_path").collect())
         bad = (checked.filter(~F.col("ok"))
-               .select(*[F.col(f"_dir_{k}").alias(k) for k in keys])
+               .select(*[F.col(f"`_dir_{k}`").alias(k) for k in keys])
                .distinct().collect())
     finally:
         checked.unpersist()

@@ -275,10 +275,11 @@ def _leaf_filter(ds: DatasetSpec, leaves: list[dict[str, str]], listed: dict[str
             text = leaf.get(k)
             if text is None:
                 continue
+            c = F.col(f"`{k}`")
             if text == HIVE_NULL:
-                cond = cond & F.col(k).isNull()
+                cond = cond & c.isNull()
             else:
-                cond = cond & (F.col(k) == F.lit(hive_unescape(text)).cast(typ))
+                cond = cond & (c == F.lit(hive_unescape(text)).cast(typ))
         expr = expr | cond
     return expr
 

@@ -342,3 +342,13 @@ def test_any_value_written_by_spark_is_found(spark, values):
     spark.createDataFrame(rows, "id int, k string").write.partitionBy("k").parquet(base)
     df = scan_dataset(spark, _ds(base, [{"key": "k", "values": values}])).df
     assert sorted((r.id, r.k) for r in df.collect()) == sorted(rows)
+
+
+def test_dotted_key_and_large_spec_index(spark, scratch):
+    base = f"{scratch}/t"
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, `k.x` string") \
+        .write.partitionBy("k.x").parquet(base)
+    scan = scan_dataset(spark, _ds(base, [{"key": "k.x", "values": ["a", "b", "a"]}]))
+    assert sorted(r.id for r in scan.df.collect()) == [1, 1, 2]
+    cov = scan.coverage().orderBy("leaf_index").collect()
+    assert [(r["k.x"], r.status, r.rows) for r in cov] == [("a", "found", 1), ("b", "found", 1), ("a", "found", 1)]
