@@ -102,20 +102,20 @@ COVER_DATES = fx.EVENT_DATES[::3] + ["2099-01-01"]
 COVER_TYPES = ["view", "click", "no_such_type"]
 
 
-def _values_rows(values: list[str], pos: str) -> str:
-    return ", ".join(f"('{v}', {i})" for i, v in enumerate(values))
+def _duck_list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 @register("partition_coverage",
-          f"WITH d(event_date, di) AS (VALUES {_values_rows(COVER_DATES, 'di')}), "
-          f"t(event_type, ti) AS (VALUES {_values_rows(COVER_TYPES, 'ti')}), "
+          f"WITH req AS (SELECT CAST(i AS BIGINT) AS leaf_index, "
+          f"{_duck_list(COVER_DATES)}[CAST(i // {len(COVER_TYPES)} AS INTEGER) + 1] AS event_date, "
+          f"{_duck_list(COVER_TYPES)}[CAST(i % {len(COVER_TYPES)} AS INTEGER) + 1] AS event_type "
+          f"FROM range({len(COVER_DATES) * len(COVER_TYPES)}) t(i)), "
           f"c AS (SELECT {D} AS event_date, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2) "
-          f"SELECT CAST(d.di * {len(COVER_TYPES)} + t.ti AS BIGINT) AS leaf_index, "
-          "d.event_date, t.event_type, "
+          "SELECT req.leaf_index, req.event_date, req.event_type, "
           "CASE WHEN c.n IS NULL THEN 'missing' ELSE 'found' END AS status, "
           "CAST(COALESCE(c.n, 0) AS BIGINT) AS rows "
-          "FROM d CROSS JOIN t LEFT JOIN c ON c.event_date = d.event_date "
-          "AND c.event_type = t.event_type")
+          "FROM req LEFT JOIN c ON c.event_date = req.event_date AND c.event_type = req.event_type")
 def partition_coverage(spark: SparkSession, sf: str):
     ds = events_ds(spark, sf, dates=COVER_DATES, types=COVER_TYPES)
     res = run(spark, {"datasets": [ds], "query": "SELECT 1 AS one"})
