@@ -10,6 +10,7 @@ dataset scans, views and query - as one plan.
 from __future__ import annotations
 
 import logging
+import re
 import sys
 from dataclasses import dataclass, field
 from typing import Any, Mapping
@@ -152,6 +153,9 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
         if not text.strip():
             log.warning("skipping empty view %s", view.name)
             continue
+        if _is_plain_query(text):
+            log.warning("view %s is a query, not a statement: it is analysed and its "
+                        "result is dropped", view.name)
         try:
             _sql(session, text, bound)
         except Exception as exc:
@@ -161,6 +165,14 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
     return RunResult(session, spec, df, scans, skipped)
 
 
+_QUERY_START = re.compile(r"^\s*(?:(?:--[^\n]*\n|/\*.*?\*/)\s*)*\(*\s*(SELECT|WITH|VALUES|FROM|TABLE)\b",
+                          re.IGNORECASE | re.DOTALL)
+
+
+def _is_plain_query(text: str) -> bool:
+    return bool(_QUERY_START.match(text))
+
+
 def _plan_scans(session: SparkSession, spec: RunSpec) -> list[Scan]:
     if len(spec.datasets) == 1:
         return [scan_dataset(session, spec.datasets[0])]

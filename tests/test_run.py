@@ -211,3 +211,15 @@ def test_typed_args_reach_views_and_other_statements(spark):
     expected = spark.read.parquet(f"{SF_SMALL}/customer.parquet") \
         .filter("c_acctbal > 1000 AND c_mktsegment = 'BUILDING'").count()
     assert res.df.collect()[0].n == expected + 1
+
+
+def test_plain_query_in_view_chain_is_dropped_with_a_warning(spark, caplog):
+    from sqlrun.plans.runner import _is_plain_query
+
+    assert _is_plain_query("-- note\n  select 1") and _is_plain_query("WITH a AS (SELECT 1) SELECT * FROM a")
+    assert not _is_plain_query("CREATE TEMPORARY VIEW v AS SELECT 1")
+    assert not _is_plain_query("SET x = 1")
+    with caplog.at_level("WARNING", logger="sqlrun"):
+        res = run(spark, _spec(spark, views=[{"name": "q", "sql": "SELECT 1/0 AS boom"}]))
+    assert res.df.collect()[0].n == 1000
+    assert any("result is dropped" in r.message for r in caplog.records)
