@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 from collections import Counter
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -20,11 +21,14 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = bool(os.environ.get("ORACLE_STRICT"))
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return v + 0.0 if STRICT else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, dt.datetime):
