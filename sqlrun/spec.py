@@ -133,13 +133,31 @@ class RunSpec:
             raise SpecError("run spec document is empty")
         return RunSpec.from_dict(json.loads(text), **kw)
 
+    @staticmethod
+    def from_yaml(text: str, **kw: Any) -> "RunSpec":
+        """A YAML run config (datasets, views as SQL file paths, parameters,
+        query, outputPrefix, sparkSessionConfig).  Keys for job submission
+        and cloud access are ignored; an unquoted YAML date is taken as its
+        ISO text, the same folder a quoted date selects."""
+        try:
+            import yaml
+        except ImportError as exc:  # pragma: no cover - PyYAML is optional
+            raise SpecError("YAML run specs need PyYAML installed") from exc
+        if not text.strip():
+            raise SpecError("run spec document is empty")
+        return RunSpec.from_dict(_dates_as_text(yaml.safe_load(text)), **kw)
+
     @staticmethod
     def load(spark: SparkSession, path: str, **kw: Any) -> "RunSpec":
-        """Read a JSON run spec from any Hadoop-readable path (local, HDFS,
-        object store) through Spark, so the driver needs no cloud client."""
+        """Read a JSON (or ``.yaml``/``.yml``) run spec from any
+        Hadoop-readable path (local, HDFS, object store) through Spark, so
+        the driver needs no cloud client."""
         from .sources.text_files import read_whole_text
 
-        return RunSpec.from_json(read_whole_text(spark, path), **kw)
+        text = read_whole_text(spark, path)
+        if path.lower().endswith((".yaml", ".yml")):
+            return RunSpec.from_yaml(text, **kw)
+        return RunSpec.from_json(text, **kw)
 
     # ------------------------------------------------------------------ check
     def check(self) -> None:
@@ -161,6 +179,18 @@ class RunSpec:
                        self.parameters, self.args, self.session_config)
 
 
+def _dates_as_text(node: Any) -> Any:
+    import datetime as dt
+
+    if isinstance(node, (dt.date, dt.datetime)):
+        return node.isoformat()
+    if isinstance(node, Mapping):
+        return {k: _dates_as_text(v) for k, v in node.items()}
+    if isinstance(node, list):
+        return [_dates_as_text(v) for v in node]
+    return node
+
+
 def _view(v: Any, i: int) -> ViewSpec:
     if isinstance(v, ViewSpec):
         return v

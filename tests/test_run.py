@@ -223,3 +223,52 @@ def test_plain_query_in_view_chain_is_dropped_with_a_warning(spark, caplog):
         res = run(spark, _spec(spark, views=[{"name": "q", "sql": "SELECT 1/0 AS boom"}]))
     assert res.df.collect()[0].n == 1000
     assert any("result is dropped" in r.message for r in caplog.records)
+
+
+def test_yaml_run_config_with_view_files(spark, scratch):
+    events = fx.events_by_day_type(spark, SF_SMALL)
+    view = os.path.join(scratch, "create_metrics_view.sql")
+    with open(view, "w") as fh:
+        fh.write("CREATE TEMPORARY VIEW daily_metrics AS\n"
+                 "SELECT event_date, event_type AS region, COUNT(*) AS total_events,\n"
+                 "       COUNT(DISTINCT user_id) AS unique_users\n"
+                 "FROM events WHERE event_date >= '${START_DATE}'\n"
+                 "GROUP BY event_date, event_type\n")
+    cfg = f"""
+applicationId: ignored-here
+awsRegion: ignored-here
+outputPrefix: {scratch}/results/
+datasets:
+  - name: events
+    path: {events}/
+    partitions:
+      - key: event_date
+        values:
+          - 2024-01-01
+          - "2024-01-02"
+      - key: event_type
+        values: [click, view]
+  - name: users
+    path: {SF_SMALL}/customer.parquet
+views:
+  - {view}
+parameters:
+  START_DATE: "2024-01-01"
+  LIMIT: 5
+query: |
+  SELECT region, SUM(total_events) AS n FROM daily_metrics GROUP BY region ORDER BY region LIMIT ${{LIMIT}}
+sparkSubmitConfig:
+  spark.executor.memory: "32G"
+"""
+    path = os.path.join(scratch, "query.yaml")
+    with open(path, "w") as fh:
+        fh.write(cfg)
+    spec = RunSpec.load(spark, path, require_output=True)
+    assert spec.datasets[0].partitions[0].values == ("2024-01-01", "2024-01-02")
+    res = run(spark, spec)
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet") \
+        .filter("to_date(ts) IN (DATE'2024-01-01', DATE'2024-01-02') AND event_type IN ('click', 'view')")
+    expected = {r.event_type: r["count"] for r in flat.groupBy("event_type").count().collect()}
+    assert {r.region: r.n for r in res.df.collect()} == expected
+    out = res.write(run_id="y1")
+    assert out == f"{scratch}/results/y1"
