@@ -190,23 +190,24 @@ def _sql(session: SparkSession, text: str, bound: Mapping[str, Any]) -> DataFram
 
 
 def main(argv: list[str] | None = None) -> int:
-    """``python -m sqlrun.plans.runner SPEC_PATH RUN_ID [--query SQL] [--preview N]``
+    """``python -m sqlrun.plans.runner SPEC_PATH [RUN_ID] [--query SQL] [--preview N]``
 
-    Runs a JSON spec on the current cluster, writes the result under
-    ``outputPrefix/RUN_ID`` and prints that path; ``--query`` overrides the
-    spec's query, ``--preview N`` also prints at most N result rows."""
+    Runs a JSON or YAML spec on the current cluster, writes the result under
+    ``outputPrefix/RUN_ID`` (a new UUID when no id is given) and prints that
+    path; ``--query`` overrides the spec's query, ``--preview N`` also prints
+    at most N result rows."""
     import argparse
 
     parser = argparse.ArgumentParser(prog="sqlrun")
     parser.add_argument("spec_path")
-    parser.add_argument("run_id")
+    parser.add_argument("run_id", nargs="?", default=None)
     parser.add_argument("--query", default=None)
     parser.add_argument("--preview", type=int, default=0)
     try:
         ns = parser.parse_args(sys.argv[1:] if argv is None else argv)
     except SystemExit:
         return 1
-    if not ns.spec_path.strip() or not ns.run_id.strip():
+    if not ns.spec_path.strip() or (ns.run_id is not None and not ns.run_id.strip()):
         print("spec path and run id must be non-empty", file=sys.stderr)
         return 1
     spark = SparkSession.builder.getOrCreate()

@@ -198,7 +198,10 @@ def test_command_line_entry(spark, scratch, capsys):
     assert lines[0] == scratch + "/cli/run-8"
     assert spark.read.parquet(lines[0]).count() == 5
     assert "n_regionkey" in lines[2]
-    assert main([path]) == 1
+    assert main([path]) == 0            # run id defaults to a new UUID
+    auto = capsys.readouterr().out.strip()
+    assert auto.startswith(scratch + "/cli/") and len(auto.rsplit("/", 1)[1]) == 36
+    assert main([]) == 1
 
 
 def test_typed_args_reach_views_and_other_statements(spark):
