@@ -41,6 +41,7 @@ DEFAULT_PROFILE: dict[str, str] = {
 
 # Confs Spark accepts at runtime but that have no effect once the context runs.
 _LAUNCH_ONLY = {"spark.default.parallelism"}
+_HADOOP_PREFIX = "spark.hadoop."
 
 # Spark lists many partition folders with a job of up to this many tasks
 # (default 10000), one folder per task below that.  Sized to the cluster's
@@ -84,14 +85,25 @@ class RunResult:
 
 def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
     """Set runtime confs; a given map replaces the default profile (an empty
-    map means the defaults).  Confs that only take effect at launch are
-    skipped and returned, not silently half-applied."""
+    map means the defaults).
+
+    * ``spark.hadoop.X`` is set as ``X`` on the run session: the session's
+      file reads and writes build their Hadoop configuration from its confs,
+      so e.g. filesystem credentials apply to this run only;
+    * confs Spark refuses at runtime (executor sizing, packages, static SQL
+      confs) and ones it accepts but ignores once running
+      (``spark.default.parallelism``) are skipped and returned, not silently
+      half-applied."""
     skipped = []
     for key, value in (conf or DEFAULT_PROFILE).items():
-        if key in _LAUNCH_ONLY or not session.conf.isModifiable(key):
+        if key in _LAUNCH_ONLY:
             skipped.append(key)
             continue
-        session.conf.set(key, str(value))
+        target = key[len(_HADOOP_PREFIX):] if key.startswith(_HADOOP_PREFIX) else key
+        try:
+            session.conf.set(target, str(value))
+        except Exception:  # CANNOT_MODIFY_CONFIG and friends
+            skipped.append(key)
     if skipped:
         log.warning("launch-time confs not applied to the run session: %s", skipped)
     return skipped

@@ -85,9 +85,15 @@ def test_profile_replaces_defaults_and_skips_launch_confs(spark):
     s = spark.newSession()
     skipped = apply_profile(s, {"spark.sql.shuffle.partitions": "5",
                                 "spark.default.parallelism": "9",
-                                "spark.executor.memory": "4g"})
+                                "spark.executor.memory": "4g",
+                                "spark.sql.warehouse.dir": "/elsewhere",
+                                "spark.hadoop.fs.sqlrun.test.key": "v1",
+                                "custom.user.key": "v2"})
     assert s.conf.get("spark.sql.shuffle.partitions") == "5"
-    assert set(skipped) == {"spark.default.parallelism", "spark.executor.memory"}
+    assert s.conf.get("fs.sqlrun.test.key") == "v1"
+    assert s.conf.get("custom.user.key") == "v2"
+    assert set(skipped) == {"spark.default.parallelism", "spark.executor.memory",
+                            "spark.sql.warehouse.dir"}
     s2 = spark.newSession()
     assert apply_profile(s2, {}) == []
     assert s2.conf.get("spark.sql.adaptive.enabled") == DEFAULT_PROFILE["spark.sql.adaptive.enabled"]
