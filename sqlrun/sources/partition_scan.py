@@ -117,19 +117,26 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
             raise ScanError(f"dataset '{ds.name}': schema must be a list of columns")
         schema = _with_partition_types(declared, listed, append_missing=True)
     else:
-        try:
-            inferred = _infer_schema(spark, ds, globs, merge=ds.merge_schema)
-        except AnalysisException as exc:
-            if _is_path_not_found(exc) or not _is_recoverable(exc):
-                raise
-            inferred, bad = _survey_schema(spark, ds, globs, exc)
-        except Exception as exc:  # merge conflict or unreadable footer (job failure)
-            if not _is_recoverable(exc):
-                raise
-            inferred, bad = _survey_schema(spark, ds, globs, exc)
+        # The first listed leaf's own schema (for union column order) and
+        # the merged schema are independent reads: run them together.
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=1) as pool:
+            first = pool.submit(_first_leaf_schema, spark, ds) if ds.merge_schema else None
+            try:
+                inferred = _infer_schema(spark, ds, globs, merge=ds.merge_schema)
+            except AnalysisException as exc:
+                if _is_path_not_found(exc) or not _is_recoverable(exc):
+                    raise
+                inferred, bad = _survey_schema(spark, ds, globs, exc)
+            except Exception as exc:  # merge conflict or unreadable footer (job failure)
+                if not _is_recoverable(exc):
+                    raise
+                inferred, bad = _survey_schema(spark, ds, globs, exc)
+            first_schema = first.result() if first is not None else None
         schema = _with_partition_types(inferred, listed, append_missing=True)
-        if ds.merge_schema:
-            schema = _union_order(spark, ds, globs, schema, listed)
+        if first_schema is not None:
+            schema = _union_order(first_schema, schema, listed)
 
     raw = spark.read.schema(schema).option("basePath", base).parquet(*globs)
     # Spark moves a partition column that is also a file column to the end
@@ -158,25 +165,25 @@ def _is_path_not_found(exc: Exception) -> bool:
     return "PATH_NOT_FOUND" in text or "Path does not exist" in text
 
 
-def _union_order(spark: SparkSession, ds: DatasetSpec, globs: list[str],
-                 merged: T.StructType, listed: dict[str, T.DataType]) -> T.StructType:
-    """Order columns as a by-name union of the leaves would: the first listed
-    leaf's columns (a listed key in place if its files hold it, deeper
-    partition levels after them), then the listed keys, then columns first
-    seen in later leaves.
-
-    Costs one small read: the first existing leaf in list order (one leaf
-    listing and one footer), not a second listing of the whole spec."""
-    first = None
+def _first_leaf_schema(spark: SparkSession, ds: DatasetSpec) -> T.StructType | None:
+    """Schema of the first existing, readable leaf in list order (one leaf
+    listing and one footer), or None when none is found within the probe
+    budget."""
     for combo in itertools.islice(itertools.product(*[_distinct(p.values) for p in ds.partitions]),
                                   _MAX_ORDER_PROBES):
         try:
-            first = spark.read.parquet(leaf_path(ds, combo)).schema
-            break
+            return spark.read.parquet(leaf_path(ds, combo)).schema
         except Exception:  # missing, empty or unreadable leaf: try the next
             continue
-    if first is None:
-        return merged
+    return None
+
+
+def _union_order(first: T.StructType, merged: T.StructType,
+                 listed: dict[str, T.DataType]) -> T.StructType:
+    """Order columns as a by-name union of the leaves would: the first listed
+    leaf's columns (a listed key in place if its files hold it, deeper
+    partition levels after them), then the listed keys, then columns first
+    seen in later leaves."""
     by_lower = {f.name.lower(): f for f in merged.fields}
     order: list[str] = []
     for name in [f.name for f in first.fields] + list(listed):
