@@ -281,3 +281,23 @@ sparkSubmitConfig:
     assert {r.region: r.n for r in res.df.collect()} == expected
     out = res.write(run_id="y1")
     assert out == f"{scratch}/results/y1"
+
+
+def test_empty_spec_documents_rejected():
+    with pytest.raises(SpecError, match="empty"):
+        RunSpec.from_json("  \n")
+    with pytest.raises(SpecError, match="empty"):
+        RunSpec.from_yaml("")
+
+
+def test_coverage_over_two_partitioned_datasets(spark):
+    orders = {"name": "orders", "path": fx.orders_by_year(spark, SF_SMALL),
+              "partitions": [{"key": "o_year", "values": [1995, 2099]}]}
+    res = run(spark, {"datasets": [events_ds(spark, SF_SMALL, dates=["2024-01-01"], types=["view"]),
+                                   orders], "query": "SELECT 1 AS x"})
+    cov = res.coverage().collect()
+    assert sorted((r.dataset, r.status) for r in cov) == [
+        ("ev", "found"), ("orders", "found"), ("orders", "missing")]
+    by_ds = {r.dataset: r for r in cov if r.status == "found"}
+    assert by_ds["ev"].event_type == "view" and by_ds["ev"].o_year is None
+    assert by_ds["orders"].o_year == "1995" and by_ds["orders"].rows > 0
