@@ -74,6 +74,18 @@ class RunResult:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
+    def load_report(self) -> DataFrame:
+        """Per dataset: requested partitions and how many were found,
+        missing or unreadable (one small aggregate over the coverage)."""
+        from pyspark.sql import functions as F
+
+        cov = self.coverage(with_rows=False)
+        return cov.groupBy("dataset").agg(
+            F.count(F.lit(1)).alias("requested"),
+            F.sum((F.col("status") == "found").cast("int")).cast("bigint").alias("found"),
+            F.sum((F.col("status") == "missing").cast("int")).cast("bigint").alias("missing"),
+            F.sum((F.col("status") == "unreadable").cast("int")).cast("bigint").alias("unreadable"))
+
     def write(self, output_prefix: str | None = None, run_id: str | None = None) -> str:
         from ..sources.result_sink import write_result
 

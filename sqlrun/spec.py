@@ -8,12 +8,15 @@ spec fails fast on the driver instead of half-way through a cluster run.
 from __future__ import annotations
 
 import json
+import logging
 import re
 from dataclasses import dataclass, field
 from typing import Any, Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
+log = logging.getLogger("sqlrun")
+
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 # Spark type names accepted for a declared partition column type.
@@ -115,6 +118,9 @@ class RunSpec:
         conf = raw.get("sparkSessionConfig", raw.get("session_config")) or {}
         if not isinstance(conf, Mapping):
             raise SpecError("'sparkSessionConfig' must be a mapping")
+        if raw.get("sparkSubmitConfig"):
+            log.warning("sparkSubmitConfig holds launch-time settings for spark-submit; "
+                        "a run on an existing session does not apply them")
         spec = RunSpec(
             datasets=tuple(_dataset(d, i) for i, d in enumerate(datasets_raw)),
             query=query,

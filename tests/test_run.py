@@ -301,3 +301,10 @@ def test_coverage_over_two_partitioned_datasets(spark):
     by_ds = {r.dataset: r for r in cov if r.status == "found"}
     assert by_ds["ev"].event_type == "view" and by_ds["ev"].o_year is None
     assert by_ds["orders"].o_year == "1995" and by_ds["orders"].rows > 0
+
+
+def test_load_report(spark):
+    res = run(spark, {"datasets": [events_ds(spark, SF_SMALL, dates=["2024-01-01", "2099-01-01"],
+                                             types=["view", "click"])], "query": "SELECT 1 AS x"})
+    r = res.load_report().collect()[0]
+    assert (r.dataset, r.requested, r.found, r.missing, r.unreadable) == ("ev", 4, 2, 2, 0)
