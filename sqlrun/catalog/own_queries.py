@@ -70,6 +70,21 @@ def scan_partition_nested(spark: SparkSession, sf: str):
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
+# Fixed value: the data columns of the `events` files (DDL), as declared by a
+# user who skips footer inference.
+EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE, props STRING"
+
+
+@register("scan_declared_schema",
+          f"SELECT event_id, user_id, value, {D} AS event_date, event_type FROM events "
+          "WHERE value > 25")
+def scan_declared_schema(spark: SparkSession, sf: str):
+    # declared data schema: no footer is read to plan the scan
+    ds = {**events_ds(spark, sf), "schema": EVENTS_DDL}
+    return run_sql(spark, [ds], "SELECT event_id, user_id, value, event_date, event_type "
+                                "FROM ev WHERE value > 25")
+
+
 @register("scan_partition_three_levels",
           f"SELECT *, {D} AS event_date, CAST(hour(ts) AS INTEGER) AS hour FROM events")
 def scan_partition_three_levels(spark: SparkSession, sf: str):
