@@ -35,10 +35,16 @@ ORDER_YEARS = list(range(1995, 2002))
 def shared_dir(spark: SparkSession) -> str:
     # The conf names the cluster's shared folder; getCheckpointDir() adds a
     # per-application sub-folder, which would defeat reuse across runs.
-    sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the conf is visible
+        sc = None
+    current = current or (sc.getCheckpointDir() if sc is not None else None)
     if current:
         return current.rstrip("/")
+    if sc is None:
+        raise RuntimeError("spark.checkpoint.dir is not set on this session")
     local = tempfile.mkdtemp(prefix="sqlrun-checkpoint-")
     sc.setCheckpointDir(local)
     return (sc.getCheckpointDir() or local).rstrip("/")

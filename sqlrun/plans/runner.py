@@ -132,7 +132,10 @@ def size_to_cluster(session: SparkSession, conf: Mapping[str, str]) -> None:
     """Size folder listing and initial shuffle width to the cluster's cores,
     unless the run's conf map or the cluster's configuration chose values."""
     conf = conf or {}
-    cores = session.sparkContext.defaultParallelism
+    try:
+        cores = session.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext handle (Spark Connect): keep cluster settings
+        return
     if LISTING_PARALLELISM not in conf and \
             session.conf.get(LISTING_PARALLELISM, _SPARK_LISTING_DEFAULT) == _SPARK_LISTING_DEFAULT:
         session.conf.set(LISTING_PARALLELISM, str(max(8, min(10000, 2 * cores))))
@@ -159,7 +162,11 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
     params = {**spec.parameters, **(parameters or {})}
     bound = {**spec.args, **(args or {})}
 
-    session = spark.newSession()
+    try:
+        session = spark.newSession()
+    except Exception:  # pragma: no cover - clients without newSession
+        log.warning("newSession() unavailable: the run shares the caller's session")
+        session = spark
     skipped = apply_profile(session, spec.session_config)
     size_to_cluster(session, spec.session_config)
 
