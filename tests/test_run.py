@@ -308,3 +308,23 @@ def test_load_report(spark):
                                              types=["view", "click"])], "query": "SELECT 1 AS x"})
     r = res.load_report().collect()[0]
     assert (r.dataset, r.requested, r.found, r.missing, r.unreadable) == ("ev", 4, 2, 2, 0)
+
+
+def test_sql_script_in_view_chain(spark):
+    script = """BEGIN
+  CREATE OR REPLACE TEMPORARY VIEW clicks AS SELECT * FROM ev WHERE event_type = 'click';
+  CREATE OR REPLACE TEMPORARY VIEW click_users AS SELECT DISTINCT user_id FROM clicks;
+END;"""
+    res = run(spark, _spec(spark, views=[{"name": "script", "sql": script}],
+                           query="SELECT COUNT(*) AS n FROM click_users"))
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet").filter("event_type = 'click'")
+    assert res.df.collect()[0].n == flat.select("user_id").distinct().count()
+
+
+def test_parameters_do_not_touch_dataset_paths(spark):
+    from sqlrun import ScanError
+
+    spec = {"datasets": [{"name": "t", "path": SF_SMALL + "/${TABLE}.parquet"}],
+            "query": "SELECT * FROM t", "parameters": {"TABLE": "nation"}}
+    with pytest.raises(ScanError):
+        run(spark, spec)
