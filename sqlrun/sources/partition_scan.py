@@ -111,9 +111,11 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
     listed = {p.key: column_type(p) for p in ds.partitions}
     bad: list[dict[str, str]] = []
     if ds.schema:
-        declared = T._parse_datatype_string(ds.schema)
-        if not isinstance(declared, T.StructType):
-            raise ScanError(f"dataset '{ds.name}': schema must be a list of columns")
+        try:
+            declared = T.StructType.fromDDL(ds.schema)
+        except Exception as exc:
+            raise ScanError(f"dataset '{ds.name}': schema must be a DDL column list "
+                            f"('a INT, b STRING'): {exc}") from exc
         schema = _with_partition_types(declared, listed, append_missing=True)
     else:
         # The first listed leaf's own schema (for union column order) and
