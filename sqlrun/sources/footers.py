@@ -4,14 +4,13 @@ Used only when Spark's own schema merge fails: files whose types conflict in a
 way ``mergeSchema`` rejects (``int`` vs ``bigint``) or files that are not
 readable Parquet.  The file list stays inside Spark (a ``binaryFile`` listing
 with the content column pruned, so no file body is read); each task reads
-just the footers of its files with pyarrow.  Only the *distinct* schemas and
-the leaves with unreadable files come back to the driver; both are bounded by
-the spec, not by the data.
+just the footers of its files with pyarrow.  Only one sample file per
+*distinct* schema and the leaves with unreadable files come back to the
+driver; both are bounded by the spec, not by the data.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass
 
@@ -34,7 +33,6 @@ def _footer_reader():
         import pandas as pd
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
-        from pyspark.sql.pandas.types import from_arrow_schema
 
         def open_fs(path):
             u = urlparse(path)
@@ -49,8 +47,10 @@ def _footer_reader():
                 try:
                     fs, local = open_fs(path)
                     with fs.open_input_file(local) as fh:
-                        arrow_schema = pq.read_schema(fh)
-                    schema.append(from_arrow_schema(arrow_schema).json())
+                        # the Parquet-level schema (physical + logical types)
+                        # fingerprints the file; Spark maps it on the driver
+                        text = str(pq.ParquetFile(fh).schema)
+                        schema.append(text.split("\n", 1)[-1])  # drop the object line
                     ok.append(True)
                 except Exception:
                     schema.append(None)
@@ -62,16 +62,17 @@ def _footer_reader():
 
 @dataclass
 class Survey:
-    schemas: list[str]                 # distinct file schemas, first-seen order
+    samples: list[str]                 # one file per distinct schema, first-seen order
     bad_leaves: list[dict[str, str]]   # escaped directory text per listed key
 
     def widened_schema(self, spark: SparkSession) -> T.StructType | None:
-        """Fold the distinct schemas with ``unionByName`` on empty frames:
-        Spark's own rules widen types, add missing columns and merge struct
-        fields; truly incompatible types raise, as a union would."""
+        """Read each distinct schema from one sample file with Spark (its own
+        Parquet type mapping), then fold them with ``unionByName`` on empty
+        frames: Spark's rules widen types, add missing columns and merge
+        struct fields; truly incompatible types raise, as a union would."""
         acc: DataFrame | None = None
-        for js in self.schemas:
-            empty = spark.createDataFrame([], T.StructType.fromJson(json.loads(js)))
+        for path in self.samples:
+            empty = spark.createDataFrame([], spark.read.parquet(path).schema)
             acc = empty if acc is None else acc.unionByName(empty, allowMissingColumns=True)
         return None if acc is None else acc.schema
 
@@ -99,4 +100,4 @@ def survey(spark: SparkSession, base: str, globs: list[str], keys: list[str]) ->
                .distinct().collect())
     finally:
         checked.unpersist()
-    return Survey([r["schema"] for r in rows], [r.asDict() for r in bad])
+    return Survey([r["first_path"] for r in rows], [r.asDict() for r in bad])

@@ -352,3 +352,16 @@ def test_dotted_key_and_large_spec_index(spark, scratch):
     assert sorted(r.id for r in scan.df.collect()) == [1, 1, 2]
     cov = scan.coverage().orderBy("leaf_index").collect()
     assert [(r["k.x"], r.status, r.rows) for r in cov] == [("a", "found", 1), ("b", "found", 1), ("a", "found", 1)]
+
+
+def test_footer_survey_returns_one_sample_per_distinct_schema(spark):
+    from sqlrun.sources import footers
+
+    base = fx.events_evolved(spark, SF_SMALL)
+    globs = [f"{base}/event_type={t}" for t in fx.EVENT_TYPES]
+    survey = footers.survey(spark, base, globs, ["event_type"])
+    files = spark.read.format("binaryFile").load(globs).count()
+    assert files > 2
+    assert len(survey.samples) == 2 and survey.bad_leaves == []
+    widened = survey.widened_schema(spark)
+    assert dict((f.name, f.dataType.simpleString()) for f in widened.fields)["event_id"] == "bigint"
