@@ -365,3 +365,23 @@ def test_footer_survey_returns_one_sample_per_distinct_schema(spark):
     assert len(survey.samples) == 2 and survey.bad_leaves == []
     widened = survey.widened_schema(spark)
     assert dict((f.name, f.dataType.simpleString()) for f in widened.fields)["event_id"] == "bigint"
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(dates=st.lists(st.sampled_from(fx.EVENT_DATES[:4] + ["2099-01-01"]), min_size=1, max_size=3),
+       hours=st.lists(st.integers(min_value=0, max_value=25), min_size=1, max_size=4),
+       types=st.lists(st.sampled_from(["click", "view", "nope"]), min_size=1, max_size=3))
+def test_three_level_parity_with_int_level(spark, dates, hours, types):
+    base = fx.events_by_day_hour_type(spark, SF_SMALL)
+    parts = [{"key": "event_date", "values": dates}, {"key": "hour", "values": hours},
+             {"key": "event_type", "values": types}]
+    try:
+        naive = naive_union(spark, base, parts)
+    except IndexError:  # nothing listed exists
+        with pytest.raises(ScanError):
+            scan_dataset(spark, _ds(base, parts))
+        return
+    ours = scan_dataset(spark, _ds(base, parts)).df
+    assert dict(ours.dtypes)["hour"] == "int"
+    assert dict(ours.dtypes) == dict(naive.dtypes)
+    assert same_bag(naive, ours)
