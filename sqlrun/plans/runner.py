@@ -86,6 +86,12 @@ class RunResult:
             F.sum((F.col("status") == "missing").cast("int")).cast("bigint").alias("missing"),
             F.sum((F.col("status") == "unreadable").cast("int")).cast("bigint").alias("unreadable"))
 
+    def explain(self, mode: str = "formatted") -> None:
+        """Print the physical plan of the whole run (scans, views, query):
+        check ``PartitionFilters``/``PushedFilters``/``ReadSchema`` and the
+        exchanges before running on a large cluster."""
+        self.df.explain(mode=mode)
+
     def write(self, output_prefix: str | None = None, run_id: str | None = None) -> str:
         from ..sources.result_sink import write_result
 

@@ -328,3 +328,10 @@ def test_parameters_do_not_touch_dataset_paths(spark):
             "query": "SELECT * FROM t", "parameters": {"TABLE": "nation"}}
     with pytest.raises(ScanError):
         run(spark, spec)
+
+
+def test_explain_prints_the_pruned_scan(spark, capsys):
+    res = run(spark, _spec(spark, query="SELECT user_id FROM ev WHERE event_date = '2024-01-02'"))
+    res.explain()
+    out = capsys.readouterr().out
+    assert "PartitionFilters" in out and "2024-01-02" in out
