@@ -86,6 +86,17 @@ class RunResult:
             F.sum((F.col("status") == "missing").cast("int")).cast("bigint").alias("missing"),
             F.sum((F.col("status") == "unreadable").cast("int")).cast("bigint").alias("unreadable"))
 
+    def sql(self, query: str, parameters: Mapping[str, Any] | None = None,
+            args: Mapping[str, Any] | None = None) -> DataFrame:
+        """Run another query over the same registered datasets and views,
+        with the run's parameters (extended by ``parameters``/``args``).
+        The scans are not planned again: their views are already bound."""
+        if not query.strip():
+            raise SpecError("query cannot be empty")
+        params = {**self.spec.parameters, **(parameters or {})}
+        bound = {**self.spec.args, **(args or {})}
+        return _sql(self.session, substitute(query, params), bound)
+
     def explain(self, mode: str = "formatted") -> None:
         """Print the physical plan of the whole run (scans, views, query):
         check ``PartitionFilters``/``PushedFilters``/``ReadSchema`` and the

@@ -335,3 +335,12 @@ def test_explain_prints_the_pruned_scan(spark, capsys):
     res.explain()
     out = capsys.readouterr().out
     assert "PartitionFilters" in out and "2024-01-02" in out
+
+
+def test_further_queries_reuse_the_run(spark):
+    res = run(spark, _spec(spark, parameters={"T": "click"}))
+    df = res.sql("SELECT COUNT(*) AS n FROM ev WHERE event_type = '${T}' AND value > :v", args={"v": 10.0})
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet").filter("event_type = 'click' AND value > 10")
+    assert df.collect()[0].n == flat.count()
+    with pytest.raises(SpecError):
+        res.sql("  ")
