@@ -61,7 +61,11 @@ class Scan:
         return coverage_frame(self, with_rows=with_rows)
 
 
-def scan_dataset(spark: SparkSession, ds: DatasetSpec) -> Scan:
+def scan_dataset(spark: SparkSession, ds: DatasetSpec | dict) -> Scan:
+    """Read one dataset: a plain path, or the listed partitions of a Hive
+    layout (see the module docstring).  ``ds`` may be a dataset dict."""
+    if not isinstance(ds, DatasetSpec):
+        ds = DatasetSpec.from_dict(ds)
     if not ds.partitions:
         return _scan_flat(spark, ds)
     return _scan_listed(spark, ds)

@@ -66,6 +66,12 @@ class DatasetSpec:
         mode = self.schema_mode or ("merge" if self.partitions else "first")
         return mode == "merge"
 
+    @staticmethod
+    def from_dict(raw: Mapping[str, Any]) -> "DatasetSpec":
+        """One dataset entry (``name``, ``path``, ``partitions``, optional
+        ``schema`` / ``schema_mode``), checked as in a run spec."""
+        return _dataset(raw, 0)
+
     @property
     def base_path(self) -> str:
         return self.path.rstrip("/")

@@ -385,3 +385,14 @@ def test_three_level_parity_with_int_level(spark, dates, hours, types):
     assert dict(ours.dtypes)["hour"] == "int"
     assert dict(ours.dtypes) == dict(naive.dtypes)
     assert same_bag(naive, ours)
+
+
+def test_scan_dataset_accepts_a_dict(spark, events_base):
+    scan = scan_dataset(spark, {"name": "ev", "path": events_base,
+                                "partitions": [{"key": "event_date", "values": ["2024-01-01"]},
+                                               {"key": "event_type", "values": ["view"]}]})
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet") \
+        .filter("to_date(ts) = DATE'2024-01-01' AND event_type = 'view'").count()
+    assert scan.df.count() == flat
+    with pytest.raises(SpecError):
+        scan_dataset(spark, {"name": "bad name", "path": events_base})
