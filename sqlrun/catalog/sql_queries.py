@@ -307,6 +307,20 @@ _sql("sql_array",
      "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w)), '_') AS upper_words, "
      "list_contains(string_split(p_name, ' '), 'bolt') AS is_bolt FROM part", ("part",))
 
+_sql("sql_array_column",
+     "SELECT vec_id, label, CAST(size(embedding) AS BIGINT) AS dim, "
+     "element_at(embedding, 1) AS first_value, element_at(embedding, -1) AS last_value FROM embeddings",
+     "SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim, "
+     "embedding[1] AS first_value, embedding[-1] AS last_value FROM embeddings", ("embeddings",))
+
+_sql("sql_struct",
+     "SELECT s.seg AS seg, COUNT(*) AS n, MAX(s.bal) AS max_bal, MIN(s.nation) AS min_nation "
+     "FROM (SELECT named_struct('seg', c_mktsegment, 'bal', c_acctbal, 'nation', c_nationkey) AS s "
+     "FROM customer) GROUP BY s.seg",
+     "SELECT s.seg AS seg, COUNT(*) AS n, MAX(s.bal) AS max_bal, MIN(s.nation) AS min_nation "
+     "FROM (SELECT {'seg': c_mktsegment, 'bal': c_acctbal, 'nation': c_nationkey} AS s "
+     "FROM customer) GROUP BY s.seg", ("customer",))
+
 _sql("sql_map",
      "SELECT element_at(map('F', 'fulfilled', 'O', 'open', 'P', 'partial'), o_orderstatus) AS status, "
      "COUNT(*) AS n FROM orders GROUP BY 1",
