@@ -340,6 +340,14 @@ _sql("sql_explode",
      "SELECT word, COUNT(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) "
      "GROUP BY word", ("part",))
 
+# whole texts: character counts over every document, labels joined by id
+_TEXT = ("SELECT d.lang, d.source, COUNT(*) AS n, "
+         "CAST(SUM(length(d.text)) AS BIGINT) AS chars, CAST(SUM(d.n_chars) AS BIGINT) AS stated_chars, "
+         "CAST(SUM(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, "
+         "CAST(SUM(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unlabelled "
+         "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang, d.source")
+_sql("sql_text_stats", _TEXT, _TEXT, ("documents", "labels"))
+
 # ------------------------------------------------- batch time windows
 _sql("sql_tumbling",
      "SELECT CAST(CAST(window.start AS TIMESTAMP_NTZ) AS STRING) AS window_start, event_type, "
