@@ -348,6 +348,17 @@ _TEXT = ("SELECT d.lang, d.source, COUNT(*) AS n, "
          "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang, d.source")
 _sql("sql_text_stats", _TEXT, _TEXT, ("documents", "labels"))
 
+_TURNS = ("SELECT role, COUNT(*) AS turns, COUNT(DISTINCT conv_id) AS conversations, "
+          "CAST(SUM(length(text)) AS BIGINT) AS chars, MAX(turn) AS max_turn "
+          "FROM conversations GROUP BY role")
+_sql("sql_conversation_turns", _TURNS, _TURNS, ("conversations",))
+
+_sql("sql_page_hosts",
+     "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, COUNT(*) AS pages, "
+     "CAST(SUM(length(html)) AS BIGINT) AS html_chars FROM pages GROUP BY 1",
+     "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, COUNT(*) AS pages, "
+     "CAST(SUM(length(html)) AS BIGINT) AS html_chars FROM pages GROUP BY 1", ("pages",))
+
 # ------------------------------------------------- batch time windows
 _sql("sql_tumbling",
      "SELECT CAST(CAST(window.start AS TIMESTAMP_NTZ) AS STRING) AS window_start, event_type, "
