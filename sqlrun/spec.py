@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import logging
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Mapping, Sequence
 
 from pyspark.sql import SparkSession
@@ -124,6 +124,9 @@ class RunSpec:
         conf = raw.get("sparkSessionConfig", raw.get("session_config")) or {}
         if not isinstance(conf, Mapping):
             raise SpecError("'sparkSessionConfig' must be a mapping")
+        for key in ("parameters", "args"):
+            if raw.get(key) is not None and not isinstance(raw.get(key), Mapping):
+                raise SpecError(f"'{key}' must be a mapping of names to values")
         if raw.get("sparkSubmitConfig"):
             log.warning("sparkSubmitConfig holds launch-time settings for spark-submit; "
                         "a run on an existing session does not apply them")
@@ -187,8 +190,7 @@ class RunSpec:
         """Query override: a non-blank replacement wins, the rest stays."""
         if query is None or not query.strip():
             return self
-        return RunSpec(self.datasets, query, self.output_prefix, self.views,
-                       self.parameters, self.args, self.session_config)
+        return replace(self, query=query)
 
 
 def _dates_as_text(node: Any) -> Any:

@@ -104,6 +104,9 @@ def test_run_spec_checks():
         RunSpec.from_dict({"datasets": [], "query": "SELECT 1"})
     with pytest.raises(SpecError):
         RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x"}], "query": 1})
+    with pytest.raises(SpecError, match="parameters"):
+        RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x"}], "query": "SELECT 1",
+                           "parameters": ["A", 1]})
     with pytest.raises(SpecError, match="outputPrefix"):
         RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x"}], "query": "SELECT 1"},
                           require_output=True)
