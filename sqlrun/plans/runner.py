@@ -195,8 +195,7 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
         scan.df.createOrReplaceTempView(ds.name)
         scans[ds.name] = scan
 
-    for view in spec.views:
-        raw = view.sql if view.sql is not None else read_whole_text(session, view.path)
+    for view, raw in zip(spec.views, _view_texts(session, spec)):
         text = substitute(raw, params)
         if not text.strip():
             log.warning("skipping empty view %s", view.name)
@@ -221,6 +220,21 @@ def _is_plain_query(text: str) -> bool:
     return bool(_QUERY_START.match(text))
 
 
+def _view_texts(session: SparkSession, spec: RunSpec) -> list[str]:
+    """View texts in chain order; view files are read concurrently (each is
+    a small Spark read), the statements still run strictly in order."""
+    paths = [v.path for v in spec.views if v.sql is None]
+    texts: dict[str, str] = {}
+    if len(paths) > 1:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=min(8, len(paths))) as pool:
+            texts = dict(zip(paths, pool.map(lambda p: read_whole_text(session, p), paths)))
+    elif paths:
+        texts = {paths[0]: read_whole_text(session, paths[0])}
+    return [v.sql if v.sql is not None else texts[v.path] for v in spec.views]
+
+
 def _plan_scans(session: SparkSession, spec: RunSpec) -> list[Scan]:
     if len(spec.datasets) == 1:
         return [scan_dataset(session, spec.datasets[0])]
