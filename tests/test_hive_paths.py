@@ -1,0 +1,56 @@
+"""Pure-Python path helpers (no Spark)."""
+
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from sqlrun import PartitionKey
+from sqlrun.sources.hive_paths import (HIVE_NULL, column_type, directory_texts, glob_escape,
+                                       hive_escape, hive_unescape, leaf_globs, level_pattern)
+from sqlrun.spec import DatasetSpec
+
+
+@given(st.text(max_size=12))
+def test_escape_roundtrip(text):
+    assert hive_unescape(hive_escape(text)) == text
+
+
+def test_escape_examples():
+    assert hive_escape("a:b c/d") == "a%3Ab c%2Fd"
+    assert hive_escape("100%") == "100%25"
+    assert hive_escape("x\ty") == "x%09y"
+    assert glob_escape("x,y}") == "x\\,y\\}"
+
+
+def test_directory_texts():
+    assert directory_texts(None) == [HIVE_NULL]
+    assert directory_texts(True) == ["true", "True"]
+    assert directory_texts(1.5) == ["1.5"]
+    assert directory_texts("*") == ["%2A"]
+
+
+def test_level_pattern_dedupes_and_braces():
+    pk = PartitionKey("k", ("a", "a", "b"))
+    assert level_pattern(pk, ["a"]) == "k=a"
+    assert level_pattern(pk, ["a", "b"]) == "{k=a,k=b}"
+    assert level_pattern(PartitionKey("f", (False,)), [False]) == "{f=false,f=False}"
+
+
+def test_leaf_globs_literal_first_level():
+    ds = DatasetSpec("t", "/b/", (PartitionKey("d", ("1", "2", "1")), PartitionKey("e", ("x", "y"))))
+    assert leaf_globs(ds) == ["/b/d=1/{e=x,e=y}", "/b/d=2/{e=x,e=y}"]
+    assert leaf_globs(DatasetSpec("t", "/b")) == ["/b"]
+
+
+def test_column_type_rules():
+    def typ(*values, declared=None):
+        return column_type(PartitionKey("k", tuple(values), declared))
+
+    assert typ("01", "08") == T.StringType()
+    assert typ(1, 2) == T.IntegerType()
+    assert typ(1, 2**40) == T.LongType()
+    assert typ(1, 2.5) == T.DoubleType()
+    assert typ(True, None) == T.BooleanType()
+    assert typ(1, "x") == T.StringType()
+    assert typ(None) == T.StringType()
+    assert typ("2024-01-01", declared="date") == T.DateType()
