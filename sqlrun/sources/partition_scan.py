@@ -115,6 +115,7 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
     base = ds.base_path
     listed = {p.key: column_type(p) for p in ds.partitions}
     bad: list[dict[str, str]] = []
+    inferred_df: DataFrame | None = None
     if ds.schema:
         try:
             declared = T.StructType.fromDDL(ds.schema)
@@ -130,7 +131,8 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
         with ThreadPoolExecutor(max_workers=1) as pool:
             first = pool.submit(_first_leaf_schema, spark, ds) if ds.merge_schema else None
             try:
-                inferred = _infer_schema(spark, ds, globs, merge=ds.merge_schema)
+                inferred_df = _infer(spark, ds, globs, merge=ds.merge_schema)
+                inferred = inferred_df.schema
             except AnalysisException as exc:
                 if _is_path_not_found(exc) or not _is_recoverable(exc):
                     raise
@@ -144,7 +146,13 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
         if first_schema is not None:
             schema = _union_order(first_schema, schema, listed)
 
-    raw = spark.read.schema(schema).option("basePath", base).parquet(*globs)
+    if inferred_df is not None and _casts_back(spark, ds, inferred, listed):
+        # Reuse the inference read (one listing): its partition columns
+        # carry Spark's inferred types, which were just shown to convert to
+        # the listed types exactly for every listed value.
+        raw = inferred_df.select(*_retyped(inferred, listed))
+    else:
+        raw = spark.read.schema(schema).option("basePath", base).parquet(*globs)
     # Spark moves a partition column that is also a file column to the end
     # and appends partition levels found below the listed ones; put the
     # columns back in schema order (deeper levels last).
@@ -238,11 +246,11 @@ def _live_globs(spark: SparkSession, ds: DatasetSpec, globs: list[str]) -> tuple
     return live, dead
 
 
-def _infer_schema(spark: SparkSession, ds: DatasetSpec, globs: list[str], merge: bool) -> T.StructType:
+def _infer(spark: SparkSession, ds: DatasetSpec, globs: list[str], merge: bool) -> DataFrame:
     try:
         return (spark.read.option("basePath", ds.base_path)
                 .option("mergeSchema", "true" if merge else "false")
-                .parquet(*globs).schema)
+                .parquet(*globs))
     except AnalysisException as exc:
         if "UNABLE_TO_INFER_SCHEMA" in str(exc):
             raise ScanError(f"No data loaded for dataset '{ds.name}': the listed partitions "
@@ -250,6 +258,64 @@ def _infer_schema(spark: SparkSession, ds: DatasetSpec, globs: list[str], merge:
         raise
 
 
+def _casts_back(spark: SparkSession, ds: DatasetSpec, inferred: T.StructType,
+                listed: dict[str, T.DataType]) -> bool:
+    """True when every listed partition column can be taken from the
+    inferred read: either the inferred type is the listed type, or the
+    listed values are text that Spark's inference changed type but not
+    content (canonical ISO dates, canonical integers), so casting back to
+    text restores every listed folder's value exactly.  Any other pair of
+    types returns False and the scan does the exact typed read instead."""
+    from .hive_paths import HIVE_NULL, directory_texts, hive_unescape
+
+    inferred_types = {f.name.lower(): f.dataType for f in inferred.fields}
+    for p in ds.partitions:
+        t_inf, t_our = inferred_types.get(p.key.lower()), listed[p.key]
+        if t_inf is None:
+            return False
+        if t_inf == t_our:
+            continue
+        if not isinstance(t_our, T.StringType):
+            return False
+        for v in p.values:
+            for text in directory_texts(v):
+                if text != HIVE_NULL and not _text_survives(hive_unescape(text), t_inf):
+                    return False
+    return True
+
+
+def _text_survives(text: str, inferred: T.DataType) -> bool:
+    """Casting ``text`` to the inferred type and back to text gives ``text``."""
+    import datetime as dt
+
+    if isinstance(inferred, T.DateType):
+        try:
+            return dt.date.fromisoformat(text).isoformat() == text and len(text) == 10
+        except ValueError:
+            return False
+    if isinstance(inferred, (T.IntegerType, T.LongType)):
+        try:
+            return str(int(text)) == text
+        except ValueError:
+            return False
+    return False
+
+
+def _retyped(inferred: T.StructType, listed: dict[str, T.DataType]) -> list:
+    by_lower = {k.lower(): (k, t) for k, t in listed.items()}
+    cols = []
+    for f in inferred.fields:
+        hit = by_lower.get(f.name.lower())
+        c = F.col(f"`{f.name}`")
+        if hit is None:
+            cols.append(c)
+        elif f.dataType == hit[1] and f.name == hit[0]:
+            cols.append(c)
+        else:
+            cols.append(c.cast(hit[1]).alias(hit[0]))
+    return cols
+
+
 def _is_recoverable(exc: Exception) -> bool:
     text = str(exc)
     return any(m in text for m in (

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlrun import DatasetSpec, PartitionKey, RunSpec, ScanError, SpecError, run, scan_dataset
 from sqlrun.catalog import fixtures as fx
@@ -396,3 +397,14 @@ def test_scan_dataset_accepts_a_dict(spark, events_base):
     assert scan.df.count() == flat
     with pytest.raises(SpecError):
         scan_dataset(spark, {"name": "bad name", "path": events_base})
+
+
+def test_reuse_decision_for_inferred_partition_types():
+    from sqlrun.sources.partition_scan import _text_survives
+
+    assert _text_survives("2024-01-05", T.DateType())
+    assert not _text_survives("2024-1-5", T.DateType())
+    assert not _text_survives("20240105", T.DateType())
+    assert _text_survives("42", T.IntegerType()) and _text_survives("-7", T.LongType())
+    assert not _text_survives("08", T.IntegerType())
+    assert not _text_survives("1.50", T.DoubleType())
