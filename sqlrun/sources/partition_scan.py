@@ -4,10 +4,10 @@ A dataset names a base path and, per partition level, the values wanted.  The
 whole Cartesian product of values is read by **one** Parquet scan over brace
 globs, one per first-level value (``base/k1=a/{k2=x,k2=y}``):
 
-* distributed folder listings (one for a declared schema, two when the schema
-  is inferred) instead of one driver-side read and footer probe per leaf, and
-  a flat plan instead of a union as deep as the leaf count; the partition
-  root itself is never listed;
+* one distributed folder listing (two only when Spark's inferred partition
+  types cannot be cast back exactly to the listed ones) instead of one
+  driver-side read and footer probe per leaf, and a flat plan instead of a
+  union as deep as the leaf count; the partition root itself is never listed;
 * leaves that do not exist match nothing and are simply absent;
 * Catalyst sees a single ``FileScan`` with the partition columns, so filters
   on them prune files (``PartitionFilters``), data filters reach the reader
