@@ -146,7 +146,7 @@ def _read_listed(spark: SparkSession, ds: DatasetSpec,
         if first_schema is not None:
             schema = _union_order(first_schema, schema, listed)
 
-    if inferred_df is not None and _casts_back(spark, ds, inferred, listed):
+    if inferred_df is not None and _casts_back(ds, inferred, listed):
         # Reuse the inference read (one listing): its partition columns
         # carry Spark's inferred types, which were just shown to convert to
         # the listed types exactly for every listed value.
@@ -258,7 +258,7 @@ def _infer(spark: SparkSession, ds: DatasetSpec, globs: list[str], merge: bool)
         raise
 
 
-def _casts_back(spark: SparkSession, ds: DatasetSpec, inferred: T.StructType,
+def _casts_back(ds: DatasetSpec, inferred: T.StructType,
                 listed: dict[str, T.DataType]) -> bool:
     """True when every listed partition column can be taken from the
     inferred read: either the inferred type is the listed type, or the
