@@ -120,7 +120,10 @@ class RunSpec:
         out = raw.get("outputPrefix", raw.get("output_prefix"))
         if require_output and (not isinstance(out, str) or not out.strip()):
             raise SpecError("'outputPrefix' must be a non-blank string")
-        views = tuple(_view(v, i) for i, v in enumerate(raw.get("views") or []))
+        views_raw = raw.get("views") or []
+        if not isinstance(views_raw, list):
+            raise SpecError("'views' must be a list")
+        views = tuple(_view(v, i) for i, v in enumerate(views_raw))
         conf = raw.get("sparkSessionConfig", raw.get("session_config")) or {}
         if not isinstance(conf, Mapping):
             raise SpecError("'sparkSessionConfig' must be a mapping")
@@ -236,7 +239,10 @@ def _dataset(d: Any, i: int) -> DatasetSpec:
         raise SpecError(f"dataset name {name!r} is not a plain SQL identifier")
     if not isinstance(path, str) or not path.strip().rstrip("/"):
         raise SpecError(f"dataset '{name}' has an empty path")
-    parts = tuple(_partition(p, j, name) for j, p in enumerate(d.get("partitions") or []))
+    parts_raw = d.get("partitions") or []
+    if not isinstance(parts_raw, (list, tuple)):
+        raise SpecError(f"dataset '{name}': 'partitions' must be a list")
+    parts = tuple(_partition(p, j, name) for j, p in enumerate(parts_raw))
     if parts and any(ch in path for ch in "*?[{"):
         # Spark cannot use a glob as the partition root (basePath); list each
         # concrete root as its own dataset and UNION ALL them in a view.

@@ -104,6 +104,12 @@ def test_run_spec_checks():
         RunSpec.from_dict({"datasets": [], "query": "SELECT 1"})
     with pytest.raises(SpecError):
         RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x"}], "query": 1})
+    with pytest.raises(SpecError, match="'views' must be a list"):
+        RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x"}], "query": "SELECT 1",
+                           "views": "v.sql"})
+    with pytest.raises(SpecError, match="'partitions' must be a list"):
+        RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x", "partitions": {"key": "k"}}],
+                           "query": "SELECT 1"})
     with pytest.raises(SpecError, match="parameters"):
         RunSpec.from_dict({"datasets": [{"name": "a", "path": "/x"}], "query": "SELECT 1",
                            "parameters": ["A", 1]})
