@@ -14,7 +14,6 @@ from . import fixtures as fx
 from . import register
 from .common import DUCK_EV, events_ds, flat, run_sql, sql_list
 
-EV_COLS = "event_id, ts, user_id, value, props, event_date, event_type"
 D = "CAST(CAST(ts AS DATE) AS VARCHAR)"
 
 # ----------------------------------------------------------------- scans
