@@ -92,6 +92,22 @@ def scan_partition_three_levels(spark: SparkSession, sf: str):
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
+@register("scan_hourly_profile",
+          "SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, COUNT(*) AS n, "
+          "COUNT(DISTINCT user_id) AS users FROM events WHERE hour(ts) BETWEEN 9 AND 17 "
+          "GROUP BY 1, 2")
+def scan_hourly_profile(spark: SparkSession, sf: str):
+    # a filter on the int `hour` level prunes folders before any file opens
+    ds = {"name": "ev", "path": fx.events_by_day_hour_type(spark, sf),
+          "partitions": [{"key": "event_date", "values": fx.EVENT_DATES},
+                         {"key": "hour", "values": list(range(24))},
+                         {"key": "event_type", "values": fx.EVENT_TYPES}]}
+    return run_sql(spark, [ds], "SELECT hour, event_type, COUNT(*) AS n, "
+                   "COUNT(DISTINCT user_id) AS users FROM ev "
+                   "WHERE hour BETWEEN ${FROM_HOUR} AND ${TO_HOUR} GROUP BY hour, event_type",
+                   parameters={"FROM_HOUR": 9, "TO_HOUR": 17})
+
+
 @register("scan_partition_overlap", "SELECT * FROM events")
 def scan_partition_overlap(spark: SparkSession, sf: str):
     ds = {"name": "ev", "path": fx.events_overlap(spark, sf),

@@ -37,3 +37,9 @@ def test_flagship_prunes_partitions_and_columns(spark):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert "ReadSchema: struct<user_id:bigint>" in plan
     assert "partial_count" in plan  # pre-aggregated before the join
+
+
+def test_int_level_filter_prunes_folders(spark):
+    plan = _plan(QUERIES["scan_hourly_profile"](spark, SF_SMALL))
+    assert "PartitionFilters: [isnotnull(hour" in plan and "(hour#" in plan and ">= 9" in plan
+    assert "ReadSchema: struct<user_id:bigint>" in plan
