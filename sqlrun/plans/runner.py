@@ -200,6 +200,7 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
         if not text.strip():
             log.warning("skipping empty view %s", view.name)
             continue
+        log.info("view %s:\n%s", view.name, text)
         if _is_plain_query(text):
             log.warning("view %s is a query, not a statement: it is analysed and its "
                         "result is dropped", view.name)
@@ -208,7 +209,9 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
         except Exception as exc:
             raise ViewError(f"view '{view.name}' failed: {exc}") from exc
 
-    df = _sql(session, substitute(spec.query, params), bound)
+    query_text = substitute(spec.query, params)
+    log.info("query:\n%s", query_text)
+    df = _sql(session, query_text, bound)
     return RunResult(session, spec, df, scans, skipped)
 
 

@@ -353,3 +353,10 @@ def test_further_queries_reuse_the_run(spark):
     assert df.collect()[0].n == flat.count()
     with pytest.raises(SpecError):
         res.sql("  ")
+
+
+def test_substituted_sql_is_logged(spark, caplog):
+    with caplog.at_level("INFO", logger="sqlrun"):
+        run(spark, _spec(spark, parameters={"T": "view"},
+                         query="SELECT COUNT(*) AS n FROM ev WHERE event_type = '${T}'"))
+    assert any("event_type = 'view'" in r.getMessage() for r in caplog.records)
