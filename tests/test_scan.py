@@ -408,3 +408,15 @@ def test_reuse_decision_for_inferred_partition_types():
     assert _text_survives("42", T.IntegerType()) and _text_survives("-7", T.LongType())
     assert not _text_survives("08", T.IntegerType())
     assert not _text_survives("1.50", T.DoubleType())
+
+
+def test_declared_schema_with_missing_values(spark, events_base):
+    ds = _ds(events_base, [{"key": "event_date", "values": ["2024-01-01", "2099-01-01"]},
+                           {"key": "event_type", "values": ["view", "click", "view"]}],
+             schema="event_id BIGINT, user_id BIGINT, value DOUBLE")
+    scan = scan_dataset(spark, ds)
+    assert scan.df.columns == ["event_id", "user_id", "value", "event_date", "event_type"]
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet").filter("to_date(ts) = DATE'2024-01-01'")
+    expected = flat.filter("event_type = 'click'").count() + 2 * flat.filter("event_type = 'view'").count()
+    assert scan.df.count() == expected
+    assert len(scan.skipped_globs) == 1
