@@ -19,6 +19,7 @@ def test_escape_examples():
     assert hive_escape("a:b c/d") == "a%3Ab c%2Fd"
     assert hive_escape("100%") == "100%25"
     assert hive_escape("x\ty") == "x%09y"
+    assert hive_escape("a\x7fb\x01") == "a%7Fb%01"
     assert glob_escape("x,y}") == "x\\,y\\}"
 
 

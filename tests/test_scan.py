@@ -329,7 +329,7 @@ def test_flat_dataset_schema_modes(spark, scratch):
     assert len(first.columns) in (2, 3)   # one footer decides, as a plain Spark read
 
 
-_VALUE_CHARS = st.sampled_from(list("ab9 _-.:/=%*?,{}[]^\\\"'#~@!$&()+;<>|`") + ["é", "中"])
+_VALUE_CHARS = st.sampled_from(list("ab9 _-.:/=%*?,{}[]^\\\"'#~@!$&()+;<>|`") + ["é", "中"] + ["\t", "\x01", "\x7f", "\n"])
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
