@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+log = logging.getLogger("sqlrun")
+
+
 class SinkError(ValueError):
     pass
 
@@ -15,6 +19,8 @@ class SinkError(ValueError):
 def output_path(prefix: str, run_id: str | None = None) -> str:
     if not prefix or not prefix.strip():
         raise SinkError("output prefix cannot be empty")
+    if run_id is not None and (not run_id.strip() or "/" in run_id):
+        raise SinkError(f"run id {run_id!r} must be a non-blank name without '/'")
     return prefix.rstrip("/") + "/" + (run_id or str(uuid.uuid4()))
 
 
@@ -29,6 +35,7 @@ def write_result(df: DataFrame, prefix: str, run_id: str | None = None) -> str:
         raise SinkError(f"result has duplicate column names: {dups}")
     path = output_path(prefix, run_id)
     df.write.mode("overwrite").parquet(path)
+    log.info("result written to %s", path)
     return path
 
 

@@ -157,6 +157,8 @@ def test_sink_rejects_duplicate_columns_and_empty_prefix(spark, scratch):
         write_result(res.df, scratch, "x")
     with pytest.raises(SinkError):
         output_path("  ")
+    with pytest.raises(SinkError, match="run id"):
+        output_path("/p", "a/b")
 
 
 def test_empty_result_keeps_schema(spark, scratch):
