@@ -362,3 +362,9 @@ def test_substituted_sql_is_logged(spark, caplog):
         run(spark, _spec(spark, parameters={"T": "view"},
                          query="SELECT COUNT(*) AS n FROM ev WHERE event_type = '${T}'"))
     assert any("event_type = 'view'" in r.getMessage() for r in caplog.records)
+
+
+def test_view_named_like_a_dataset_fails(spark):
+    with pytest.raises(ViewError, match="ALREADY_EXISTS"):
+        run(spark, _spec(spark, views=[{"name": "clash",
+                                        "sql": "CREATE TEMPORARY VIEW ev AS SELECT 1 AS x"}]))
