@@ -75,8 +75,9 @@ class RunResult:
         return out
 
     def load_report(self) -> DataFrame:
-        """Per dataset: requested partitions and how many were found,
-        missing or unreadable (one small aggregate over the coverage)."""
+        """Per dataset: requested partitions, how many were found, missing
+        or unreadable, and the files and bytes they hold (one small
+        aggregate over the coverage; repeated values count once per listing)."""
         from pyspark.sql import functions as F
 
         cov = self.coverage(with_rows=False)
@@ -84,7 +85,9 @@ class RunResult:
             F.count(F.lit(1)).alias("requested"),
             F.sum((F.col("status") == "found").cast("int")).cast("bigint").alias("found"),
             F.sum((F.col("status") == "missing").cast("int")).cast("bigint").alias("missing"),
-            F.sum((F.col("status") == "unreadable").cast("int")).cast("bigint").alias("unreadable"))
+            F.sum((F.col("status") == "unreadable").cast("int")).cast("bigint").alias("unreadable"),
+            F.sum("files").cast("bigint").alias("files"),
+            F.sum("bytes").cast("bigint").alias("bytes"))
 
     def sql(self, query: str, parameters: Mapping[str, Any] | None = None,
             args: Mapping[str, Any] | None = None) -> DataFrame:

@@ -327,6 +327,7 @@ def test_load_report(spark):
                                              types=["view", "click"])], "query": "SELECT 1 AS x"})
     r = res.load_report().collect()[0]
     assert (r.dataset, r.requested, r.found, r.missing, r.unreadable) == ("ev", 4, 2, 2, 0)
+    assert r.files >= 2 and r.bytes > 0
 
 
 def test_sql_script_in_view_chain(spark):
