@@ -190,6 +190,11 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
     skipped = apply_profile(session, spec.session_config)
     size_to_cluster(session, spec.session_config)
 
+    # Spec-level failures first: view files are read and every ${NAME} in
+    # the views and the query is resolved before any dataset is listed.
+    view_texts = [substitute(raw, params) for raw in _view_texts(session, spec)]
+    query_text = substitute(spec.query, params)
+
     # Register every dataset before any view: SQL views resolve names late.
     # Planning a scan is driver-side listing and footer work, independent per
     # dataset, so the datasets are planned concurrently.
@@ -198,8 +203,7 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
         scan.df.createOrReplaceTempView(ds.name)
         scans[ds.name] = scan
 
-    for view, raw in zip(spec.views, _view_texts(session, spec)):
-        text = substitute(raw, params)
+    for view, text in zip(spec.views, view_texts):
         if not text.strip():
             log.warning("skipping empty view %s", view.name)
             continue
@@ -212,7 +216,6 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
         except Exception as exc:
             raise ViewError(f"view '{view.name}' failed: {exc}") from exc
 
-    query_text = substitute(spec.query, params)
     log.info("query:\n%s", query_text)
     df = _sql(session, query_text, bound)
     return RunResult(session, spec, df, scans, skipped)

@@ -377,3 +377,13 @@ def test_view_named_like_a_dataset_fails(spark):
     with pytest.raises(ViewError, match="ALREADY_EXISTS"):
         run(spark, _spec(spark, views=[{"name": "clash",
                                         "sql": "CREATE TEMPORARY VIEW ev AS SELECT 1 AS x"}]))
+
+
+def test_undefined_parameter_fails_before_any_dataset_is_read(spark):
+    from sqlrun import ParameterError
+
+    spec = {"datasets": [{"name": "t", "path": "/nonexistent/sqlrun/never-listed"}],
+            "views": [{"name": "v", "sql": "CREATE TEMPORARY VIEW v AS SELECT ${NOPE}"}],
+            "query": "SELECT 1 AS x"}
+    with pytest.raises(ParameterError, match="NOPE"):   # not a ScanError: no listing yet
+        run(spark, spec)
