@@ -420,3 +420,24 @@ def test_declared_schema_with_missing_values(spark, events_base):
     expected = flat.filter("event_type = 'click'").count() + 2 * flat.filter("event_type = 'view'").count()
     assert scan.df.count() == expected
     assert len(scan.skipped_globs) == 1
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(dates=st.lists(st.sampled_from(fx.EVENT_DATES[:6] + ["2099-01-01"]), min_size=1, max_size=4),
+       types=st.lists(st.sampled_from(fx.EVENT_TYPES + ["none"]), min_size=1, max_size=3))
+def test_coverage_property(spark, events_base, dates, types):
+    flat = spark.read.parquet(f"{SF_SMALL}/events.parquet") \
+        .withColumn("event_date", F.to_date("ts").cast("string"))
+    per_leaf = {(r.event_date, r.event_type): r["count"]
+                for r in flat.groupBy("event_date", "event_type").count().collect()}
+    if not any(per_leaf.get((d, t)) for d in dates for t in types):
+        return
+    scan = scan_dataset(spark, _ds(events_base, [{"key": "event_date", "values": dates},
+                                                  {"key": "event_type", "values": types}]))
+    cov = scan.coverage().collect()
+    assert sorted(r.leaf_index for r in cov) == list(range(len(dates) * len(types)))
+    for r in cov:
+        n = per_leaf.get((r.event_date, r.event_type), 0)
+        assert r.status == ("found" if n else "missing")
+        assert r.rows == n
+        assert (r.files > 0) == bool(n)
