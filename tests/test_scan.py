@@ -437,6 +437,8 @@ def test_coverage_property(spark, events_base, dates, types):
     cov = scan.coverage().collect()
     assert sorted(r.leaf_index for r in cov) == list(range(len(dates) * len(types)))
     for r in cov:
+        assert (r.event_date, r.event_type) == (dates[r.leaf_index // len(types)],
+                                                 types[r.leaf_index % len(types)])
         n = per_leaf.get((r.event_date, r.event_type), 0)
         assert r.status == ("found" if n else "missing")
         assert r.rows == n
