@@ -443,3 +443,13 @@ def test_coverage_property(spark, events_base, dates, types):
         assert r.status == ("found" if n else "missing")
         assert r.rows == n
         assert (r.files > 0) == bool(n)
+
+
+def test_repeated_null_value_doubles_its_rows(spark, scratch):
+    base = f"{scratch}/t"
+    spark.createDataFrame([(1, None), (2, "a"), (3, None)], "id int, k string") \
+        .write.partitionBy("k").parquet(base)
+    scan = scan_dataset(spark, _ds(base, [{"key": "k", "values": [None, "a", None]}]))
+    assert sorted(r.id for r in scan.df.collect()) == [1, 1, 2, 3, 3]
+    cov = {r.leaf_index: (r.k, r.status, r.rows) for r in scan.coverage().collect()}
+    assert cov == {0: (None, "found", 2), 1: ("a", "found", 1), 2: (None, "found", 2)}
