@@ -46,6 +46,19 @@ def value_display(v) -> str | None:
     return str(v)
 
 
+def string_array(spark, values: list[str | None]):
+    """An array<string> literal built as one SQL expression: one call into
+    the JVM however long the value list (a column per value costs one call
+    each, seconds for ten thousand values).  Sessions that take string
+    literals raw (``spark.sql.parser.escapedStringLiterals``) get the
+    per-value form, which needs no escaping."""
+    if spark.conf.get("spark.sql.parser.escapedStringLiterals", "false").lower() == "true":
+        return F.array(*[F.lit(v).cast("string") for v in values])
+    parts = ["CAST(NULL AS STRING)" if v is None else
+             "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr("array(" + ", ".join(parts) + ")")
+
+
 def requested_leaves(scan: "Scan") -> DataFrame:
     ds = scan.dataset
     spark = scan.spark
@@ -57,8 +70,8 @@ def requested_leaves(scan: "Scan") -> DataFrame:
         size = len(p.values)
         stride //= size
         pos = F.expr(f"CAST((leaf_index div {stride}) % {size} AS INT) + 1")
-        shown = F.array(*[F.lit(value_display(v)).cast("string") for v in p.values])
-        texts = F.array(*[F.lit(canonical_text(v)) for v in p.values])
+        shown = string_array(spark, [value_display(v) for v in p.values])
+        texts = string_array(spark, [canonical_text(v) for v in p.values])
         df = df.withColumn(p.key, F.element_at(shown, pos)) \
                .withColumn(f"_dir_{p.key}", F.element_at(texts, pos))
         path += [F.lit("/" + hive_escape(p.key) + "="), col(f"_dir_{p.key}")]

@@ -453,3 +453,11 @@ def test_repeated_null_value_doubles_its_rows(spark, scratch):
     assert sorted(r.id for r in scan.df.collect()) == [1, 1, 2, 3, 3]
     cov = {r.leaf_index: (r.k, r.status, r.rows) for r in scan.coverage().collect()}
     assert cov == {0: (None, "found", 2), 1: ("a", "found", 1), 2: (None, "found", 2)}
+
+
+def test_string_array_keeps_any_text(spark):
+    from sqlrun.operators.coverage import string_array
+
+    vals = ["plain", "it's", "back\\slash", "new\nline", "50%_", "\\u0041", "中文", None, ""]
+    got = spark.range(1).select(string_array(spark, vals).alias("a")).first()["a"]
+    assert got == vals
