@@ -1,4 +1,5 @@
-"""Every catalogue query against its DuckDB oracle (sf0.001, whole tables)."""
+"""Every catalogue query against its DuckDB oracle (sf0.001, whole tables,
+exact values: floats compared without rounding)."""
 
 import pytest
 
@@ -26,7 +27,7 @@ def test_query_matches_oracle(spark, con, name):
     if name not in ORACLES:
         assert df.count() >= 1
         return
-    assert compare(df, con, ORACLES[name]) == []
+    assert compare(df, con, ORACLES[name], strict=True) == []
 
 
 def test_entry_flagship(spark):

@@ -24,17 +24,17 @@ def duck(sf_dir: str):
 STRICT = bool(os.environ.get("ORACLE_STRICT"))
 
 
-def norm(v):
+def norm(v, strict: bool = STRICT):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return v + 0.0 if STRICT else round(v, 6) + 0.0
+        return v + 0.0 if strict else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat(sep=" ")
     if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
+        return tuple(norm(x, strict) for x in v)
     return v
 
 
@@ -48,7 +48,7 @@ def kind(t: str) -> str:
     return t
 
 
-def compare(df, con, sql: str) -> list[str]:
+def compare(df, con, sql: str, strict: bool = STRICT) -> list[str]:
     """Problems found between a Spark DataFrame and a DuckDB query ([] = equal)."""
     rows = df.collect()
     s_cols = df.columns
@@ -69,8 +69,8 @@ def compare(df, con, sql: str) -> list[str]:
     order = sorted(s_cols)
     si = [s_cols.index(c) for c in order]
     oi = [o_cols.index(c) for c in order]
-    a = Counter(tuple(norm(r[i]) for i in si) for r in rows)
-    b = Counter(tuple(norm(r[i]) for i in oi) for r in o_rows)
+    a = Counter(tuple(norm(r[i], strict) for i in si) for r in rows)
+    b = Counter(tuple(norm(r[i], strict) for i in oi) for r in o_rows)
     if a != b:
         problems.append(f"values differ: spark-only {list((a - b).items())[:2]} "
                         f"oracle-only {list((b - a).items())[:2]}")
