@@ -21,7 +21,8 @@ def duck(sf_dir: str):
     return con
 
 
-STRICT = bool(os.environ.get("ORACLE_STRICT"))
+# Floats are compared exactly unless ORACLE_LOOSE is set (then to 6 places).
+STRICT = not os.environ.get("ORACLE_LOOSE")
 
 
 def norm(v, strict: bool = STRICT):
