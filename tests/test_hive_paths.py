@@ -55,3 +55,29 @@ def test_column_type_rules():
     assert typ(1, "x") == T.StringType()
     assert typ(None) == T.StringType()
     assert typ("2024-01-01", declared="date") == T.DateType()
+
+
+def test_yaml_value_quirks_are_parsed_like_yaml_1_1():
+    from sqlrun import RunSpec
+
+    spec = RunSpec.from_yaml("""
+datasets:
+  - name: t
+    path: /data/t
+    partitions:
+      - key: a
+        values: [01, 08, 010]
+      - key: b
+        values: [no, true]
+      - key: c
+        values: [1.0, null]
+      - key: d
+        values: [2024-01-01]
+query: SELECT 1
+""")
+    a, b, c, d = spec.datasets[0].partitions
+    assert a.values == (1, "08", 8) and column_type(a) == T.StringType()
+    assert b.values == (False, True) and column_type(b) == T.BooleanType()
+    assert c.values == (1.0, None) and column_type(c) == T.DoubleType()
+    assert d.values == ("2024-01-01",) and column_type(d) == T.StringType()
+    assert directory_texts(False) == ["false", "False"]
