@@ -50,9 +50,12 @@ def string_array(spark, values: list[str | None]):
     """An array<string> literal built as one SQL expression: one call into
     the JVM however long the value list (a column per value costs one call
     each, seconds for ten thousand values).  Sessions that take string
-    literals raw (``spark.sql.parser.escapedStringLiterals``) get the
-    per-value form, which needs no escaping."""
-    if spark.conf.get("spark.sql.parser.escapedStringLiterals", "false").lower() == "true":
+    literals raw (``spark.sql.parser.escapedStringLiterals``), and values
+    that look like ``${...}`` variables, get the per-value form, which needs
+    no escaping and is not substituted."""
+    raw_literals = spark.conf.get("spark.sql.parser.escapedStringLiterals", "false").lower() == "true"
+    # SQL text also goes through Spark's ${...} variable substitution
+    if raw_literals or any(v is not None and "${" in v for v in values):
         return F.array(*[F.lit(v).cast("string") for v in values])
     parts = ["CAST(NULL AS STRING)" if v is None else
              "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]

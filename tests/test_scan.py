@@ -459,5 +459,7 @@ def test_string_array_keeps_any_text(spark):
     from sqlrun.operators.coverage import string_array
 
     vals = ["plain", "it's", "back\\slash", "new\nline", "50%_", "\\u0041", "中文", None, ""]
+    assert spark.range(1).select(string_array(spark, vals + ["${env:HOME}"]).alias("a")) \
+        .first()["a"][-1] == "${env:HOME}"
     got = spark.range(1).select(string_array(spark, vals).alias("a")).first()["a"]
     assert got == vals
