@@ -13,6 +13,8 @@
     result.write("s3://b/out")   # -> s3://b/out/<run id>
 """
 
+__version__ = "0.1.0"
+
 from .functions.params import ParameterError, substitute
 from .plans.runner import DEFAULT_PROFILE, RunResult, ViewError, run
 from .sources.partition_scan import Scan, ScanError, scan_dataset
@@ -20,6 +22,7 @@ from .sources.result_sink import manifest, manifest_summary, preview, read_resul
 from .spec import DatasetSpec, PartitionKey, RunSpec, SpecError, ViewSpec
 
 __all__ = [
+    "__version__",
     "DEFAULT_PROFILE", "DatasetSpec", "ParameterError", "PartitionKey", "RunResult",
     "RunSpec", "Scan", "ScanError", "SpecError", "ViewError", "ViewSpec",
     "manifest", "manifest_summary", "preview", "read_result", "run", "scan_dataset",
