@@ -387,3 +387,9 @@ def test_undefined_parameter_fails_before_any_dataset_is_read(spark):
             "query": "SELECT 1 AS x"}
     with pytest.raises(ParameterError, match="NOPE"):   # not a ScanError: no listing yet
         run(spark, spec)
+
+
+def test_coverage_needs_a_partitioned_dataset(spark):
+    res = run(spark, {"datasets": [flat(SF_SMALL, "nation")], "query": "SELECT * FROM nation"})
+    with pytest.raises(ValueError, match="no partitioned dataset"):
+        res.coverage()
