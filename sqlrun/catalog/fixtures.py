@@ -4,8 +4,8 @@ The given tables are flat Parquet files; the partition-list scan needs Hive
 layouts.  Each layout is derived from a whole table by one distributed write
 and kept under the cluster's shared checkpoint folder (``spark.checkpoint.dir``),
 keyed by the source folder, so every query and every bench run reuses it.
-Only when the session names no such folder (a local test run) is a fresh
-temporary folder set as the checkpoint folder.
+Without that setting only a single-process local session works (see
+``sources/shared_folder.py``).
 
 Writes use the ``REBALANCE`` hint on the partition columns: AQE then splits a
 hot partition value into several files instead of one straggler task, and
@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 import threading
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared_folder import shared_dir
+
 LAYOUT_VERSION = "v2"
 
 # The event types and the day range present in the given
@@ -32,24 +33,6 @@ EVENT_DATES = [f"2024-01-{d:02d}" for d in range(1, 31)]
 ORDER_YEARS = list(range(1995, 2002))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    # The conf names the cluster's shared folder; getCheckpointDir() adds a
-    # per-application sub-folder, which would defeat reuse across runs.
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: only the conf is visible
-        sc = None
-    current = current or (sc.getCheckpointDir() if sc is not None else None)
-    if current:
-        return current.rstrip("/")
-    if sc is None:
-        raise RuntimeError("spark.checkpoint.dir is not set on this session")
-    local = tempfile.mkdtemp(prefix="sqlrun-checkpoint-")
-    sc.setCheckpointDir(local)
-    return (sc.getCheckpointDir() or local).rstrip("/")
-
-
 def layout_root(spark: SparkSession, sf_dir: str) -> str:
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
     name = os.path.basename(os.path.normpath(sf_dir)) or "data"

@@ -4,12 +4,14 @@ exact values: floats compared without rounding)."""
 import pytest
 
 import __spark_entry__ as entry
+from sqlrun import catalog
 from tools.oracle_compare import compare, duck
 
 from .conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+entry.queries()  # loads the catalogue
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -5,10 +5,12 @@ FileScan (no union of per-leaf scans)."""
 import pytest
 
 import __spark_entry__ as entry
+from sqlrun import catalog
 
 from .conftest import SF_SMALL
 
-QUERIES = entry.queries()
+entry.queries()  # loads the catalogue
+QUERIES = catalog.QUERIES
 
 
 def _plan(df) -> str:
