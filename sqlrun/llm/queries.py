@@ -9,10 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .bpe import decode_documents, encode_documents
 from .common import documents, materialise, word_count
 from .mixing import mix_hash, mix_sources
+from .token_files import token_file_digests, write_token_files
 
+# Tokenizer files are named here and found where they are installed.
 BYTE_BPE = "byte_bpe_50k.json"
+END_ID = 2
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(BYTE_BPE)
+    encoded = encode_documents(documents(spark, sf_dir), path)
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                             F.sha2(ids_text, 256).alias("ids_sha256"), "ids")
+    return (decode_documents(digests, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+            .select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(write_token_files(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), END_ID))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +50,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_bpe_rank_array": op7_bpe_rank_array,
+    "op8_token_files": op8_token_files,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
