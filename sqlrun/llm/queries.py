@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from . import oracles
 from .bpe import decode_documents, encode_documents
 from .common import documents, materialise, word_count
+from .language_id import identify
+from .license_scan import BASE_NOTICES, scan_notices
+from .line_quality import line_quality
 from .mixing import mix_hash, mix_sources
 from .token_files import token_file_digests, write_token_files
 
@@ -25,6 +28,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_notices(documents(spark, sf_dir))
+    phrases = F.array(*(F.lit(phrase) for _, phrase in BASE_NOTICES))
+    base = F.filter("spans", lambda s: (s["edits"] == 0) & F.array_contains(phrases, s["notice"]))
+    starts = F.transform("base", lambda s: s["first_word"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(
+        F.transform(spans, lambda s: s["label"]))), ",")
+    likeness = F.transform("spans", lambda s: 1 - s["edits"] / F.length(s["notice"]))
+    return scanned.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("base").alias("base_labels"), labels("spans").alias("labels"),
+        F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("score"),
+        F.size("spans").cast("long").alias("n_spans"))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts, _ = line_quality(documents(spark, sf_dir))
+    return verdicts.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                           "n_repeat_words", "base_failed", "kept", "lines_removed", "words_left")
+
+
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(BYTE_BPE)
     encoded = encode_documents(documents(spark, sf_dir), path)
@@ -39,6 +64,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(write_token_files(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), END_ID))
 
 
+def fold(doc_id: str = "doc_id"):
+    """crc32 of the id's text, mod 3; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(documents(spark, sf_dir), F.coalesce(fold() != 1, F.lit(False)))
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score", "entropy", "rejected")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     # Texts are read once; what follows needs the sizes and hashes only.
@@ -50,8 +86,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_notices": op3_license_notices,
+    "op4_line_quality": op4_line_quality,
     "op7_bpe_rank_array": op7_bpe_rank_array,
     "op8_token_files": op8_token_files,
+    "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
