@@ -15,6 +15,7 @@ from .language_id import identify
 from .license_scan import BASE_NOTICES, scan_notices
 from .line_quality import line_quality
 from .mixing import mix_hash, mix_sources
+from .suffix_dedup import cut_repeats, text_key
 from .token_files import token_file_digests, write_token_files
 
 # Tokenizer files are named here and found where they are installed.
@@ -28,6 +29,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    # Texts that lose nothing are digested where they are read.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = docs.select("doc_id", *text_key(text), F.octet_length(text).cast("long").alias("n_bytes"),
+                        F.sha2(text, 256).alias("whole_sha256"))
+    cuts = cut_repeats(docs).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "n_removed", "n_spans",
+                                    F.sha2("kept", 256).alias("kept_sha256"))
+    cut = F.col("kept_sha256").isNotNull()
+    return whole.join(cuts, (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")), "left").select(
+        "doc_id", "n_bytes",
+        F.when(cut, F.coalesce("n_removed", "n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+
+
 def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_notices(documents(spark, sf_dir))
     phrases = F.array(*(F.lit(phrase) for _, phrase in BASE_NOTICES))
@@ -86,6 +103,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_license_notices": op3_license_notices,
     "op4_line_quality": op4_line_quality,
     "op7_bpe_rank_array": op7_bpe_rank_array,
