@@ -15,6 +15,7 @@ from .language_id import identify
 from .license_scan import BASE_NOTICES, scan_notices
 from .line_quality import line_quality
 from .mixing import mix_hash, mix_sources
+from .ngram_join import jaccard_classes
 from .suffix_dedup import cut_repeats, text_key
 from .token_files import token_file_digests, write_token_files
 
@@ -45,6 +46,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).select(
+        F.col("doc").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
 def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_notices(documents(spark, sf_dir))
     phrases = F.array(*(F.lit(phrase) for _, phrase in BASE_NOTICES))
@@ -104,6 +110,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_license_notices": op3_license_notices,
     "op4_line_quality": op4_line_quality,
     "op7_bpe_rank_array": op7_bpe_rank_array,
