@@ -49,6 +49,7 @@ CERTAIN_CHARS = 20
 LONG_CHARS = 400
 REJECT_SD = 8.0
 CALIBRATE_EVERY = 10  # one labelled document in so many calibrates
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 BLOCK_CHARS = 1 << 20  # characters that are scored at once
 
@@ -252,15 +253,16 @@ def identify(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     scored = materialise(predict(docs.select(*keep, label, F.col(text).alias("__text")), uri,
                                  "__text", (*keep, "__label")), "languages")
     own = scored.filter(F.col("__label") == F.col("lang_pred"))
-    # Sums are over the documents of a language; the table has a row for each.
-    means = own.groupBy("lang_pred").agg(F.avg("entropy").alias("mean"))
+    # One aggregation: the mean m of e, and that of r^2 (e - m)^2 from its three parts.
     reach = F.sqrt(F.least(F.col("chars"), F.lit(LONG_CHARS)))
-    spread = (own.join(means.withColumnRenamed("lang_pred", "of"), F.col("lang_pred") == F.col("of"))
-              .groupBy("of", "mean")
-              .agg(F.sqrt(F.avg(((F.col("entropy") - F.col("mean")) * reach) ** 2)).alias("sd")))
-    known = spread.select(F.struct("of", "mean", "sd").alias("__known"))
+    weight, e = reach * reach, F.col("entropy")
+    spread = F.avg(weight * e * e) - 2 * F.avg(e) * F.avg(weight * e) + F.avg(e) * F.avg(e) * F.avg(weight)
+    known = materialise(own.groupBy(F.col("lang_pred").alias("of")).agg(
+        F.avg(e).alias("mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("sd")), "language-calibration")
+    few = known.count() <= BROADCAST_LANGUAGES
+    known = known.select(F.struct("of", "mean", "sd").alias("__known"))
     k = F.col("__known")
     excess = (F.col("entropy") - k["mean"]) * reach
-    return (scored.join(known, F.col("lang_pred") == k["of"], "left")
+    return (scored.join(F.broadcast(known) if few else known, F.col("lang_pred") == k["of"], "left")
             .withColumn("rejected", F.col("entropy").isNull() | F.coalesce(excess > k["sd"] * reject_sd, F.lit(False)))
             .drop("__label", "__known"))
