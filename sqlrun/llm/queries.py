@@ -16,6 +16,7 @@ from .license_scan import BASE_NOTICES, scan_notices
 from .line_quality import line_quality
 from .mixing import mix_hash, mix_sources
 from .ngram_join import jaccard_classes
+from .projection_search import nearest
 from .suffix_dedup import cut_repeats, text_key
 from .token_files import token_file_digests, write_token_files
 
@@ -73,6 +74,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "n_repeat_words", "base_failed", "kept", "lines_removed", "words_left")
 
 
+def op6_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(BYTE_BPE)
     encoded = encode_documents(documents(spark, sf_dir), path)
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_license_notices": op3_license_notices,
     "op4_line_quality": op4_line_quality,
+    "op6_projection_search": op6_projection_search,
     "op7_bpe_rank_array": op7_bpe_rank_array,
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
