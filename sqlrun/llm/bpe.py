@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -115,19 +116,28 @@ class RankArrayBPE:
                     heapq.heappush(heap, (s, x, parts[x], parts[y]))
         return [p for p, a in zip(parts, alive) if a]
 
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if text[1:].isalpha() and text[0] == " ":  # letters are one pre-token
+            return self._ids(self.merge(text.encode()))
+        ids: list[bytes] = []
         at = 0
         for m in self.special_at.finditer(text):
             self._encode_plain(text[at:m.start()], ids)
-            ids.append(self.specials[m.group()])
+            ids.append(self._ids([self.specials[m.group()]]))
             at = m.end()
         self._encode_plain(text[at:] if at else text, ids)
-        return ids
+        return b"".join(ids)
 
-    def _encode_plain(self, text: str, ids: list[int]) -> None:
-        for word in self.words.findall(text):
-            ids.extend(self.merge(word.encode()))
+    def _encode_plain(self, text: str, ids: list[bytes]) -> None:
+        ids += (self._ids(self.merge(word.encode())) for word in self.words.findall(text))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -141,7 +151,7 @@ def _bpe(path: str) -> RankArrayBPE:
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> PieceEncoder:
     bpe = _bpe(path)
-    return PieceEncoder(lambda text: np.array(bpe.encode(text), "<i4").tobytes(), list(bpe.specials), "<i4")
+    return PieceEncoder(bpe.encode_bytes, list(bpe.specials), "<i4")
 
 
 def list_column(chunks: list[bytes], dtype: str) -> pa.Array:
@@ -175,7 +185,9 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", keep: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _bpe(path).decode
         for batch in batches:
-            texts = pa.array([decode(x or ()) for x in batch.column(len(keep)).to_pylist()], pa.string())
+            # One document's ids at a time become Python integers.
+            texts = pa.array([decode(x.values.to_numpy().tolist() if x.is_valid else ())
+                              for x in batch.column(len(keep))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], texts], names)
 
     chosen = encoded.select(*keep, ids)

@@ -13,31 +13,35 @@ from collections.abc import Callable
 
 import numpy as np
 
-# A full cache is emptied; longer pieces are never kept.
-CACHE_ENTRIES = 400_000
+# Entries of each of a cache's two generations; longer pieces are never kept.
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
+# Punctuation that is a pre-token of its own after a letter, before a space.
+PLAIN_ENDS = frozenset(".,;:!?|")
 
 
 class Irregular(Exception):
     """The text can't be split at this space."""
 
 
-class PieceCache(dict):
-    """piece (without the space before it) -> its ids, as bytes."""
+class TwoGenerations(dict):
+    """A bounded cache of `make(key)`: when it is full it becomes the old
+    generation, from which what is still in use comes back."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace():
-            raise Irregular
-        ids = self.encode(" " + piece)
-        if len(piece) <= CACHE_CHARS:
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class PieceEncoder:
@@ -46,7 +50,18 @@ class PieceEncoder:
 
     def __init__(self, encode: Callable[[str], bytes], specials: list[str], dtype: str):
         self.whole, self.specials, self.dtype = encode, specials, np.dtype(dtype)
-        self.cache = PieceCache(encode)
+        self.cache = TwoGenerations(self._piece)
+        self.words = TwoGenerations(encode)
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a space and the piece after it."""
+        if not piece or piece[0].isspace():
+            raise Irregular
+        if piece.isalpha():  # letters are one pre-token
+            return self.words[" " + piece]
+        if piece[:-1].isalpha() and piece[-1] in PLAIN_ENDS:
+            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
+        return self.whole(" " + piece)
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
