@@ -42,6 +42,16 @@ def fresh_name(taken: Iterable[str], base: str) -> str:
     return name
 
 
+def sealed(docs: DataFrame) -> Column:
+    """All columns of `docs` as one struct, out of reach of names that an
+    operator adds; ``opened`` takes them out again."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+
+
+def opened(df: DataFrame, row: str, columns: Iterable[str]) -> DataFrame:
+    return df.select(*(F.col(row).getField(c).alias(c) for c in columns))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

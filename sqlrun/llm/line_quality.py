@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sealed
 
 MIN_DOCUMENTS = 50
 MAX_SHARE = 0.01
@@ -174,9 +174,11 @@ def without_lines(docs: DataFrame, frequent: DataFrame, host: str = "source", te
     known = frequent.select(F.col("host").alias("of"), F.col("h").alias("line_h"))
     gone = (lines.join(known, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line_h")))
             .groupBy("host", "k1", "k2").agg(F.collect_set("h").alias("gone"))
-            .select(F.struct("host", "k1", "k2", "gone").alias("__gone")))
-    g = F.col("__gone")
+            .select(F.col("host").alias("g0"), F.col("k1").alias("g1"), F.col("k2").alias("g2"), "gone"))
     rewrite = F.pandas_udf(drop, "string")
-    return (docs.join(gone, F.col(host).eqNullSafe(g["host"]) & (F.xxhash64(F.col(text)) == g["k1"])
-                      & (F.xxhash64(F.lit(1), F.col(text)) == g["k2"]), "left")
-            .withColumn(text, rewrite(F.col(text), g["gone"])).drop("__gone"))
+    joined = (docs.select(sealed(docs).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"), *keys)
+              .join(gone, F.col("host").eqNullSafe(F.col("g0")) & (F.col("k1") == F.col("g1"))
+                    & (F.col("k2") == F.col("g2")), "left")
+              .withColumn("left_text", rewrite("text", "gone")))
+    return joined.select(*(F.col("left_text").alias(c) if c == text else F.col("row").getField(c).alias(c)
+                           for c in docs.columns))

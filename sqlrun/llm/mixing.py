@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialise
+from .common import fresh_name, materialise, sealed
 
 BITS = 12           # hash bits that one histogram resolves
 LEVELS = 3          # nested histograms
@@ -122,11 +122,9 @@ def mix_sources(docs: DataFrame, size: Column, key: Column, source: str = "sourc
     name = fresh_name(docs.columns, "mix")
     sized = docs.select(F.col(source).alias("source"), size.alias("size"), key.alias("h"))
     plan = mix_plan(sized, weights, share, max_repeats).select(
-        F.struct("source", "source_size", "target", "whole", "cut").alias(f"{name}_plan"))
-    p, m = F.col(f"{name}_plan"), F.col(name)
-    joined = (docs.withColumn(name, F.struct(size.alias("size"), key.alias("h")))
-              .join(plan, F.col(source).eqNullSafe(p["source"]), "left"))
-    copies = p["whole"] + F.when(m["h"] < p["cut"], 1).otherwise(0)
-    return joined.withColumn(name, F.struct(
-        m["size"].alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"),
-        copies.cast("long").alias("copies"))).drop(f"{name}_plan")
+        F.col("source").alias("of"), "source_size", "target", "whole", "cut")
+    rows = docs.select(sealed(docs).alias("row"), F.col(source).alias("own"), size.alias("size"), key.alias("h"))
+    copies = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+    return (rows.join(plan, F.col("own").eqNullSafe(F.col("of")), "left")
+            .select(*(F.col("row").getField(c).alias(c) for c in docs.columns),
+                    F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias(name)))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, opened, sealed
 from .components import components
 
 WORDS = 5
@@ -285,8 +285,9 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", thresh
                                     .select(F.col("r1").alias("k1"), F.col("r2").alias("k2"),
                                             F.lit(False).alias("sole")).distinct()), "one-of-each")
     # The join and the window share one partitioning by the row's hash.
-    row = Window.partitionBy("__r1", "__r2").orderBy(F.lit(0))
-    return (docs.withColumn("__r1", F.xxhash64(doc, text)).withColumn("__r2", F.xxhash64(F.lit(1), doc, text))
-            .join(stay, (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")))
-            .withColumn("__n", F.row_number().over(row))
-            .filter(~F.col("sole") | (F.col("__n") == 1)).select(*docs.columns))
+    row = Window.partitionBy("r1", "r2").orderBy(F.lit(0))
+    kept = (docs.select(sealed(docs).alias("row"), F.xxhash64(doc, text).alias("r1"),
+                        F.xxhash64(F.lit(1), doc, text).alias("r2"))
+            .join(stay, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2")))
+            .withColumn("n", F.row_number().over(row)).filter(~F.col("sole") | (F.col("n") == 1)))
+    return opened(kept, "row", docs.columns)

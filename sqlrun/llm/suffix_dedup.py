@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialise
+from .common import materialise, sealed
 
 LENGTH = 400
 RUN = 256            # places among which a window's anchor is the least
@@ -322,12 +322,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Da
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the repeated bytes cut out of the texts.  A character that
     is cut in the middle goes with the cut; null texts stay null."""
-    name = fresh_name(docs.columns, "cut")
-    cuts = cut_repeats(docs, text, length).select(F.struct("t1", "t2", "kept").alias(name))
+    cuts = cut_repeats(docs, text, length).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "kept")
     own = F.coalesce(F.col(text), F.lit(""))
     decode = F.pandas_udf(lambda kept: kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore")),
                           "string")
-    return (docs.join(cuts, (F.xxhash64(own) == F.col(name)["t1"])
-                      & (F.xxhash64(F.lit(1), own) == F.col(name)["t2"]), "left")
-            .withColumn(text, F.when(F.col(name).isNull(), F.col(text)).otherwise(decode(F.col(name)["kept"])))
-            .select(*docs.columns))
+    joined = (docs.select(sealed(docs).alias("row"), *text_key(own))
+              .join(cuts, _same("c1", "c2"), "left").withColumn("kept_text", decode("kept")))
+    return joined.select(*(F.when(F.col("c1").isNull(), F.col("row").getField(c)).otherwise(F.col("kept_text")).alias(c)
+                           if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
