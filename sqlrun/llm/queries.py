@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .bpe import decode_documents, encode_documents
 from .common import documents, materialise, word_count
+from .edit_counts import edit_trees, redactions, token_trees
 from .language_id import identify
 from .license_scan import BASE_NOTICES, scan_notices
 from .line_quality import line_quality
@@ -22,6 +23,7 @@ from .token_files import token_file_digests, write_token_files
 
 # Tokenizer files are named here and found where they are installed.
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 2
 
 
@@ -74,6 +76,14 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "n_repeat_words", "base_failed", "kept", "lines_removed", "words_left")
 
 
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path(BYTE_BPE_RANKS)
+    edited = edit_trees(token_trees(documents(spark, sf_dir), ranks), ranks, redactions)
+    return edited.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits",
+                         F.col("n_tokens").alias("n_tokens_edited"), "n_encoded",
+                         F.sha2(F.coalesce("text", F.lit("")), 256).alias("edited_sha256"))
+
+
 def op6_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
 
@@ -118,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_license_notices": op3_license_notices,
     "op4_line_quality": op4_line_quality,
+    "op5_edit_counts": op5_edit_counts,
     "op6_projection_search": op6_projection_search,
     "op7_bpe_rank_array": op7_bpe_rank_array,
     "op8_token_files": op8_token_files,
