@@ -19,7 +19,8 @@ Rejection is calibrated on a tenth of the labelled documents, chosen by a hash
 of the text and left out of the counts: the excess of a document's
 cross-entropy over its language's mean, times the root of its length (up to
 ``LONG_CHARS``), has a standard deviation; a document beyond ``REJECT_SD`` of
-them is rejected.  A language without such documents rejects nothing.
+them, and ``REJECT_EXCESS`` nats per character or more above the mean, is
+rejected.  A language without such documents rejects nothing.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
 and rejected; if no labelled document was given, every text is; ties go to the
@@ -48,6 +49,7 @@ CODE_SPACE = 1 << (ORDER * CLASS_BITS)
 CERTAIN_CHARS = 20
 LONG_CHARS = 400
 REJECT_SD = 8.0
+REJECT_EXCESS = 1.0
 CALIBRATE_EVERY = 10  # one labelled document in so many calibrates
 BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
@@ -262,7 +264,8 @@ def identify(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     few = known.count() <= BROADCAST_LANGUAGES
     known = known.select(F.struct("of", "mean", "sd").alias("__known"))
     k = F.col("__known")
-    excess = (F.col("entropy") - k["mean"]) * reach
+    excess = F.col("entropy") - k["mean"]
+    strange = (excess * reach > k["sd"] * reject_sd) & (excess >= REJECT_EXCESS)
     return (scored.join(F.broadcast(known) if few else known, F.col("lang_pred") == k["of"], "left")
-            .withColumn("rejected", F.col("entropy").isNull() | F.coalesce(excess > k["sd"] * reject_sd, F.lit(False)))
+            .withColumn("rejected", F.col("entropy").isNull() | F.coalesce(strange, F.lit(False)))
             .drop("__label", "__known"))

@@ -71,7 +71,10 @@ class Projection:
     most: float  # the largest norm
 
     def directions(self) -> np.ndarray:
-        return np.random.default_rng(20240503).standard_normal((self.size + 1, DIMENSIONS))
+        """Gaussian; each coordinate's part is scaled to its expected length,
+        so none (above all the added one) is stretched for all vectors alike."""
+        g = np.random.default_rng(20240503).standard_normal((self.size + 1, DIMENSIONS))
+        return g * (math.sqrt(DIMENSIONS) / np.linalg.norm(g, axis=1, keepdims=True))
 
     def data(self, x: np.ndarray) -> np.ndarray:
         extra = np.sqrt(np.maximum(self.most ** 2 - (x * x).sum(axis=1), 0))
