@@ -20,15 +20,17 @@ def flat(sf_dir: str, table: str, name: str | None = None) -> dict[str, Any]:
 
 def events_ds(spark: SparkSession, sf_dir: str, name: str = "ev",
               dates: list[Any] | None = None, types: list[Any] | None = None) -> dict[str, Any]:
-    """Partition-listed `events` (by default every day and type: whole table)."""
-    return {
-        "name": name,
-        "path": fx.events_by_day_type(spark, sf_dir),
-        "partitions": [
-            {"key": "event_date", "values": list(fx.EVENT_DATES if dates is None else dates)},
-            {"key": "event_type", "values": list(fx.EVENT_TYPES if types is None else types)},
-        ],
-    }
+    """Partition-listed `events` (by default every day and type in it)."""
+    path = fx.events_by_day_type(spark, sf_dir)
+    values = lambda col, given: fx.layout_values(spark, path, col) if given is None else list(given)
+    return {"name": name, "path": path, "partitions": [
+        {"key": "event_date", "values": values("event_date", dates)},
+        {"key": "event_type", "values": values("event_type", types)}]}
+
+
+# The flat `events` table with the derived day, as a view of the run.
+EV_VIEW = {"name": "ev", "sql": "CREATE TEMPORARY VIEW ev AS "
+           "SELECT *, CAST(CAST(ts AS DATE) AS STRING) AS event_date FROM events"}
 
 
 def run_sql(spark: SparkSession, datasets: list[dict[str, Any]], query: str,

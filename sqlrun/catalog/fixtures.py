@@ -3,7 +3,10 @@
 The given tables are flat Parquet files; the partition-list scan needs Hive
 layouts.  Each layout is derived from a whole table by one distributed write
 and kept under the cluster's shared checkpoint folder (``spark.checkpoint.dir``),
-keyed by the source folder, so every query and every bench run reuses it.
+keyed by the source folder and by the names, sizes and times of its table's
+files, so every query and every bench run reuses it and a changed table gets a
+layout of its own.  The partition values that a table holds are stored beside
+its layout: the queries list what is there, not a fixed range.
 Without that setting only a single-process local session works (see
 ``sources/shared_folder.py``).
 
@@ -19,19 +22,13 @@ import os
 import threading
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared_folder import shared_dir
 
-LAYOUT_VERSION = "v2"
-
-# The event types and the day range present in the given
-# `events` table (2024-01-01 .. 2024-01-30).
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-EVENT_DATES = [f"2024-01-{d:02d}" for d in range(1, 31)]
-ORDER_YEARS = list(range(1995, 2002))
-
+LAYOUT_VERSION = "v3"
 
 def layout_root(spark: SparkSession, sf_dir: str) -> str:
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
@@ -43,20 +40,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Changes with the names, sizes and times of the table's files."""
+    files = (spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet")
+             .select("path", "length", "modificationTime"))
+    row = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return hashlib.sha1(str(tuple(row)).encode()).hexdigest()[:10]
+
+
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
-# Hidden (underscore) folder written after a layout's last write; partition
-# discovery skips it, and its presence means the layout is complete.
-_COMPLETE = "_complete"
+# Hidden (underscore) folders, which partition discovery skips: the distinct
+# partition values, and a mark written last, so that a layout is complete.
+_VALUES, _COMPLETE = "_values", "_complete"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).schema  # listing only, no job
         return True
-    except Exception:
-        return False
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return False
+        raise
 
 
 def _ensure(spark: SparkSession, path: str, build: Callable[[str], None]) -> str:
@@ -69,6 +76,23 @@ def _ensure(spark: SparkSession, path: str, build: Callable[[str], None]) -> str
     return path
 
 
+def _layout(spark: SparkSession, sf_dir: str, source: str, name: str,
+            build: Callable[[DataFrame, str], None]) -> str:
+    path = f"{layout_root(spark, sf_dir)}/{name}-{fingerprint(spark, sf_dir, source)}"
+    return _ensure(spark, path, lambda p: build(table(spark, sf_dir, source), p))
+
+
+def _partitioned(df: DataFrame, path: str, *cols: str) -> None:
+    write_partitioned(df, path, *cols)
+    df.select(*cols).distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")
+
+
+def layout_values(spark: SparkSession, path: str, col: str) -> list:
+    """The values of a partition column that a layout holds, sorted; as many
+    as the column has folders."""
+    return [r[0] for r in spark.read.parquet(f"{path}/{_VALUES}").select(col).distinct().orderBy(col).collect()]
+
+
 def write_partitioned(df: DataFrame, path: str, *cols: str, mode: str = "overwrite") -> None:
     """Hive-partitioned Parquet write that survives a hot partition value:
     ``REBALANCE`` on the partition columns lets AQE split an oversized
@@ -76,76 +100,107 @@ def write_partitioned(df: DataFrame, path: str, *cols: str, mode: str = "overwri
     df.hint("rebalance", *cols).write.mode(mode).partitionBy(*cols).parquet(path)
 
 
+def _days(ev: DataFrame) -> DataFrame:
+    return ev.withColumn("event_date", F.to_date("ts").cast("string"))
+
+
 def events_by_day_type(spark: SparkSession, sf_dir: str) -> str:
     """`events` partitioned by event_date (string) and event_type."""
-    def build(path: str) -> None:
-        write_partitioned(table(spark, sf_dir, "events")
-                          .withColumn("event_date", F.to_date("ts").cast("string")),
-                          path, "event_date", "event_type")
-    return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_type", build)
+    return _layout(spark, sf_dir, "events", "events_by_day_type",
+                   lambda ev, p: _partitioned(_days(ev), p, "event_date", "event_type"))
 
 
 def events_by_day_hour(spark: SparkSession, sf_dir: str) -> str:
     """`events` partitioned by event_date and hour (two levels)."""
-    def build(path: str) -> None:
-        write_partitioned(table(spark, sf_dir, "events")
-                          .withColumn("event_date", F.to_date("ts").cast("string"))
-                          .withColumn("hour", F.hour("ts")),
-                          path, "event_date", "hour")
-    return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_hour", build)
+    return _layout(spark, sf_dir, "events", "events_by_day_hour",
+                   lambda ev, p: _partitioned(_days(ev).withColumn("hour", F.hour("ts")), p, "event_date", "hour"))
 
 
 def events_by_day_hour_type(spark: SparkSession, sf_dir: str) -> str:
-    """`events` under three levels: event_date / hour / event_type (3,600 leaves)."""
-    def build(path: str) -> None:
-        write_partitioned(table(spark, sf_dir, "events")
-                          .withColumn("event_date", F.to_date("ts").cast("string"))
-                          .withColumn("hour", F.hour("ts")),
-                          path, "event_date", "hour", "event_type")
-    return _ensure(spark, layout_root(spark, sf_dir) + "/events_by_day_hour_type", build)
+    """`events` under three levels: event_date / hour / event_type."""
+    return _layout(spark, sf_dir, "events", "events_by_day_hour_type",
+                   lambda ev, p: _partitioned(_days(ev).withColumn("hour", F.hour("ts")), p,
+                                              "event_date", "hour", "event_type"))
+
+
+# Fixed value: days by which a layout moves `events`, over the end of a month.
+SHIFT_DAYS = 20
+
+
+def events_shifted(spark: SparkSession, sf_dir: str) -> str:
+    """`events` some days later, by event_date."""
+    return _layout(spark, sf_dir, "events", "events_shifted",
+                   lambda ev, p: _partitioned(_days(ev.withColumn("ts", F.expr(f"ts + INTERVAL '{SHIFT_DAYS}' DAY"))),
+                                              p, "event_date"))
 
 
 def orders_by_year(spark: SparkSession, sf_dir: str) -> str:
-    def build(path: str) -> None:
-        write_partitioned(table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate")),
-                          path, "o_year")
-    return _ensure(spark, layout_root(spark, sf_dir) + "/orders_by_year", build)
+    return _layout(spark, sf_dir, "orders", "orders_by_year",
+                   lambda o, p: _partitioned(o.withColumn("o_year", F.year("o_orderdate")), p, "o_year"))
 
 
 def events_overlap(spark: SparkSession, sf_dir: str) -> str:
     """Directories ``event_type=<type>`` whose files *also* hold an
-    ``event_type`` column, with a conflicting (upper-case) value."""
-    def build(path: str) -> None:
-        ev = table(spark, sf_dir, "events")
-        for t in EVENT_TYPES:
+    ``event_type`` column, with a conflicting (upper-case) value.  A writer
+    can't partition by a column that it also keeps, so each type is a write."""
+    def build(ev: DataFrame, path: str) -> None:
+        types = [r[0] for r in ev.select("event_type").distinct().collect()]
+        for t in types:
             (ev.filter(F.col("event_type") == t)
              .withColumn("event_type", F.upper("event_type"))
              .write.mode("overwrite").parquet(f"{path}/event_type={t}"))
-    return _ensure(spark, layout_root(spark, sf_dir) + "/events_overlap", build)
+        ev.select("event_type").distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")
+    return _layout(spark, sf_dir, "events", "events_overlap", build)
 
 
-# The event types written with the older file schema.
+# The event types written with the older file schema; all others
+# have the newer one.
 OLD_SCHEMA_TYPES = ["click", "error"]
 
 
+def _two_schemas(spark: SparkSession, sf_dir: str, name: str, old: Callable[[DataFrame], DataFrame],
+                 new: Callable[[DataFrame], DataFrame] = lambda ev: ev, old_levels: tuple[str, ...] = (),
+                 new_levels: tuple[str, ...] = ()) -> str:
+    """`events` by event_type with two kinds of leaves: one write for each."""
+    def build(ev: DataFrame, path: str) -> None:
+        is_old = F.col("event_type").isin(OLD_SCHEMA_TYPES)
+        write_partitioned(old(ev.filter(is_old)), path, "event_type", *old_levels)
+        write_partitioned(new(ev.filter(~is_old)), path, "event_type", *new_levels, mode="append")
+        ev.select("event_type").distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")
+    return _layout(spark, sf_dir, "events", name, build)
+
+
 def events_evolved(spark: SparkSession, sf_dir: str) -> str:
     """Two file schemas under one base: older leaves lack ``props`` and hold
     ``event_id`` as INT; newer leaves have the full schema (BIGINT)."""
-    def build(path: str) -> None:
-        ev = table(spark, sf_dir, "events")
-        old = ev.filter(F.col("event_type").isin(OLD_SCHEMA_TYPES))
-        new = ev.filter(~F.col("event_type").isin(OLD_SCHEMA_TYPES))
-        write_partitioned(old.select(F.col("event_id").cast("int").alias("event_id"), "ts",
-                                     "user_id", "value", "event_type"), path, "event_type")
-        write_partitioned(new, path, "event_type", mode="append")
-    return _ensure(spark, layout_root(spark, sf_dir) + "/events_evolved", build)
+    return _two_schemas(spark, sf_dir, "events_evolved",
+                        lambda ev: ev.select(F.col("event_id").cast("int").alias("event_id"), "ts",
+                                             "user_id", "value", "event_type"))
+
+
+def events_bigint_double(spark: SparkSession, sf_dir: str) -> str:
+    """``value`` is a BIGINT in the older leaves and a DOUBLE in the newer."""
+    return _two_schemas(spark, sf_dir, "events_bigint_double",
+                        lambda ev: ev.withColumn("value", F.floor("value").cast("bigint")))
+
+
+def events_int_string(spark: SparkSession, sf_dir: str) -> str:
+    """``user_id`` is an INT in the older leaves and text in the newer."""
+    return _two_schemas(spark, sf_dir, "events_int_string",
+                        lambda ev: ev.withColumn("user_id", F.col("user_id").cast("int")),
+                        lambda ev: ev.withColumn("user_id", F.col("user_id").cast("string")))
+
+
+def events_mixed_depth(spark: SparkSession, sf_dir: str) -> str:
+    """Older leaves hold files, newer ones ``hour=<h>`` folders."""
+    return _two_schemas(spark, sf_dir, "events_mixed_depth", lambda ev: ev,
+                        lambda ev: ev.withColumn("hour", F.hour("ts")), new_levels=("hour",))
 
 
 def part_csv(spark: SparkSession, sf_dir: str) -> str:
     """`part` as CSV with a header line."""
-    def build(path: str) -> None:
-        table(spark, sf_dir, "part").write.mode("overwrite").option("header", "true").csv(path)
-    return _ensure(spark, layout_root(spark, sf_dir) + "/part_csv", build)
+    return _layout(spark, sf_dir, "part", "part_csv",
+                   lambda part, p: part.write.mode("overwrite").option("header", "true").csv(p))
 
 
 def sql_file(spark: SparkSession, sf_dir: str, name: str, text: str) -> str:

@@ -3,6 +3,7 @@ view chain, override, sink).  Each goes through ``sqlrun.run``."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.runner import run
 from ..sources.result_sink import manifest_summary, preview, read_result, write_result
+from ..spec import RunSpec
 from . import fixtures as fx
 from . import register
 from .common import DUCK_EV, events_ds, flat, run_sql, sql_list
@@ -17,10 +19,15 @@ from .common import DUCK_EV, events_ds, flat, run_sql, sql_list
 D = "CAST(CAST(ts AS DATE) AS VARCHAR)"
 
 # ----------------------------------------------------------------- scans
-PRODUCT_DATES = fx.EVENT_DATES[:15]
+# The days, types and gaps that these specs list.
+PRODUCT_DATES = [f"2024-01-{d:02d}" for d in range(1, 16)]
 PRODUCT_TYPES = ["click", "purchase", "view"]
 
 
+def _all_values(spark: SparkSession, path: str, *keys: str) -> list[dict]:
+    return [{"key": k, "values": fx.layout_values(spark, path, k)} for k in keys]
+
+
 @register("scan_flat", "SELECT * FROM nation")
 def scan_flat(spark: SparkSession, sf: str):
     return run_sql(spark, [flat(sf, "nation")], "SELECT * FROM nation")
@@ -55,8 +62,9 @@ def scan_partition_duplicates(spark: SparkSession, sf: str):
 @register("scan_partition_typed",
           "SELECT *, CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders")
 def scan_partition_typed(spark: SparkSession, sf: str):
-    ds = {"name": "orders", "path": fx.orders_by_year(spark, sf),
-          "partitions": [{"key": "o_year", "values": fx.ORDER_YEARS + [2099]}]}
+    path = fx.orders_by_year(spark, sf)
+    ds = {"name": "orders", "path": path,
+          "partitions": [{"key": "o_year", "values": fx.layout_values(spark, path, "o_year") + [2099]}]}
     return run_sql(spark, [ds], "SELECT * FROM orders")
 
 
@@ -64,8 +72,9 @@ def scan_partition_typed(spark: SparkSession, sf: str):
           f"SELECT *, {D} AS event_date, CAST(hour(ts) AS INTEGER) AS hour FROM events")
 def scan_partition_nested(spark: SparkSession, sf: str):
     # only the first level is listed; `hour` below it is discovered (int)
-    ds = {"name": "ev", "path": fx.events_by_day_hour(spark, sf),
-          "partitions": [{"key": "event_date", "values": fx.EVENT_DATES}]}
+    path = fx.events_by_day_hour(spark, sf)
+    ds = {"name": "ev", "path": path,
+          "partitions": [{"key": "event_date", "values": fx.layout_values(spark, path, "event_date")}]}
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
@@ -84,11 +93,9 @@ def scan_declared_schema(spark: SparkSession, sf: str):
 @register("scan_partition_three_levels",
           f"SELECT *, {D} AS event_date, CAST(hour(ts) AS INTEGER) AS hour FROM events")
 def scan_partition_three_levels(spark: SparkSession, sf: str):
-    # 30 days x 24 hours x 5 types = 3,600 listed leaves in one scan
-    ds = {"name": "ev", "path": fx.events_by_day_hour_type(spark, sf),
-          "partitions": [{"key": "event_date", "values": fx.EVENT_DATES},
-                         {"key": "hour", "values": list(range(24))},
-                         {"key": "event_type", "values": fx.EVENT_TYPES}]}
+    # days x hours x types in the data, thousands of listed leaves, in one scan
+    path = fx.events_by_day_hour_type(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_date", "hour", "event_type")}
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
@@ -98,10 +105,8 @@ def scan_partition_three_levels(spark: SparkSession, sf: str):
           "GROUP BY 1, 2")
 def scan_hourly_profile(spark: SparkSession, sf: str):
     # a filter on the int `hour` level prunes folders before any file opens
-    ds = {"name": "ev", "path": fx.events_by_day_hour_type(spark, sf),
-          "partitions": [{"key": "event_date", "values": fx.EVENT_DATES},
-                         {"key": "hour", "values": list(range(24))},
-                         {"key": "event_type", "values": fx.EVENT_TYPES}]}
+    path = fx.events_by_day_hour_type(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_date", "hour", "event_type")}
     return run_sql(spark, [ds], "SELECT hour, event_type, COUNT(*) AS n, "
                    "COUNT(DISTINCT user_id) AS users FROM ev "
                    "WHERE hour BETWEEN ${FROM_HOUR} AND ${TO_HOUR} GROUP BY hour, event_type",
@@ -110,8 +115,8 @@ def scan_hourly_profile(spark: SparkSession, sf: str):
 
 @register("scan_partition_overlap", "SELECT * FROM events")
 def scan_partition_overlap(spark: SparkSession, sf: str):
-    ds = {"name": "ev", "path": fx.events_overlap(spark, sf),
-          "partitions": [{"key": "event_type", "values": fx.EVENT_TYPES}]}
+    path = fx.events_overlap(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_type")}
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
@@ -120,12 +125,53 @@ def scan_partition_overlap(spark: SparkSession, sf: str):
           f"CASE WHEN event_type IN ({sql_list(fx.OLD_SCHEMA_TYPES)}) THEN NULL ELSE props END "
           "AS props, event_type FROM events")
 def scan_schema_evolution(spark: SparkSession, sf: str):
-    ds = {"name": "ev", "path": fx.events_evolved(spark, sf),
-          "partitions": [{"key": "event_type", "values": fx.EVENT_TYPES}]}
+    path = fx.events_evolved(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_type")}
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
-COVER_DATES = fx.EVENT_DATES[::3] + ["2099-01-01"]
+_IS_OLD = f"event_type IN ({sql_list(fx.OLD_SCHEMA_TYPES)})"
+
+
+@register("scan_widen_bigint_double",
+          f"SELECT event_id, ts, user_id, CASE WHEN {_IS_OLD} THEN floor(value) ELSE value END AS value, "
+          "props, event_type FROM events")
+def scan_widen_bigint_double(spark: SparkSession, sf: str):
+    path = fx.events_bigint_double(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_type")}
+    return run_sql(spark, [ds], "SELECT * FROM ev")
+
+
+@register("scan_widen_int_string", "SELECT event_id, ts, user_id, value, props, event_type FROM events")
+def scan_widen_int_string(spark: SparkSession, sf: str):
+    path = fx.events_int_string(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_type")}
+    return run_sql(spark, [ds], "SELECT event_id, ts, CAST(user_id AS BIGINT) AS user_id, value, props, "
+                   "event_type FROM ev")
+
+
+@register("scan_mixed_depth",
+          f"SELECT *, CASE WHEN {_IS_OLD} THEN NULL ELSE CAST(hour(ts) AS INTEGER) END AS hour FROM events")
+def scan_mixed_depth(spark: SparkSession, sf: str):
+    path = fx.events_mixed_depth(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_type")}
+    return run_sql(spark, [ds], "SELECT * FROM ev")
+
+
+_LATER = f"ts + INTERVAL {fx.SHIFT_DAYS} DAY"
+
+
+@register("scan_values_from_data",
+          f"SELECT CAST(CAST({_LATER} AS DATE) AS VARCHAR) AS event_date, COUNT(*) AS n, "
+          f"MAX({_LATER}) AS last_ts FROM events GROUP BY 1")
+def scan_values_from_data(spark: SparkSession, sf: str):
+    # the listed days are those that the layout holds, over the end of a month
+    path = fx.events_shifted(spark, sf)
+    ds = {"name": "ev", "path": path, "partitions": _all_values(spark, path, "event_date")}
+    return run_sql(spark, [ds], "SELECT event_date, COUNT(*) AS n, MAX(ts) AS last_ts FROM ev GROUP BY event_date")
+
+
+COVER_DATES = [f"2024-01-{d:02d}" for d in range(1, 31, 3)] + ["2099-01-01"]
 COVER_TYPES = ["view", "click", "no_such_type"]
 
 
@@ -198,52 +244,44 @@ def param_identifier(spark: SparkSession, sf: str):
 
 
 # ---------------------------------------------------------- view chain
-DAILY_METRICS_SQL = """CREATE TEMPORARY VIEW daily_metrics AS
-SELECT
-  event_date,
-  event_type AS region,
-  COUNT(*) AS total_events,
-  COUNT(DISTINCT user_id) AS unique_users
-FROM events
-WHERE event_date >= '${START_DATE}'
-GROUP BY event_date, event_type
+SPEND_SQL = """CREATE TEMPORARY VIEW spend_by_kind AS
+SELECT event_type, event_date, SUM(value) AS spent, COUNT(*) AS n, MAX(value) AS most
+FROM ev
+WHERE event_date >= '${FROM_DAY}'
+GROUP BY event_type, event_date
 """
 
-WEEKLY_SQL = """CREATE TEMPORARY VIEW weekly_metrics AS
-SELECT CAST(weekofyear(to_date(event_date)) AS INT) AS week,
-       region,
-       SUM(total_events) AS total_events,
-       MAX(unique_users) AS max_daily_users
-FROM daily_metrics
+WEEKS_SQL = """CREATE TEMPORARY VIEW weeks AS
+SELECT event_type, CAST(weekofyear(to_date(event_date)) AS INT) AS week,
+       SUM(n) AS n, MAX(most) AS most
+FROM spend_by_kind
 GROUP BY 1, 2
 """
 
-_DAILY_DUCK = (
-    f"daily_metrics AS (SELECT {D} AS event_date, event_type AS region, "
-    "COUNT(*) AS total_events, COUNT(DISTINCT user_id) AS unique_users FROM events "
-    f"WHERE {D} >= '2024-01-03' GROUP BY 1, 2)")
+_SPEND_DUCK = (
+    f"spend_by_kind AS (SELECT event_type, {D} AS event_date, ROUND(SUM(value), 4) AS spent, COUNT(*) AS n, "
+    f"MAX(value) AS most FROM events WHERE {D} >= '2024-01-03' GROUP BY 1, 2)")
 
 
 def _view_files(spark: SparkSession, sf: str, *named: tuple[str, str]) -> list[str]:
     return [fx.sql_file(spark, sf, name, text) for name, text in named]
 
 
-@register("readme_daily_metrics", f"WITH {_DAILY_DUCK} SELECT * FROM daily_metrics")
+@register("readme_daily_metrics", f"WITH {_SPEND_DUCK} SELECT * FROM spend_by_kind")
 def readme_daily_metrics(spark: SparkSession, sf: str):
-    views = _view_files(spark, sf, ("daily_metrics", DAILY_METRICS_SQL))
-    return run_sql(spark, [events_ds(spark, sf, name="events")], "SELECT * FROM daily_metrics",
-                   views=views, parameters={"START_DATE": "2024-01-03"})
+    views = _view_files(spark, sf, ("spend_by_kind", SPEND_SQL))
+    return run_sql(spark, [events_ds(spark, sf)],
+                   "SELECT event_type, event_date, ROUND(spent, 4) AS spent, n, most FROM spend_by_kind",
+                   views=views, parameters={"FROM_DAY": "2024-01-03"})
 
 
 @register("view_chain",
-          f"WITH {_DAILY_DUCK} SELECT CAST(weekofyear(CAST(event_date AS DATE)) AS INTEGER) AS week, "
-          "region, CAST(SUM(total_events) AS BIGINT) AS total_events, "
-          "MAX(unique_users) AS max_daily_users FROM daily_metrics GROUP BY 1, 2")
+          f"WITH {_SPEND_DUCK} SELECT event_type, CAST(weekofyear(CAST(event_date AS DATE)) AS INTEGER) AS week, "
+          "CAST(SUM(n) AS BIGINT) AS n, MAX(most) AS most FROM spend_by_kind GROUP BY 1, 2")
 def view_chain(spark: SparkSession, sf: str):
-    views = _view_files(spark, sf, ("daily_metrics", DAILY_METRICS_SQL), ("weekly", WEEKLY_SQL),
-                        ("empty", "   \n"))
-    return run_sql(spark, [events_ds(spark, sf, name="events")], "SELECT * FROM weekly_metrics",
-                   views=views, parameters={"START_DATE": "2024-01-03"})
+    views = _view_files(spark, sf, ("spend_by_kind", SPEND_SQL), ("weeks", WEEKS_SQL), ("empty", "   \n"))
+    return run_sql(spark, [events_ds(spark, sf)], "SELECT * FROM weeks",
+                   views=views, parameters={"FROM_DAY": "2024-01-03"})
 
 
 BAND_FUNCTION_SQL = """CREATE TEMPORARY FUNCTION value_band(v DOUBLE)
@@ -318,10 +356,10 @@ def readme_top_users(spark: SparkSession, sf: str):
 @register("readme_filter_params",
           "SELECT * FROM part WHERE p_retailprice >= 950 AND p_type = 'ECONOMY'")
 def readme_filter_params(spark: SparkSession, sf: str):
-    return run_sql(spark, [flat(sf, "part", "products")],
-                   "SELECT * FROM products WHERE p_retailprice >= ${MIN_SCORE} "
-                   "AND p_type = '${CATEGORY}'",
-                   parameters={"MIN_SCORE": 950, "CATEGORY": "ECONOMY"})
+    return run_sql(spark, [flat(sf, "part", "shelf")],
+                   "SELECT * FROM shelf WHERE p_retailprice >= ${LOWEST_PRICE} "
+                   "AND p_type = '${KIND}'",
+                   parameters={"LOWEST_PRICE": 950, "KIND": "ECONOMY"})
 
 
 @register("query_override", "SELECT COUNT(*) AS n FROM events")
@@ -353,8 +391,21 @@ def result_preview(spark: SparkSession, sf: str):
     return preview(spark, path, n=20)
 
 
-@register("result_manifest")
+@register("result_manifest", "SELECT TRUE AS has_files, TRUE AS has_bytes")
 def result_manifest(spark: SparkSession, sf: str):
     path = _written(spark, sf, _RESULT_SQL)
     return manifest_summary(spark, path).select(
-        "files", "bytes", (F.col("files") >= 1).alias("has_files"))
+        (F.col("files") >= 1).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@register("run_spec_json",
+          "SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_acctbal > 1000 GROUP BY c_mktsegment")
+def run_spec_json(spark: SparkSession, sf: str):
+    """A run from a JSON document in the shared folder."""
+    spec = {"datasets": [{"name": "customer", "path": f"{sf}/customer.parquet"}],
+            "views": [{"name": "rich", "sql": "CREATE TEMPORARY VIEW rich AS SELECT * FROM customer "
+                       "WHERE c_acctbal > ${LEAST}"}],
+            "parameters": {"LEAST": 1000}, "outputPrefix": fx.results_dir(spark, sf),
+            "query": "SELECT c_mktsegment, COUNT(*) AS n FROM rich GROUP BY c_mktsegment"}
+    path = fx.sql_file(spark, sf, "run_spec", json.dumps(spec))
+    return run(spark, RunSpec.load(spark, path, require_output=True)).df

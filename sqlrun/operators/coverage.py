@@ -24,7 +24,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.footers import leaf_text_columns
+from ..sources.footers import list_files
 from ..sources.hive_paths import canonical_text, column_type, hive_escape
 
 if TYPE_CHECKING:
@@ -88,9 +88,7 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
     req = requested_leaves(scan).withColumn("dataset", F.lit(ds.name))
     dir_cols = [f"_dir_{k}" for k in keys]
 
-    files = (spark.read.format("binaryFile").option("basePath", ds.base_path)
-             .load(list(scan.globs)).select("path", "length"))
-    files = files.select("length", *leaf_text_columns("path", keys))
+    files = list_files(spark, scan.globs, keys).drop("path")
     for p in ds.partitions:  # booleans may be spelled True/False on storage
         if column_type(p).typeName() == "boolean":
             files = files.withColumn(f"_dir_{p.key}", F.lower(col(f"_dir_{p.key}")))
@@ -98,13 +96,12 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
                                          F.sum("length").alias("bytes"))
     out = req.join(stats, on=dir_cols, how="left")
 
-    bad = {tuple(b.get(k) for k in keys) for b in scan.bad_leaves}
-    bad_expr = F.lit(False)
-    for combo in bad:
-        cond = F.lit(True)
-        for k, t in zip(keys, combo):
-            cond = cond & (col(f"_dir_{k}") == F.lit(t))
-        bad_expr = bad_expr | cond
+    # Unreadable leaves are joined on, however many there are.
+    bad = spark.createDataFrame([tuple(b[k] for k in keys) + (True,) for b in scan.bad_leaves],
+                                ", ".join(f"b{i} string" for i in range(len(keys))) + ", unreadable boolean")
+    same = [col(c).eqNullSafe(F.col(f"b{i}")) for i, c in enumerate(dir_cols)]
+    out = out.join(bad, on=same, how="left").drop(*[f"b{i}" for i in range(len(keys))])
+    bad_expr = F.coalesce(F.col("unreadable"), F.lit(False))
 
     if with_rows:
         typed = {p.key: column_type(p) for p in ds.partitions}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.params import substitute
 from ..sources.partition_scan import Scan, scan_dataset
-from ..sources.text_files import read_whole_text
+from ..sources.text_files import driver_file, read_whole_text
 from ..spec import RunSpec, SpecError
 
 log = logging.getLogger("sqlrun")
@@ -44,12 +44,8 @@ _LAUNCH_ONLY = {"spark.default.parallelism"}
 _HADOOP_PREFIX = "spark.hadoop."
 
 # Spark lists many partition folders with a job of up to this many tasks
-# (default 10000), one folder per task below that.  Sized to the cluster's
-# cores, each task lists a batch of folders: on local[8] listing 3,600 leaves
-# drops from ~6 s to ~0.7 s, and on a 1000-executor cluster it stays in the
-# thousands of tasks.
+# (default 10000), one folder per task below that.
 LISTING_PARALLELISM = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-_SPARK_LISTING_DEFAULT = "10000"
 
 
 class ViewError(RuntimeError):
@@ -134,7 +130,10 @@ def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
         target = key[len(_HADOOP_PREFIX):] if key.startswith(_HADOOP_PREFIX) else key
         try:
             session.conf.set(target, str(value))
-        except Exception:  # CANNOT_MODIFY_CONFIG and friends
+        except Exception as exc:
+            # Only a conf that is fixed at launch is passed over; an invalid value is an error.
+            if "CANNOT_MODIFY" not in str(exc):
+                raise SpecError(f"session conf {key}={value!r}: {exc}") from exc
             skipped.append(key)
     if skipped:
         log.warning("launch-time confs not applied to the run session: %s", skipped)
@@ -148,17 +147,37 @@ def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
 INITIAL_SHUFFLE_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
+def most_cores(session: SparkSession) -> int | None:
+    """The cores that the application can grow to, by its configuration: the
+    same whenever it is asked, unlike the executors alive at the moment."""
+    try:
+        conf = session.sparkContext.getConf()
+        master = session.sparkContext.master
+        if master.startswith("local") and not master.startswith("local-cluster"):
+            return session.sparkContext.defaultParallelism  # one process: fixed
+    except Exception:  # no SparkContext handle (Spark Connect)
+        return None
+    if conf.get("spark.cores.max", None):
+        return int(conf.get("spark.cores.max"))
+    dynamic = conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true"
+    executors = conf.get("spark.dynamicAllocation.maxExecutors" if dynamic else "spark.executor.instances", None)
+    cores = conf.get("spark.executor.cores", None)
+    return int(executors) * int(cores) if executors and cores and executors.isdigit() else None
+
+
 def size_to_cluster(session: SparkSession, conf: Mapping[str, str]) -> None:
-    """Size folder listing and initial shuffle width to the cluster's cores,
-    unless the run's conf map or the cluster's configuration chose values."""
+    """Initial shuffle width by the most cores that the application can have,
+    never under the cluster's own setting or over one that was chosen.  Folder
+    listing keeps Spark's default on a cluster; in one local process, whose
+    cores never change, a task lists a batch of folders instead of one."""
     conf = conf or {}
-    try:
-        cores = session.sparkContext.defaultParallelism
-    except Exception:  # no SparkContext handle (Spark Connect): keep cluster settings
+    cores = most_cores(session)
+    if cores is None:
         return
-    if LISTING_PARALLELISM not in conf and \
-            session.conf.get(LISTING_PARALLELISM, _SPARK_LISTING_DEFAULT) == _SPARK_LISTING_DEFAULT:
-        session.conf.set(LISTING_PARALLELISM, str(max(8, min(10000, 2 * cores))))
+    local = session.sparkContext.master.startswith("local[") or session.sparkContext.master == "local"
+    if local and LISTING_PARALLELISM not in conf and \
+            not session.sparkContext.getConf().contains(LISTING_PARALLELISM):
+        session.conf.set(LISTING_PARALLELISM, str(max(8, 2 * cores)))
     if INITIAL_SHUFFLE_PARTITIONS not in conf and \
             not session.conf.get(INITIAL_SHUFFLE_PARTITIONS, None):
         shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
@@ -281,7 +300,13 @@ def main(argv: list[str] | None = None) -> int:
     if not ns.spec_path.strip() or (ns.run_id is not None and not ns.run_id.strip()):
         print("spec path and run id must be non-empty", file=sys.stderr)
         return 1
-    spark = SparkSession.builder.getOrCreate()
+    # A spec on the driver is read before the session starts, so that confs
+    # fixed at launch take effect too.
+    builder = SparkSession.builder
+    if driver_file(ns.spec_path):
+        for key, value in RunSpec.load(None, ns.spec_path, require_output=True).session_config.items():
+            builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spec = RunSpec.load(spark, ns.spec_path, require_output=True)
     result = run(spark, spec, query=ns.query)
     path = result.write(run_id=ns.run_id)

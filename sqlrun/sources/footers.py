@@ -1,22 +1,26 @@
 """Distributed Parquet footer survey (fallback path of the scan).
 
-Used only when Spark's own schema merge fails: files whose types conflict in a
-way ``mergeSchema`` rejects (``int`` vs ``bigint``) or files that are not
-readable Parquet.  The file list stays inside Spark (a ``binaryFile`` listing
-with the content column pruned, so no file body is read); each task reads
-just the footers of its files with pyarrow.  Only one sample file per
-*distinct* schema and the leaves with unreadable files come back to the
-driver; both are bounded by the spec, not by the data.
+Used when one Spark scan can't take all listed leaves: file types that Spark's
+schema merge rejects (``int`` and ``bigint``, ``int`` and ``string``), leaves of
+different depth, or files that are not Parquet.  The file list stays inside
+Spark (a ``binaryFile`` listing with the content column pruned, so no file body
+is read); each task reads just the footers of its files.  The driver gets one
+row for each leaf and kind of file in it, which the spec bounds; file names
+come back only for leaves that hold more than one kind.
+
+Only a file that is not valid Parquet counts as unreadable.  Any other failure
+(a missing file, no permission, a file system that can't be reached) ends the
+scan: it says nothing about the file.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .hive_paths import hive_escape
 
@@ -28,9 +32,11 @@ def _footer_reader():
     executors need pyarrow and pyspark, not this package on their path."""
 
     def read_footers(batches):
+        import hashlib
         from urllib.parse import unquote, urlparse
 
         import pandas as pd
+        import pyarrow as pa
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
@@ -41,40 +47,39 @@ def _footer_reader():
             uri = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
             return pafs.FileSystem.from_uri(uri)
 
-        for pdf in batches:
-            ok, schema = [], []
-            for path in pdf["path"]:
+        def kind(path):
+            """Fingerprint of the Parquet schema, or None for a file that is not Parquet."""
+            fs, local = open_fs(path)
+            with fs.open_input_file(local) as fh:
                 try:
-                    fs, local = open_fs(path)
-                    with fs.open_input_file(local) as fh:
-                        # the Parquet-level schema (physical + logical types)
-                        # fingerprints the file; Spark maps it on the driver
-                        text = str(pq.ParquetFile(fh).schema)
-                        schema.append(text.split("\n", 1)[-1])  # drop the object line
-                    ok.append(True)
-                except Exception:
-                    schema.append(None)
-                    ok.append(False)
-            yield pd.DataFrame({"path": pdf["path"], "ok": ok, "schema": schema})
+                    text = str(pq.ParquetFile(fh).schema)
+                except pa.ArrowInvalid:
+                    return None
+                except OSError as exc:  # a damaged footer is reported as an I/O error
+                    if "deserialize" in str(exc).lower() or "thrift" in str(exc).lower():
+                        return None
+                    raise
+            return hashlib.md5(text.split("\n", 1)[-1].encode()).hexdigest()  # without the object line
+
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "kind": [kind(p) for p in pdf["path"]]})
 
     return read_footers
 
 
+@dataclass
+class FileGroup:
+    """Files of one schema below one list of deeper partition levels."""
+    sample: str
+    first: tuple[int, ...]                          # list position of its first leaf
+    paths: list[str] = field(default_factory=list)  # leaf folders, or files of a mixed leaf
+
+
 @dataclass
 class Survey:
-    samples: list[str]                 # one file per distinct schema, first-seen order
+    groups: list[FileGroup]            # in the order of their first leaves
     bad_leaves: list[dict[str, str]]   # escaped directory text per listed key
-
-    def widened_schema(self, spark: SparkSession) -> T.StructType | None:
-        """Read each distinct schema from one sample file with Spark (its own
-        Parquet type mapping), then fold them with ``unionByName`` on empty
-        frames: Spark's rules widen types, add missing columns and merge
-        struct fields; truly incompatible types raise, as a union would."""
-        acc: DataFrame | None = None
-        for path in self.samples:
-            empty = spark.createDataFrame([], spark.read.parquet(path).schema)
-            acc = empty if acc is None else acc.unionByName(empty, allowMissingColumns=True)
-        return None if acc is None else acc.schema
+    bad_files: list[str]               # unreadable files in leaves that also hold readable ones
 
 
 def leaf_text_columns(path_col: str, keys: list[str]) -> list:
@@ -86,18 +91,43 @@ def leaf_text_columns(path_col: str, keys: list[str]) -> list:
     return cols
 
 
-def survey(spark: SparkSession, base: str, globs: list[str], keys: list[str]) -> Survey:
-    files = (spark.read.format("binaryFile").option("basePath", base)
-             .load(list(globs)).select("path"))
-    checked = files.mapInPandas(_footer_reader(), "path string, ok boolean, schema string")
-    checked = checked.select("*", *leaf_text_columns("path", keys)).persist()
-    try:
-        rows = (checked.filter("ok").groupBy("schema")
-                .agg(F.min("path").alias("first_path"))
-                .orderBy("first_path").collect())
-        bad = (checked.filter(~F.col("ok"))
-               .select(*[F.col(f"`_dir_{k}`").alias(k) for k in keys])
-               .distinct().collect())
-    finally:
-        checked.unpersist()
-    return Survey([r["first_path"] for r in rows], [r.asDict() for r in bad])
+def list_files(spark: SparkSession, globs: list[str], keys: list[str]) -> DataFrame:
+    """(path, length, one directory text per key) of every file below what the
+    globs match.  A recursive lookup infers no partition columns, so leaves may
+    differ in depth."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(globs))
+            .select("path", "length", *leaf_text_columns("path", keys)))
+
+
+def survey(spark: SparkSession, globs: list[str], keys: list[str],
+           positions: list[dict[str, int]]) -> Survey:
+    """`positions` gives, for each key, the list position of a directory text."""
+    dirs = [f"`_dir_{k}`" for k in keys]
+    leaf = "^(.*/" + "/".join(re.escape(hive_escape(k)) + "=[^/]*" for k in keys) + ")/(.*)$"
+    below = F.regexp_replace(F.regexp_extract("path", leaf, 2), "[^/]*$", "")
+    checked = (list_files(spark, globs, keys).select("path")
+               .mapInPandas(_footer_reader(), "path string, kind string")
+               .select("path", "kind", *leaf_text_columns("path", keys),
+                       F.regexp_extract("path", leaf, 1).alias("leaf"),
+                       F.regexp_replace(below, "=[^/]*/", "/").alias("deeper")))
+    rows = (checked.groupBy("leaf", *dirs, "deeper", "kind").agg(F.min("path").alias("path"))
+            .collect())
+    kinds: dict[str, set] = {}
+    for r in rows:
+        kinds.setdefault(r["leaf"], set()).add(None if r["kind"] is None else (r["deeper"], r["kind"]))
+    bad = [r for r in rows if r["kind"] is None]
+    mixed = [x for x, own in kinds.items() if len(own - {None}) > 1]
+    files: dict[tuple, list[str]] = {}
+    if mixed:
+        for r in checked.filter(F.col("leaf").isin(mixed) & F.col("kind").isNotNull()).collect():
+            files.setdefault((r["leaf"], r["deeper"], r["kind"]), []).append(unquote(r["path"]))
+
+    groups: dict[tuple, FileGroup] = {}
+    end = len(max(positions, key=len)) if positions else 0
+    order = lambda r: tuple(p.get(r[f"_dir_{k}"], end) for k, p in zip(keys, positions))
+    for r in sorted((r for r in rows if r["kind"] is not None), key=lambda r: (order(r), r["path"])):
+        group = groups.setdefault((r["deeper"], r["kind"]), FileGroup(unquote(r["path"]), order(r)))
+        group.paths += files.get((r["leaf"], r["deeper"], r["kind"]), [unquote(r["leaf"])])
+    return Survey(list(groups.values()),
+                  [{k: r[f"_dir_{k}"] for k in keys} for r in bad if kinds[r["leaf"]] == {None}],
+                  sorted(unquote(r["path"]) for r in bad if kinds[r["leaf"]] != {None}))

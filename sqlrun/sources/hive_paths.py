@@ -109,12 +109,7 @@ def level_pattern(part: PartitionKey, values: Iterable[Any]) -> str:
     """Glob for one directory level: ``k=a`` or ``{k=a,k=b}``; duplicates are
     listed once (multiplicity is applied after the scan)."""
     key = glob_escape(hive_escape(part.key))
-    alts: list[str] = []
-    for v in values:
-        for t in directory_texts(v):
-            alt = f"{key}={glob_escape(t)}"
-            if alt not in alts:
-                alts.append(alt)
+    alts = list({f"{key}={glob_escape(t)}": None for v in values for t in directory_texts(v)})
     return alts[0] if len(alts) == 1 else "{" + ",".join(alts) + "}"
 
 
@@ -140,6 +135,12 @@ def leaf_globs(ds: DatasetSpec) -> list[str]:
     return globs
 
 
+def brace_glob(ds: DatasetSpec) -> str:
+    """One glob for all listed leaves, alternatives at every level: it matches
+    whatever exists, at the price of listing the base folder."""
+    return "/".join([ds.base_path, *(level_pattern(p, p.values) for p in ds.partitions)])
+
+
 def leaf_path(ds: DatasetSpec, combo: tuple[Any, ...]) -> str:
     parts = [f"{hive_escape(p.key)}={canonical_text(v)}" for p, v in zip(ds.partitions, combo)]
     return "/".join([ds.base_path, *parts])

@@ -15,18 +15,22 @@ globs, one per first-level value (``base/k1=a/{k2=x,k2=y}``):
 
 Listed partition columns get the type of the listed values (or a declared
 type), not Spark's inferred one, so ``'08'`` or ``'2024-01-01'`` stay text.
-Data-column schemas are merged across files; when Spark's merge cannot
-reconcile them (``int`` vs ``bigint``), the distinct file schemas are found by a
-distributed footer survey and widened with Spark's own union rules, and the
-files are read once with the widened schema.  Leaves holding unreadable files
-are dropped from the scan by partition pruning and reported in the coverage.
+Data-column schemas are merged across files.  Where one scan can't hold all
+leaves (types that Spark's merge rejects, leaves of different depth, files that
+are not Parquet) a distributed footer survey sorts the files by schema and
+depth; each kind is one scan, and the scans are joined by ``unionByName``, which
+widens types and adds missing columns as a union of the leaves would.  A leaf
+without a readable file is left out and reported in the coverage; a leaf with
+readable and unreadable files is an error that names them, never a silent loss.
+With a declared schema, or ``schema_mode: first``, files are not opened while
+the scan is planned, so an unreadable file fails the run instead.
 """
 
 from __future__ import annotations
 
-import itertools
 import logging
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +40,7 @@ from pyspark.sql import types as T
 from ..spec import DatasetSpec
 from ..operators.multiplicity import apply_multiplicity
 from . import footers
-from .hive_paths import column_type, leaf_globs, leaf_path
+from .hive_paths import brace_glob, column_type, directory_texts, leaf_globs, leaf_path
 
 
 log = logging.getLogger("sqlrun.scan")
@@ -53,7 +57,6 @@ class Scan:
     df: DataFrame                      # rows with multiplicity applied
     leaf_df: DataFrame | None          # one copy per distinct leaf (for counts)
     globs: list[str]
-    skipped_globs: list[str] = field(default_factory=list)
     bad_leaves: list[dict[str, str]] = field(default_factory=list)
 
     def coverage(self, with_rows: bool = True) -> DataFrame:
@@ -81,7 +84,9 @@ def _scan_flat(spark: SparkSession, ds: DatasetSpec) -> Scan:
         reader = reader.option("mergeSchema", "true")
     try:
         df = reader.parquet(ds.base_path)
-    except AnalysisException as exc:
+    except Exception as exc:
+        if not isinstance(exc, AnalysisException) and not _is_recoverable(exc):
+            raise
         raise ScanError(f"No data loaded for dataset '{ds.name}' from {ds.base_path}: "
                         f"{_first_line(exc)}") from exc
     return Scan(spark, ds, df, df, [ds.base_path])
@@ -90,88 +95,120 @@ def _scan_flat(spark: SparkSession, ds: DatasetSpec) -> Scan:
 # ------------------------------------------------------------------- listed
 def _scan_listed(spark: SparkSession, ds: DatasetSpec) -> Scan:
     globs = leaf_globs(ds)
-    skipped: list[str] = []
     try:
         df, bad = _read_listed(spark, ds, globs)
     except AnalysisException as exc:
-        # Spark refuses a glob that matches nothing; only then find out
-        # which chunks are empty and read the rest.
+        # Spark refuses a glob that matches nothing.  One glob over all values
+        # lists the base folder once and takes what exists.
         if not _is_path_not_found(exc):
             raise
-        globs, skipped = _live_globs(spark, ds, globs)
-        df, bad = _read_listed(spark, ds, globs)
-    log.info("dataset %s: %d listed partition(s) under %s, one scan over %d glob(s)",
+        globs = [brace_glob(ds)]
+        try:
+            df, bad = _read_listed(spark, ds, globs)
+        except AnalysisException as again:
+            if not _is_path_not_found(again):
+                raise
+            raise ScanError(
+                f"No data loaded for dataset '{ds.name}'. All {ds.leaf_count} listed "
+                f"partition(s) are missing under {ds.base_path}") from again
+    log.info("dataset %s: %d listed partition(s) under %s, %d glob(s)",
              ds.name, ds.leaf_count, ds.base_path, len(globs))
-    if skipped:
-        log.warning("dataset %s: %d glob chunk(s) matched no partition", ds.name, len(skipped))
     if bad:
-        log.warning("dataset %s: %d partition(s) hold unreadable files and were skipped",
+        log.warning("dataset %s: %d partition(s) hold no readable file and were skipped",
                     ds.name, len(bad))
-    return Scan(spark, ds, apply_multiplicity(df, ds), df, globs, skipped, bad)
+    return Scan(spark, ds, apply_multiplicity(df, ds), df, globs, bad)
 
 
 def _read_listed(spark: SparkSession, ds: DatasetSpec,
                  globs: list[str]) -> tuple[DataFrame, list[dict[str, str]]]:
-    base = ds.base_path
     listed = {p.key: column_type(p) for p in ds.partitions}
-    bad: list[dict[str, str]] = []
-    inferred_df: DataFrame | None = None
     if ds.schema:
         try:
             declared = T.StructType.fromDDL(ds.schema)
         except Exception as exc:
             raise ScanError(f"dataset '{ds.name}': schema must be a DDL column list "
                             f"('a INT, b STRING'): {exc}") from exc
-        schema = _with_partition_types(declared, listed, append_missing=True)
-    else:
-        # The first listed leaf's own schema (for union column order) and
-        # the merged schema are independent reads: run them together.
-        from concurrent.futures import ThreadPoolExecutor
-
-        with ThreadPoolExecutor(max_workers=1) as pool:
-            first = pool.submit(_first_leaf_schema, spark, ds) if ds.merge_schema else None
-            try:
-                inferred_df = _infer(spark, ds, globs, merge=ds.merge_schema)
-                inferred = inferred_df.schema
-            except AnalysisException as exc:
-                if _is_path_not_found(exc) or not _is_recoverable(exc):
-                    raise
-                inferred, bad = _survey_schema(spark, ds, globs, exc)
-            except Exception as exc:  # merge conflict or unreadable footer (job failure)
-                if not _is_recoverable(exc):
-                    raise
-                inferred, bad = _survey_schema(spark, ds, globs, exc)
-            first_schema = first.result() if first is not None else None
-        schema = _with_partition_types(inferred, listed, append_missing=True)
-        if first_schema is not None:
-            schema = _union_order(first_schema, schema, listed)
-
-    if inferred_df is not None and _casts_back(ds, inferred, listed):
+        try:
+            return _read_typed(spark, ds, globs, declared, listed), []
+        except Exception as exc:  # leaves of different depth
+            if _is_path_not_found(exc) or not _is_recoverable(exc):
+                raise
+            return _read_groups(spark, ds, globs, listed, exc, declared)
+    # The first listed leaf's own schema (for union column order) and the
+    # merged schema are independent reads: run them together.
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        first = pool.submit(_first_leaf_schema, spark, ds, globs) if ds.merge_schema else None
+        try:
+            inferred_df = _infer(spark, ds, globs, merge=ds.merge_schema)
+            inferred = inferred_df.schema
+        except Exception as exc:  # merge conflict or unreadable footer (job failure)
+            if _is_path_not_found(exc) or not _is_recoverable(exc):
+                raise
+            return _read_groups(spark, ds, globs, listed, exc)
+        first_schema = first.result() if first is not None else None
+    schema = _with_partition_types(inferred, listed, append_missing=True)
+    if first_schema is not None:
+        schema = _union_order(first_schema, schema, listed)
+    if _casts_back(ds, inferred, listed):
         # Reuse the inference read (one listing): its partition columns
         # carry Spark's inferred types, which were just shown to convert to
         # the listed types exactly for every listed value.
-        raw = inferred_df.select(*_retyped(inferred, listed))
-    else:
-        raw = spark.read.schema(schema).option("basePath", base).parquet(*globs)
-    # Spark moves a partition column that is also a file column to the end
-    # and appends partition levels found below the listed ones; put the
-    # columns back in schema order (deeper levels last).
+        return _in_order(inferred_df.select(*_retyped(inferred, listed)), schema), []
+    return _in_order(spark.read.schema(schema).option("basePath", ds.base_path).parquet(*globs), schema), []
+
+
+def _in_order(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Spark moves a partition column that is also a file column to the end
+    and appends partition levels found below the listed ones; put the columns
+    back in schema order (deeper levels last)."""
     order = [f.name for f in schema.fields]
     order += [c for c in raw.columns if c not in set(order)]
-    df = raw.select(*[F.col(f"`{c}`") for c in order])
-    if bad:
-        df = df.filter(~_leaf_filter(ds, bad, listed))
-    return df, bad
+    return raw.select(*[F.col(f"`{c}`") for c in order])
+
 
+def _read_typed(spark: SparkSession, ds: DatasetSpec, paths: list[str], data: T.StructType,
+                listed: dict[str, T.DataType]) -> DataFrame:
+    schema = _with_partition_types(data, listed, append_missing=True)
+    return _in_order(spark.read.schema(schema).option("basePath", ds.base_path).parquet(*paths), schema)
 
-def _survey_schema(spark: SparkSession, ds: DatasetSpec, globs: list[str],
-                   cause: Exception) -> tuple[T.StructType, list[dict[str, str]]]:
-    survey = footers.survey(spark, ds.base_path, globs, [p.key for p in ds.partitions])
-    widened = survey.widened_schema(spark)
-    if widened is None:
+
+def _read_groups(spark: SparkSession, ds: DatasetSpec, globs: list[str], listed: dict[str, T.DataType],
+                 cause: Exception, declared: T.StructType | None = None) -> tuple[DataFrame, list[dict[str, str]]]:
+    """One scan for each schema and depth, joined as a by-name union of the
+    leaves in list order."""
+    positions = []
+    for p in ds.partitions:
+        own: dict[str, int] = {}
+        for k, v in enumerate(p.values):
+            for text in directory_texts(v):
+                own.setdefault(text, k)
+        positions.append(own)
+    found = footers.survey(spark, globs, [p.key for p in ds.partitions], positions)
+    if found.bad_files:
+        shown = ", ".join(found.bad_files[:5])
+        raise ScanError(f"dataset '{ds.name}': {len(found.bad_files)} unreadable file(s) beside readable "
+                        f"ones, such as {shown}") from cause
+    if not found.groups:
         raise ScanError(f"No data loaded for dataset '{ds.name}': every listed "
                         f"partition is missing or unreadable") from cause
-    return widened, survey.bad_leaves
+    frames = []
+    for group in found.groups:
+        data = declared or spark.read.parquet(group.sample).schema
+        df = _read_typed(spark, ds, group.paths, data, listed)
+        # As in a leaf: file columns (a key that is one stays in place), deeper
+        # levels, then the listed keys.
+        own = [f.name for f in data.fields]
+        lower = {c.lower() for c in own}
+        keys = [k for k in listed if k.lower() not in lower]
+        own = [c for c in df.columns if c.lower() in lower]
+        deeper = [c for c in df.columns if c not in own and c not in keys]
+        frames.append(df.select(*[F.col(f"`{c}`") for c in own + deeper + keys]))
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out, found.bad_leaves
 
 
 def _is_path_not_found(exc: Exception) -> bool:
@@ -179,17 +216,26 @@ def _is_path_not_found(exc: Exception) -> bool:
     return "PATH_NOT_FOUND" in text or "Path does not exist" in text
 
 
-def _first_leaf_schema(spark: SparkSession, ds: DatasetSpec) -> T.StructType | None:
-    """Schema of the first existing, readable leaf in list order (one leaf
-    listing and one footer), or None when none is found within the probe
-    budget."""
-    for combo in itertools.islice(itertools.product(*[_distinct(p.values) for p in ds.partitions]),
-                                  _MAX_ORDER_PROBES):
-        try:
-            return spark.read.parquet(leaf_path(ds, combo)).schema
-        except Exception:  # missing, empty or unreadable leaf: try the next
-            continue
-    return None
+def _first_leaf_schema(spark: SparkSession, ds: DatasetSpec, globs: list[str]) -> T.StructType:
+    """Schema of the first existing leaf in list order: the first listed one
+    if it exists, else the first in a listing of all."""
+    try:
+        return spark.read.parquet(leaf_path(ds, tuple(p.values[0] for p in ds.partitions))).schema
+    except AnalysisException as exc:
+        if not _is_path_not_found(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            raise
+    keys = [p.key for p in ds.partitions]
+    files = footers.list_files(spark, globs, keys)
+    rank = []
+    for p in ds.partitions:
+        # Each key's values in list order, as a small table to look up.
+        texts = [(t, k) for k, v in enumerate(_distinct(p.values)) for t in directory_texts(v)]
+        place = spark.createDataFrame(texts, "t string, n int").groupBy("t").agg(F.min("n").alias(f"_n_{p.key}"))
+        files = files.join(place, F.col(f"`_dir_{p.key}`") == F.col("t")).drop("t")
+        rank.append(F.col(f"`_n_{p.key}`"))
+    first = files.agg(F.min(F.struct(*rank, "path")).alias("first")).first()["first"]
+    return spark.read.option("basePath", leaf_path(ds, tuple(
+        _distinct(p.values)[first[f"_n_{p.key}"]] for p in ds.partitions))).parquet(unquote(first["path"])).schema
 
 
 def _union_order(first: T.StructType, merged: T.StructType,
@@ -208,42 +254,8 @@ def _union_order(first: T.StructType, merged: T.StructType,
     return T.StructType([by_lower[n.lower()] for n in order])
 
 
-# Leaves probed (in list order) to find the first existing one when ordering
-# evolved columns; past this, Spark's merge order is kept.  Column order only.
-_MAX_ORDER_PROBES = 64
-
-
 def _distinct(values):
-    out = []
-    for v in values:
-        if not any(type(v) is type(o) and v == o for o in out):
-            out.append(v)
-    return out
-
-
-def _live_globs(spark: SparkSession, ds: DatasetSpec, globs: list[str]) -> tuple[list[str], list[str]]:
-    """Split glob chunks into those matching something and those matching
-    nothing; chunks are probed concurrently (listing only, no file read)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def matches(g: str) -> bool:
-        try:
-            spark.read.format("binaryFile").option("basePath", ds.base_path).load(g).schema
-            return True
-        except AnalysisException as exc:
-            if _is_path_not_found(exc):
-                return False
-            raise
-
-    with ThreadPoolExecutor(max_workers=min(16, len(globs))) as pool:
-        hits = list(pool.map(matches, globs))
-    live = [g for g, h in zip(globs, hits) if h]
-    dead = [g for g, h in zip(globs, hits) if not h]
-    if not live:
-        raise ScanError(
-            f"No data loaded for dataset '{ds.name}'. All {ds.leaf_count} listed "
-            f"partition(s) are missing under {ds.base_path}")
-    return live, dead
+    return list({(type(v), v): v for v in values}.values())
 
 
 def _infer(spark: SparkSession, ds: DatasetSpec, globs: list[str], merge: bool) -> DataFrame:
@@ -321,7 +333,8 @@ def _is_recoverable(exc: Exception) -> bool:
     return any(m in text for m in (
         "CANNOT_MERGE_SCHEMAS", "CANNOT_MERGE_INCOMPATIBLE_DATA_TYPE",
         "Failed to merge", "CANNOT_READ_FILE_FOOTER", "not a Parquet file",
-        "FAILED_READ_FILE", "Could not read footer"))
+        "FAILED_READ_FILE", "Could not read footer", "CONFLICTING_PARTITION_COLUMN_NAMES",
+        "CONFLICTING_DIRECTORY_STRUCTURES"))
 
 
 def _with_partition_types(schema: T.StructType, listed: dict[str, T.DataType],
@@ -342,27 +355,6 @@ def _with_partition_types(schema: T.StructType, listed: dict[str, T.DataType],
     return T.StructType(fields)
 
 
-def _leaf_filter(ds: DatasetSpec, leaves: list[dict[str, str]], listed: dict[str, T.DataType]):
-    """Predicate matching the given leaves on the partition columns only, so
-    Spark prunes their files before any task opens them."""
-    from .hive_paths import HIVE_NULL, hive_unescape
-
-    expr = F.lit(False)
-    for leaf in leaves:
-        cond = F.lit(True)
-        for k, typ in listed.items():
-            text = leaf.get(k)
-            if text is None:
-                continue
-            c = F.col(f"`{k}`")
-            if text == HIVE_NULL:
-                cond = cond & c.isNull()
-            else:
-                cond = cond & (c == F.lit(hive_unescape(text)).cast(typ))
-        expr = expr | cond
-    return expr
-
-
 def _first_line(exc: Exception) -> str:
     return str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
 

@@ -19,8 +19,9 @@ class SinkError(ValueError):
 def output_path(prefix: str, run_id: str | None = None) -> str:
     if not prefix or not prefix.strip():
         raise SinkError("output prefix cannot be empty")
-    if run_id is not None and (not run_id.strip() or "/" in run_id):
-        raise SinkError(f"run id {run_id!r} must be a non-blank name without '/'")
+    # "." and ".." would name the prefix and its parent, which a write replaces.
+    if run_id is not None and (run_id.strip() in ("", ".", "..") or "/" in run_id):
+        raise SinkError(f"run id {run_id!r} must be a non-blank name without '/', other than '.' and '..'")
     return prefix.rstrip("/") + "/" + (run_id or str(uuid.uuid4()))
 
 
@@ -48,7 +49,7 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def preview(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+def preview(spark: SparkSession, path: str, n: int) -> DataFrame:
     """At most ``n`` rows of a written result, read back through Spark."""
     if n < 0:
         raise SinkError("preview size must be >= 0")

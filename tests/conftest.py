@@ -8,6 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
+# The days and types of the given `events` table.
+EVENT_DATES = [f"2024-01-{d:02d}" for d in range(1, 31)]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 @pytest.fixture(scope="session")

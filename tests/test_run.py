@@ -12,7 +12,7 @@ from sqlrun.catalog.common import events_ds, flat
 from sqlrun.plans.runner import DEFAULT_PROFILE, apply_profile
 from sqlrun.sources.result_sink import SinkError, output_path, write_result
 
-from .conftest import SF_SMALL
+from .conftest import EVENT_DATES, EVENT_TYPES, SF_SMALL
 
 
 def _spec(spark, **kw):
