@@ -40,6 +40,7 @@ from .bpe import PATTERN
 from .pieces import TwoGenerations
 
 LEAF = 64
+ROWS_AT_ONCE = 500
 CONTEXT = 2
 
 Edit = tuple[int, int, str]
@@ -185,6 +186,12 @@ class CountTree:
             self.edit(start, end, new)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(a, ROWS_AT_ONCE)
+
+
 def _packed(values: list[int]) -> bytes:
     return np.array(values, "<u4").tobytes()
 
@@ -194,7 +201,7 @@ def token_trees(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
     and ``counts`` of the pre-tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
-        for batch in batches:
+        for batch in _slices(batches):
             totals, lengths, counts = [], [], []
             for t in batch.column(len(keep)):
                 words = tokens.words.findall(t.as_py() or "")
@@ -223,7 +230,7 @@ def edit_trees(trees: DataFrame, path: str, edits: Callable[[str], list[Edit]] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             texts, before, lengths, counts = (batch.column(len(keep) + k) for k in range(4))
             for k in range(batch.num_rows):
@@ -239,9 +246,8 @@ def edit_trees(trees: DataFrame, path: str, edits: Callable[[str], list[Edit]] |
                 state = tree.state()
                 rows.append((tree.text, tree.n_tokens, _packed(state[0]), _packed(state[1]), before[k].as_py(),
                              len(wanted), tree.encoded))
-            columns = zip(*rows) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)],
-                                              *(pa.array(c, t) for c, t in zip(columns, types))], names)
+                                              *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
     types = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     chosen = trees.select(*keep, "text", "n_tokens", "lengths", "counts", *given)
@@ -251,6 +257,31 @@ def edit_trees(trees: DataFrame, path: str, edits: Callable[[str], list[Edit]] |
     return chosen.mapInArrow(run, T.StructType(fields))
 
 
+def edited_counts(docs: DataFrame, path: str, edits: Callable[[str], list[Edit]], text: str = "text",
+                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Trees built, edited and counted in one pass, none of them stored: the
+    columns in `keep`, the new ``text``, and ``n_before``, ``n_tokens``,
+    ``n_edits`` and ``n_encoded`` as in ``edit_trees``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = counter(path)
+        for batch in _slices(batches):
+            rows = []
+            for t in batch.column(len(keep)):
+                tree = CountTree(t.as_py() or "", tokens)
+                before, tree.encoded, wanted = tree.n_tokens, 0, edits(tree.text)
+                tree.edit_all(wanted)
+                rows.append((tree.text if wanted else t.as_py(), before, tree.n_tokens, len(wanted), tree.encoded))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)],
+                                              *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
+
+    types = (pa.string(), *[pa.int64()] * 4)
+    chosen = docs.select(*keep, docs[text].cast("string").alias("text"))
+    fields = [*chosen.schema.fields, *(T.StructField(n, T.LongType())
+                                       for n in ("n_before", "n_tokens", "n_edits", "n_encoded"))]
+    names = [f.name for f in fields]
+    return chosen.mapInArrow(run, T.StructType(fields))
+
+
 _MAIL = re.compile(r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+")
 _DIGITS = re.compile(r"\d(?:[ -]?\d){6,}")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .bpe import decode_documents, encode_documents
 from .common import documents, materialise, word_count
-from .edit_counts import edit_trees, redactions, token_trees
+from .edit_counts import edited_counts, redactions
 from .language_id import identify
 from .license_scan import BASE_NOTICES, scan_notices
 from .line_quality import line_quality
@@ -77,8 +77,7 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = tokenizer_path(BYTE_BPE_RANKS)
-    edited = edit_trees(token_trees(documents(spark, sf_dir), ranks), ranks, redactions)
+    edited = edited_counts(documents(spark, sf_dir), tokenizer_path(BYTE_BPE_RANKS), redactions)
     return edited.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits",
                          F.col("n_tokens").alias("n_tokens_edited"), "n_encoded",
                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("edited_sha256"))
