@@ -9,14 +9,14 @@ leave, the others go on, and those that are equal through the full depth are
 the repeated windows.  Three things keep the passes small:
 
 - **Runs.**  The suffix at ``s`` belongs to the anchor ``m(s)``: the place of
-  the least hash of 16 bytes among the ``RUN`` places from ``s`` on.  It depends on the
-  window alone, so equal windows have their anchors at equal distances, and
+  the least hash of 16 bytes among the first places from ``s`` on
+  (``RUN_SHARE`` of the window).  It depends on the window alone, so equal windows have their anchors at equal distances, and
   the suffixes of one anchor, a run of neighbours, are sorted together: their
   common digit is what all their windows share, the bytes from the anchor on.
 - **Whole runs.**  If the string that spans all windows of a run occurs twice,
   the run is done.  If the common digit occurs once, the run is unique.  Only a
   run with a repeated digit and different spans goes on, cut into blocks of
-  ``GRAINS[1]`` suffixes, then into single suffixes, whose digit is the window.
+  ``GRAINS[0]`` suffixes, then into single suffixes, whose digit is the window.
 - **One of each class.**  Equal runs go on as one representative that counts
   twice, so a passage in a third of all texts is sorted once below the first pass.
 
@@ -47,9 +47,10 @@ from pyspark.sql import functions as F
 from .common import materialise, sealed
 
 LENGTH = 400
-RUN = 256            # places among which a window's anchor is the least
+MAX_LENGTH = 8192    # of windows; the tables of powers are that much longer than a block
+RUN_SHARE = 16 / 25  # of a window's length: places among which its anchor is the least
 GRAM = 16            # bytes that are hashed to choose anchors
-GRAINS = (RUN, 16, 1)  # suffixes sorted together in each pass
+GRAINS = (16, 1)     # suffixes sorted together in the passes after the first
 BLOCK = 1 << 18      # starts that are scanned at once
 _PLACE_BITS = 24
 
@@ -61,7 +62,7 @@ def _constants() -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Random byte values, and the powers of two odd bases and of their
     inverses mod 2**64."""
     rng = np.random.default_rng(20240501)
-    n = BLOCK + 4 * LENGTH + 4 * RUN
+    n = BLOCK + MAX_LENGTH
     values, powers, inverses = [], [], []
     for _ in range(2):
         values.append(rng.integers(0, 1 << 64, 256, np.uint64))
@@ -239,10 +240,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH)
     """A row for each distinct text that has repeated windows: (t1, t2,
     copied, bytes, spans).  `copied` texts are repeated as a whole; for the
     others `spans` holds [lo, hi] of the repeated windows' starts."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
-    run = min(RUN, length - GRAM)
-    grains = (run, *GRAINS[1:])
+    if not 2 * GRAM <= length <= MAX_LENGTH // 2:
+        raise ValueError(f"length must be from {2 * GRAM} to {MAX_LENGTH // 2}")
+    run = min(round(length * RUN_SHARE), length - GRAM)
     own = F.coalesce(F.col(text), F.lit(""))
     texts = (docs.select(own.cast("binary").alias("bytes"), *text_key(own),
                          F.hash(*[c for c in docs.columns if c != text]).alias("row") if len(docs.columns) > 1
@@ -267,9 +267,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH)
                        .select("t1", "t2", "bytes", "copied", "spans", "runs"), "suffix-kept-texts")
 
     later = []
-    for k, grain in enumerate(grains[1:], 2):
+    for k, grain in enumerate(GRAINS, 2):
         on_rows = _scan_runs(kept.filter(F.col("runs").isNotNull()), length, grain)
-        done, on = _pass(on_rows, k == len(grains), f"digit{k}")
+        done, on = _pass(on_rows, grain == 1, f"digit{k}")
         later.append(done)
         if on is not None:
             runs = _by_text(on, "anchor", "lo", "hi", "weight", name="runs_on")
