@@ -42,10 +42,15 @@ def fresh_name(taken: Iterable[str], base: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def sealed(docs: DataFrame) -> Column:
     """All columns of `docs` as one struct, out of reach of names that an
     operator adds; ``opened`` takes them out again."""
-    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+    return F.struct(*map(quoted, docs.columns))
 
 
 def opened(df: DataFrame, row: str, columns: Iterable[str]) -> DataFrame:

@@ -43,8 +43,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, sealed
+from .common import materialise, quoted, sealed
 
 LENGTH = 400
 MAX_LENGTH = 8192    # of windows; the tables of powers are that much longer than a block
@@ -244,9 +245,10 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH)
         raise ValueError(f"length must be from {2 * GRAM} to {MAX_LENGTH // 2}")
     run = min(round(length * RUN_SHARE), length - GRAM)
     own = F.coalesce(F.col(text), F.lit(""))
+    # Of the rows of a text that goes on, those of one hash of the plain columns do.
+    plain = [quoted(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text]
     texts = (docs.select(own.cast("binary").alias("bytes"), *text_key(own),
-                         F.hash(*[c for c in docs.columns if c != text]).alias("row") if len(docs.columns) > 1
-                         else F.lit(0).alias("row"))
+                         (F.xxhash64(*plain) if plain else F.lit(0).cast("long")).alias("row"))
              .filter(F.octet_length("bytes") >= length))
     kinds = materialise(texts.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2"))
                         .agg((F.count("*") > 1).alias("copied"), F.min("row").alias("one")), "suffix-texts")
