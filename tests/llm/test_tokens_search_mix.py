@@ -37,7 +37,7 @@ def ids_of(library, text):
 def test_encoders_equal_the_library(library):
     rng, bpe = random.Random(1), RankArrayBPE(PATH)
     parts = ["a", "the", "'s", "'ll", " ", "  ", "\n", "\t", "1", "23", "é", "ñ", "!", "--", "<|endoftext|>", "中文", "²",
-             "½", "Ⅷ", "　", "\x1c", "\U0001F642", "é", "_", "\r\n", "x" * 300, "Word.", "Word\nNext"]
+             "½", "Ⅷ", "　", "\x1c", "\U0001F642", "é", "_", "\r\n", "x" * 300, "Word.", "Word\nNext", "***", "end$$$\n", "_|~", "\""]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     want = [ids_of(library, t) for t in texts]
     assert [bpe.encode(t) for t in texts] == want
@@ -194,6 +194,18 @@ def test_stages_take_effect(spark, docs, none):
     assert times == Counter({r.row: r.mix.copies for r in want if r.mix.copies})
 
 
+def test_stages_keep_columns_of_any_name_and_type(spark, docs):
+    from pyspark.sql import functions as F
+    odd = docs.select("*", F.create_map(F.lit("k"), F.col("size")).alias("a.b"), F.array("row").alias("digit"),
+                      F.struct("size").alias("kept"), F.lit(1).alias("sid"), F.lit("x").alias("mix"),
+                      F.lit(2).alias("lang_pred"), F.lit(3).alias("k1"), F.lit(4).alias("plan`s"))
+    for k in range(4):
+        out = stage(spark, k, odd)
+        assert out.columns == odd.columns and 0 < len(out.collect())
+        assert {r.size: r["a.b"] for r in out.collect()}.items() <= {
+            r.size: {"k": r.size} for r in odd.select("size").collect()}.items()
+
+
 def test_pipeline_runs_the_stages_in_order(spark, folder, docs, library):
     now = docs
     for k in range(4):
