@@ -42,3 +42,71 @@ FROM sized s
 JOIN copies c ON s.source IS NOT DISTINCT FROM c.source
 LEFT JOIN cuts k ON s.source IS NOT DISTINCT FROM k.source
 """
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+shingled AS (
+  SELECT r, doc_id, list_sort(list_distinct(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM docs),
+keyed AS (SELECT r, doc_id, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, '|')) END AS k FROM shingled),
+sets AS (SELECT k, any_value(s) AS s, CAST(count(*) AS BIGINT) AS n_copies, min(doc_id) AS least
+         FROM keyed WHERE k IS NOT NULL GROUP BY k),
+tokens AS (SELECT k, len(s) AS size, unnest(s) AS t FROM sets),
+links AS (
+  SELECT a.k AS x, b.k AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.k <> b.k
+  GROUP BY a.k, b.k, a.size, b.size HAVING count(*) * 5 >= 4 * (a.size + b.size - count(*))),
+reach AS (
+  SELECT x AS k, x AS other FROM links UNION SELECT r.k, l.y FROM reach r JOIN links l ON r.other = l.x),
+roots AS (SELECT k, min(other) AS root FROM reach GROUP BY k),
+rooted AS (SELECT s.k, coalesce(r.root, s.k) AS root, s.least, s.n_copies,
+                  CAST((SELECT count(*) FROM links l WHERE l.x = s.k) AS BIGINT) AS n_links
+           FROM sets s LEFT JOIN roots r ON s.k = r.k),
+classes AS (SELECT root, min(least) AS class_id FROM rooted GROUP BY root)
+SELECT d.doc_id, CASE WHEN d.k IS NULL THEN d.doc_id ELSE c.class_id END AS class_id,
+       coalesce(s.n_links, 0) AS n_links, coalesce(s.n_copies, 1) AS n_copies
+FROM keyed d LEFT JOIN rooted s ON d.k = s.k LEFT JOIN classes c ON s.root = c.root
+"""
+
+# Limits as in line_quality: 50 documents, 1 % of the host's, 50 words, 0.3 of the words.
+LINE_QUALITY = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
+lines AS (
+  SELECT r, source, line, array_to_string(regexp_extract_all(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS x
+  FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM docs)),
+held AS (SELECT r, source, line, x FROM lines WHERE x <> ''),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM held GROUP BY r),
+hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
+often AS (
+  SELECT h.source, h.x FROM held h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source
+  GROUP BY h.source, h.x, o.n HAVING count(DISTINCT r) > 50 AND count(DISTINCT r) > CAST(0.01 AS DOUBLE) * o.n),
+gone AS (
+  SELECT h.r, count(DISTINCT h.x) AS n, sum(len(string_split(h.x, ' '))) AS words
+  FROM held h JOIN often o ON h.source IS NOT DISTINCT FROM o.source AND h.x = o.x GROUP BY h.r),
+counted AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(d.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(g.n, 0) AS BIGINT) AS lines_removed,
+         CAST(len(d.w) - coalesce(g.words, 0) AS BIGINT) AS words_left
+  FROM docs d LEFT JOIN covered c ON d.r = c.r LEFT JOIN dups u ON d.r = u.r LEFT JOIN gone g ON d.r = g.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 50
+         AND words_left >= n_words * CAST(0.3 AS DOUBLE) AS kept, lines_removed, words_left
+FROM counted
+"""

@@ -135,5 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": oracles.NGRAM_JOIN,
+    "op4_line_quality": oracles.LINE_QUALITY,
     "op10_mix_sources": oracles.MIX_SOURCES,
 }
