@@ -151,31 +151,39 @@ def _bpe(path: str) -> RankArrayBPE:
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> PieceEncoder:
     bpe = _bpe(path)
-    return PieceEncoder(bpe.encode_bytes, list(bpe.specials), "<i4")
+    return PieceEncoder(bpe.encode_bytes, list(bpe.specials), "<i4",
+                        lambda words: [array("i", bpe.merge(w.encode())).tobytes() for w in words])
 
 
-def list_column(chunks: list[bytes], dtype: str) -> pa.Array:
-    """A list column from each row's values as little-endian bytes."""
-    width = np.dtype(dtype).itemsize
-    offsets = np.zeros(len(chunks) + 1, np.int32)
-    np.cumsum([len(c) // width for c in chunks], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(chunks), dtype)))
+def list_column(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A list column from all rows' values and where each row ends."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-                     out: str = "ids") -> DataFrame:
-    """The columns in `keep` and the ids of each whole text; `path` is the
-    tokenizer file on every machine."""
+                     out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The columns in `keep` and the ids of each whole text, and in a column
+    `decoded`, if named, the text that the ids spell; `path` is the tokenizer
+    file on every machine."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            ids = list_column([encode(t or "") for t in texts], "<i4")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], ids], names)
+            at = 0
+            for flat, ends in encoder.encode_many(batch.column(len(keep))):
+                own = batch.slice(at, len(ends))
+                columns = [*own.columns[:len(keep)], list_column(flat, ends)]
+                if decoded:
+                    spell, starts = _bpe(path).decode, [0, *ends[:-1].tolist()]
+                    columns.append(pa.array([spell(flat[a:b].tolist()) for a, b in zip(starts, ends.tolist())],
+                                            pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(ends)
 
     chosen = docs.select(*keep, text)
-    names = [*keep, out]
-    schema = T.StructType([*chosen.schema.fields[:len(keep)], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    fields = [*chosen.schema.fields[:len(keep)], T.StructField(out, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
+    names, schema = [f.name for f in fields], T.StructType(fields)
     return chosen.mapInArrow(run, schema)
 
 

@@ -1,73 +1,152 @@
-"""Splitting a text at spaces where byte-level BPE never joins both sides.
+"""Splitting texts at spaces where byte-level BPE never joins both sides.
 
 The pre-token pattern starts a new pre-token at every space that is followed
 by a character that is not white space, so such a text can be encoded piece
-by piece and the pieces' ids cached: ordinary words are encoded once per
-worker instead of once per occurrence.  A text with another white-space
-character after a space, or with a special token in it, is encoded whole.
+by piece.  The pieces of many texts are numbered by Arrow, each distinct piece
+is encoded once, and the ids are gathered by number.  Pieces are cut further
+at line ends and before a last punctuation mark, and their words cached, so
+most words are encoded once per worker instead of once per occurrence.  A text
+with another white-space character after a space, or with a special token in
+it, is encoded whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Entries of each of a cache's two generations; longer pieces are never kept.
+# Entries of each of a cache's two generations; longer keys are never kept.
 CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
-# Punctuation that is a pre-token of its own after a letter, before a space.
-PLAIN_ENDS = frozenset(".,;:!?|")
-
-
-class Irregular(Exception):
-    """The text can't be split at this space."""
+# Bytes of text whose pieces are numbered together.
+SLICE_BYTES = 4 << 20
+# Marks that are, as a run, a pre-token of their own after a letter and before a space.
+PLAIN_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class TwoGenerations(dict):
     """A bounded cache of `make(key)`: when it is full it becomes the old
     generation, from which what is still in use comes back."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.entries = make, {}, entries
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.old
+
+
+def _line_atoms(lead: str, line: str) -> tuple[str, ...] | None:
+    """A line as pre-tokens, if it is a word with or without marks after it."""
+    if line.isalpha():  # letters, with a space before them or not, are one pre-token
+        return (lead + line,)
+    word = line.rstrip(PLAIN_ENDS)
+    return (lead + word, line[len(word):]) if word.isalpha() else None
+
+
+def _atoms(lead: str, piece: str) -> tuple[str, ...] | None:
+    """A piece as pre-tokens, or None if it needs the pattern.  A line end
+    with other than white space on both sides is a pre-token of its own."""
+    if "\n" not in piece:
+        return _line_atoms(lead, piece)
+    out: tuple[str, ...] = ()
+    for k, line in enumerate(piece.split("\n")):
+        own = _line_atoms("" if k else lead, line)
+        if own is None:
+            return None
+        out += own if not k else ("\n", *own)
+    return out
 
 
 class PieceEncoder:
     """`encode` turns a text into its ids as bytes of `dtype`; `specials` are
-    the strings that it treats apart."""
+    the strings that it treats apart; `encode_words` encodes many pre-tokens
+    (letters, with or without a space before them, or marks) at once."""
 
-    def __init__(self, encode: Callable[[str], bytes], specials: list[str], dtype: str):
+    def __init__(self, encode: Callable[[str], bytes], specials: list[str], dtype: str,
+                 encode_words: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
         self.whole, self.specials, self.dtype = encode, specials, np.dtype(dtype)
-        self.cache = TwoGenerations(self._piece)
-        self.words = TwoGenerations(encode)
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a space and the piece after it."""
-        if not piece or piece[0].isspace():
-            raise Irregular
-        if piece.isalpha():  # letters are one pre-token
-            return self.words[" " + piece]
-        if piece[:-1].isalpha() and piece[-1] in PLAIN_ENDS:
-            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
-        return self.whole(" " + piece)
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        try:
-            return b"".join([self.whole(first), *map(self.cache.__getitem__, rest)])
-        except Irregular:
-            return self.whole(text)
+        self.encode_words = encode_words
+        self.pieces = TwoGenerations(encode)  # those that need the pattern
+        self.words = TwoGenerations(encode, entries)
+
+    def _encode_pieces(self, lead: str, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces after `lead` (a space or nothing)."""
+        parts = [_atoms(lead, p) for p in pieces]
+        words, knows = self.words, self.words.knows
+        new = list({w for own in parts if own for w in own if not knows(w)})
+        fresh = dict(zip(new, self.encode_words(new))) if new else {}
+
+        def ids(word: str) -> bytes:
+            return fresh[word] if word in fresh else words[word]
+
+        out = [self.pieces[lead + p] if own is None else ids(own[0]) if len(own) == 1 else b"".join(map(ids, own))
+               for p, own in zip(pieces, parts)]
+        for word, found in fresh.items():
+            words.put(word, found)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        flat, _ = self._slice(pa.array([text], pa.string()))
+        return flat.tobytes()
+
+    def encode_many(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts' ids (null: none), by slices: flat, and where each text ends."""
+        texts = texts.cast(pa.string()).fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            base = sizes[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
+            yield self._slice(texts.slice(a, b - a))
+            a = b
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets, numbered = offsets - offsets[0], split.flatten().dictionary_encode()
+        number = numbered.indices.to_numpy().astype(np.int64)
+        distinct = numbered.dictionary.to_pylist()
+        # Nothing, or white space, after a space: the text can't be split there.
+        odd = np.fromiter((not p or p[0].isspace() for p in distinct), bool, len(distinct))
+        ids = self._encode_pieces(" ", distinct)
+
+        # Each text's first piece has no space before it and is an entry of its own.
+        first = offsets[:-1]
+        strange = odd[number]
+        strange[first] = False
+        apart = np.add.reduceat(strange, first) > 0 if len(first) else np.empty(0, bool)
+        for special in self.specials:
+            apart |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        ids += self._encode_pieces("", [distinct[k] for k in number[first]])
+        for k in np.flatnonzero(apart):
+            ids[len(distinct) + k] = self.whole(texts[int(k)].as_py())
+        if apart.any():  # these are whole in their first entry
+            number[np.repeat(apart, np.diff(offsets))] = len(ids)
+            ids.append(b"")
+        number[first] = len(distinct) + np.arange(len(texts))
+
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize  # in ids
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        own = lengths[number]
+        ends = np.cumsum(own)
+        place = np.repeat(starts[number] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
+        return flat[place], ends[offsets[1:] - 1] if len(first) else np.empty(0, np.int64)

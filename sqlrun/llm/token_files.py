@@ -43,6 +43,8 @@ from .pieces import PieceEncoder
 
 KEY = np.dtype([("null", "u1"), ("id", "<i8")])
 DOCS_PER_BATCH = 2_000
+WORDS_AT_ONCE = 20_000
+WORD_ENTRIES = 500_000  # in each generation of a worker's cache, under 250 bytes each
 
 MANIFEST = T.StructType([
     T.StructField("part", T.LongType()), T.StructField("path", T.StringType()),
@@ -81,9 +83,39 @@ def _library(path: str) -> tuple[PieceEncoder, str]:
     dtype = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
 
-    def encode(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes()
-    return PieceEncoder(encode, specials, dtype), dtype
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype)
+
+    # Words joined in one text are told apart by the token that opens each:
+    # one that starts with the space before a word, or a line end put there.
+    vocab = tok.get_vocab(with_added_tokens=True)
+    space = tok.encode(" ", add_special_tokens=False).tokens[0]
+    line_end = ids_of("\n")
+    opens = {lead: np.zeros(1 + max(vocab.values()), bool) for lead in (" ", "\n")}
+    opens[" "][[k for token, k in vocab.items() if token.startswith(space)]] = True
+    opens["\n"][line_end] = len(line_end) == 1
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        after = [w for w in words if w[0] == " "]
+        bare = [w for w in words if w[0] != " "]
+        found = dict(zip(after, encode_some(after, " ", ""))) | dict(zip(bare, encode_some(bare, "\n", "\n")))
+        return [found[w] for w in words]
+
+    def encode_some(words: list[str], lead: str, put: str) -> Iterator[bytes]:
+        # The library's encodings hold hundreds of bytes per token.
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            some = words[a:a + WORDS_AT_ONCE]
+            ids = ids_of("".join(put + w for w in some)) if "\n" not in some else np.empty(0, dtype)
+            starts = np.flatnonzero(opens[lead][ids])
+            if len(starts) != len(some):
+                yield from (ids_of(w).tobytes() for w in some)
+                continue
+            data, width = ids.tobytes(), ids.itemsize
+            cuts = [*(starts * width).tolist(), len(data)]
+            skip = len(put) * width
+            yield from (data[x + skip:y] for x, y in zip(cuts, cuts[1:]))
+
+    return PieceEncoder(lambda text: ids_of(text).tobytes(), specials, dtype, encode_words, WORD_ENTRIES), dtype
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
@@ -93,11 +125,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "
     folder = folder or shared_path(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, dtype = _library(tokenizer)
+        encoder, dtype = _library(tokenizer)
         path = None
         n_docs = n_ids = 0
-        end = np.array([end_id], dtype).tobytes()
-        width = np.dtype(dtype).itemsize
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -105,15 +135,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "
                 part = TaskContext.get().partitionId()
                 path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
                 ids, offsets, keys = (_create(path + x) for x in (".bin", ".off", ".key"))
-            rows = [encode(t or "") + end for t in batch.column(1).to_pylist()]
-            ids.write(b"".join(rows))
-            ends = np.cumsum([len(r) // width for r in rows], dtype="<i8") + n_ids
-            offsets.write(np.concatenate(([n_ids], ends[:-1])).astype("<i8").tobytes())
+            for flat, ends in encoder.encode_many(batch.column(1)):
+                ids.write(np.insert(flat, ends, end_id).tobytes())
+                ends = ends + np.arange(1, len(ends) + 1) + n_ids
+                offsets.write(np.concatenate(([n_ids], ends[:-1])).astype("<i8").tobytes())
+                n_ids = int(ends[-1])
             row_keys = np.zeros(batch.num_rows, KEY)
             row_keys["null"] = np.array(batch.column(0).is_null())
             row_keys["id"] = np.array(batch.column(0).fill_null(0))
             keys.write(row_keys.tobytes())
-            n_docs, n_ids = n_docs + batch.num_rows, int(ends[-1])
+            n_docs += batch.num_rows
         if path is not None:
             offsets.write(np.array([n_ids], "<i8").tobytes())
             for f in (ids, offsets, keys):
@@ -154,7 +185,7 @@ def _read(manifest: DataFrame, column: T.StructField,
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the files."""
     return _read(manifest, T.StructField("ids", T.ArrayType(T.LongType())),
-                 lambda rows: list_column([r.astype("<i8").tobytes() for r in rows], "<i8"))
+                 lambda rows: list_column(np.concatenate(rows).astype("<i8"), np.cumsum([len(r) for r in rows])))
 
 
 def token_file_digests(manifest: DataFrame) -> DataFrame:
