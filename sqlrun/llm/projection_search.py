@@ -14,7 +14,7 @@ vector, is dealt into chunks.  Each chunk is a task's group with a kd-tree of
 its own below.
 
 A query takes projected neighbours in order of distance, leaf by leaf, and
-verifies them by the inner product in double precision.  It stops when a
+verifies all of a leaf's by the inner product in double precision.  It stops when a
 vector nearer than its k-th best would have been projected inside the radius
 already searched with probability ``CERTAINTY`` (the chi-square test).  The
 query's own cell comes first; the k-th best found there decides by the same
@@ -135,32 +135,52 @@ class KdTree:
 
 
 def search(ids: np.ndarray, x: np.ndarray, projection: Projection, query_ids: np.ndarray, q: np.ndarray,
-           bounds: np.ndarray, k: int, certainty: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its id, ids, scores) of up to k rows that are nearer
-    than its bound (a squared distance)."""
+           bounds: np.ndarray, k: int, certainty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of up to k rows for each query that are nearer
+    than its bound (a squared distance).
+
+    Each query takes its leaves in order of projected distance, in rounds of
+    1, 2, 4, … leaves, as far as the test lets it; a round goes leaf by leaf
+    over the queries that reach it.  Products of matrices choose candidates,
+    whose scores are then summed in one order, whatever stands beside them."""
     points, at = projection.data(x), projection.queries(q)
     tree = KdTree(points)
     near = box_distance(at, tree.low, tree.high)
     factor = chi_square_quantile(certainty, DIMENSIONS)
     offset = (q * q).sum(axis=1) + projection.most ** 2
-    for n in range(len(q)):
-        order = np.argsort(near[n], kind="stable")
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        reach, done, step = bounds[n], 0, 1
-        while done < len(order) and near[n, order[done]] <= factor * reach:
-            rows = np.concatenate([tree.leaves[leaf] for leaf in order[done:done + step]])
-            done, step = done + step, step * 2
-            rows = rows[ids[rows] != query_ids[n]]
-            if math.isfinite(reach):
-                rows = rows[((points[rows] - at[n]) ** 2).sum(axis=1) <= factor * reach]
-            # Each product is summed in one order, whatever stands beside it.
-            scores = np.concatenate((best, (x[rows] * q[n]).sum(axis=1)))
-            found = np.concatenate((best_ids, ids[rows]))
-            top = np.lexsort((found, -scores))[:k]
-            best_ids, best = found[top], scores[top]
-            if len(best) == k:
-                reach = min(reach, max(0.0, offset[n] - 2 * best[-1]))
-        yield int(query_ids[n]), best_ids, best
+    slack = 1e-9 * (np.sqrt((q * q).sum(axis=1)) * projection.most + 1e-300)
+    order = np.argsort(near, axis=1, kind="stable")
+    reach = bounds.copy()                       # squared distance of the k-th best
+    kth = (offset - bounds) / 2                 # its score; -inf without a bound
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # query, id, score
+    done, step = 0, 1
+    while done < len(tree.leaves):
+        leaves = order[:, done:done + step]
+        asked, column = np.nonzero(np.take_along_axis(near, leaves, axis=1) <= factor * reach[:, None])
+        if not len(asked):
+            break
+        leaf = leaves[asked, column]
+        sort = np.argsort(leaf, kind="stable")
+        asked, leaf = asked[sort], leaf[sort]
+        cuts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
+        found = [best]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own, rows = asked[a:b], tree.leaves[leaf[a]]
+            hit = q[own] @ x[rows].T >= (kth[own] - slack[own])[:, None]
+            r, c = np.nonzero(hit & (ids[rows][None, :] != query_ids[own][:, None]))
+            if len(r):
+                found.append((own[r], ids[rows[c]], (x[rows[c]] * q[own[r]]).sum(axis=1)))
+        who, which, score = (np.concatenate(c) for c in zip(*found))
+        sort = np.lexsort((which, -score, who))
+        who, which, score = who[sort], which[sort], score[sort]
+        start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.empty(0, np.int64)
+        rank = np.arange(len(who)) - np.repeat(start, np.diff(np.concatenate((start, [len(who)]))))
+        last = rank == k - 1
+        kth[who[last]] = np.maximum(kth[who[last]], score[last])
+        reach = np.minimum(reach, np.maximum(offset - 2 * kth, 0))
+        best = who[rank < k], which[rank < k], score[rank < k]
+        done, step = done + step, step * 2
+    return query_ids[best[0]], best[1], best[2]
 
 
 def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -259,12 +279,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     def verify(key_values, data: pa.Table, asked: pa.Table) -> pa.Table:
         if not (data.num_rows and asked.num_rows):
             return found_schema.empty_table()
-        found = list(search(data.column("id").to_numpy(), _matrix(data.column("v"), size), projection,
-                            asked.column("id").to_numpy(), _matrix(asked.column("v"), size),
-                            asked.column("bound").to_numpy(), k, certainty))
-        return pa.table([np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int64),
-                         np.concatenate([x for _, x, _ in found]).astype(np.int64),
-                         np.concatenate([s for _, _, s in found])], schema=found_schema)
+        return pa.table(list(search(
+            data.column("id").to_numpy(), _matrix(data.column("v"), size), projection, asked.column("id").to_numpy(),
+            _matrix(asked.column("v"), size), asked.column("bound").to_numpy(), k, certainty)), schema=found_schema)
 
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     visit_ddl = "cell long, chunk long, id long, v array<double>, bound double"
