@@ -23,8 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlrun.llm.bpe import decode_documents, encode_documents
-from sqlrun.llm.common import documents, fresh_name, materialise, opened, sealed, word_count
+from sqlrun.llm.bpe import encode_documents
+from sqlrun.llm.common import documents, fresh_name, materialise, quoted, sealed, word_count
 from sqlrun.llm.language_id import identify
 from sqlrun.llm.mixing import mix_hash, mix_sources
 from sqlrun.llm.ngram_join import one_of_each
@@ -36,10 +36,11 @@ REPEAT_BYTES = 250  # fifty words of four letters and a space
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(sealed(docs).alias("row"), "text", "lang",
+    others = docs.drop("text")
+    rows = docs.select(sealed(others).alias("row"), "text", "lang",
                        F.coalesce(fold() != 1, F.lit(False)).alias("train"))
-    found = identify(rows, F.col("train"), keep=("row",))
-    return opened(found.filter(~F.col("rejected")), "row", docs.columns)
+    found = identify(rows, F.col("train"), keep=("row", "text")).filter(~F.col("rejected"))
+    return found.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,16 +59,13 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs, word_count(F.col("text")), mix_hash(F.col("doc_id"), F.col("text")))
     copies = F.col(mix)["copies"].cast("int")
     return (mixed.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
-            .select(*docs.columns))
+            .select(*map(quoted, docs.columns)))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path(BYTE_BPE)
-    encoded = encode_documents(docs, path, keep=("doc_id", "source")).select(
-        "doc_id", "source", F.col("ids").alias("token_ids"), "ids")
-    return (decode_documents(encoded, path, keep=("doc_id", "source", "token_ids"))
-            .select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"),
-                    F.col("token_ids").alias("ids"), F.sha2("text", 256).alias("decoded_sha256")))
+    encoded = encode_documents(docs, tokenizer_path(BYTE_BPE), keep=("doc_id", "source"), decoded="decoded")
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -165,7 +165,7 @@ class LanguageModels:
         return len(codes), -total / len(codes)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _models(uri: str) -> LanguageModels:
     store, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
     table = pads.dataset(path, filesystem=store, format="parquet").to_table()
@@ -197,11 +197,11 @@ def train_counts(labelled: DataFrame) -> str:
         for batch in batches:
             parts: dict[str, list[np.ndarray]] = {}
             sizes: dict[str, int] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(codes := text_codes(text)):
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                if len(codes := text_codes(text.as_py())):
                     parts.setdefault(lang, []).append(codes)
                     sizes[lang] = sizes.get(lang, 0) + len(codes)
-                    if sizes[lang] >= 4 * BLOCK_CHARS:
+                    if sizes[lang] >= BLOCK_CHARS:
                         add(lang, parts.pop(lang))
                         sizes[lang] = 0
             for lang, rest in parts.items():
@@ -218,14 +218,14 @@ def train_counts(labelled: DataFrame) -> str:
 
 
 def predict(docs: DataFrame, uri: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep`, ``lang_pred``, ``score``, ``entropy`` (nats per
-    character, null if `und`) and ``chars``."""
+    """The columns in `keep` (the text may be one), ``lang_pred``, ``score``,
+    ``entropy`` (nats per character, null if `und`) and ``chars``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(uri)
         for batch in batches:
             rows = []
-            for t in batch.column(len(keep)).to_pylist():
-                n, e = models.entropies(t or "")
+            for t in batch.column(place):
+                n, e = models.entropies(t.as_py() or "")
                 if not n:
                     rows.append((UNKNOWN, 0.0, None, 0))
                     continue
@@ -236,7 +236,8 @@ def predict(docs: DataFrame, uri: str, text: str = "text", keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *pred], names)
 
     types = (pa.string(), pa.float64(), pa.float64(), pa.int64())
-    chosen = docs.select(*keep, text)
+    chosen = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    place = chosen.columns.index(text)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
               T.StructField("entropy", T.DoubleType()), T.StructField("chars", T.LongType())]
     names = [*keep, *(f.name for f in fields)]
@@ -252,8 +253,8 @@ def identify(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     calibrate = F.pmod(F.xxhash64(F.col(text)), F.lit(CALIBRATE_EVERY)) == 0
     uri = train_counts(docs.filter(learn & ~calibrate).select(F.col(text).alias("text"), F.col(lang).alias("lang")))
     label = F.when(learn & calibrate, F.col(lang)).alias("__label")
-    scored = materialise(predict(docs.select(*keep, label, F.col(text).alias("__text")), uri,
-                                 "__text", (*keep, "__label")), "languages")
+    wanted = keep if text in keep else (*keep, text)
+    scored = materialise(predict(docs.select(*wanted, label), uri, text, (*keep, "__label")), "languages")
     own = scored.filter(F.col("__label") == F.col("lang_pred"))
     # One aggregation: the mean m of e, and that of r^2 (e - m)^2 from its three parts.
     reach = F.sqrt(F.least(F.col("chars"), F.lit(LONG_CHARS)))

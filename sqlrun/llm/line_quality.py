@@ -96,7 +96,7 @@ _STATS_DDL = ("n_words long, word_chars long, n_symbols long, n_dup_lines long,
 def _scan(docs: DataFrame, doc: str, host: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = pa.array([text_stats(t or "") for t in batch.column(2).to_pylist()], _STATS)
+            stats = pa.array([text_stats(t.as_py() or "") for t in batch.column(2)], _STATS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *stats.flatten()],
                                              ["doc", "host", *(f.name for f in _STATS)])
 

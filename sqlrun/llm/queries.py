@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .bpe import decode_documents, encode_documents
+from .bpe import encode_documents
 from .common import documents, materialise, word_count
 from .edit_counts import edited_counts, redactions
 from .language_id import identify
@@ -88,13 +88,10 @@ def op6_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path(BYTE_BPE)
-    encoded = encode_documents(documents(spark, sf_dir), path)
+    encoded = encode_documents(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), decoded="decoded")
     ids_text = F.array_join(F.col("ids").cast("array<string>"), ",")
-    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                             F.sha2(ids_text, 256).alias("ids_sha256"), "ids")
-    return (decode_documents(digests, path, keep=("doc_id", "n_tokens", "ids_sha256"))
-            .select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
