@@ -87,10 +87,17 @@ def _partitioned(df: DataFrame, path: str, *cols: str) -> None:
     df.select(*cols).distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")
 
 
+_KNOWN_VALUES: dict[tuple[str, str], list] = {}
+
+
 def layout_values(spark: SparkSession, path: str, col: str) -> list:
     """The values of a partition column that a layout holds, sorted; as many
-    as the column has folders."""
-    return [r[0] for r in spark.read.parquet(f"{path}/{_VALUES}").select(col).distinct().orderBy(col).collect()]
+    as the column has folders.  A layout's path changes with its table, so
+    what was read once still holds."""
+    if (path, col) not in _KNOWN_VALUES:
+        rows = spark.read.parquet(f"{path}/{_VALUES}").select(col).distinct().orderBy(col).collect()
+        _KNOWN_VALUES[path, col] = [r[0] for r in rows]
+    return list(_KNOWN_VALUES[path, col])
 
 
 def write_partitioned(df: DataFrame, path: str, *cols: str, mode: str = "overwrite") -> None:
