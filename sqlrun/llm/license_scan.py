@@ -5,9 +5,11 @@ them.  A notice of ``n`` characters may differ by ``k = n // EDIT_EVERY``
 edits; cut into ``k + 1`` pieces, at least one piece stands unchanged in
 every match (pigeonhole).  One Aho-Corasick pass over the text finds all
 pieces of all notices; each hit gives the stretch in which the notice would
-lie.  Only there the regex library matches the whole notice with its bounded
-number of errors, on word boundaries, and reports the span and its edits.
-Unchanged notices are read off the same hits, overlapping ones included.
+lie.  Unchanged notices are read off the same hits, overlapping ones included.
+In the stretches a bit-parallel edit distance (Myers) finds all places on word
+boundaries within ``k`` edits.  Of places that overlap, the one with the fewest
+edits is taken, then the one that starts, then that ends first; a place beside
+a better one is not lost.
 
 The work is one pass per document inside its own task; nothing is shuffled.
 
@@ -19,13 +21,13 @@ pass through ``keep``.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -76,35 +78,74 @@ class NoticeSearch:
             cuts = [len(phrase) * p // (k + 1) for p in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 places.setdefault(phrase[a:b], []).append((n, a))
-            self.fuzzy.append((k, regex.compile(rf"(?b)(?<= )(?:{regex.escape(phrase)}){{e<={k}}}(?= )")))
+            masks: dict[str, int] = {}
+            for at, c in enumerate(phrase):
+                masks[c] = masks.get(c, 0) | 1 << at
+            self.fuzzy.append((k, masks))
         for piece, where in places.items():
             self.seeds.add_word(piece, (len(piece), where))
         self.seeds.make_automaton()
 
+    def _ends(self, n: int, text: str, lo: int, hi: int, anchored: bool) -> list[tuple[int, int]]:
+        """(end, edits) of the word ends before `hi` where a place of the
+        notice ends that starts at `lo` (anchored), or anywhere from there on."""
+        (k, masks), size = self.fuzzy[n], len(self.notices[n][1])
+        full, top, first = (1 << size) - 1, 1 << size - 1, int(anchored)
+        up, down, score, found = full, 0, size, []
+        for j in range(lo, hi):
+            c = text[j]
+            if c == " " and score <= k:
+                found.append((j, score))
+            same = masks.get(c, 0)
+            zero = ((same & up) + up ^ up) | same | down
+            more, less = (down | ~(zero | up)) & full, up & zero
+            if more & top:
+                score += 1
+            elif less & top:
+                score -= 1
+            more = more << 1 | first
+            up, down = (less << 1 | ~(zero | more)) & full, more & zero & full
+        return found
+
+    def _edited(self, n: int, text: str, lo: int, hi: int, exact: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(start, end, edits) of the edited places of a notice in a stretch
+        whose unchanged places start at `exact`."""
+        k, size = self.fuzzy[n][0], len(self.notices[n][1])
+        starts = {at for end, _ in self._ends(n, text, lo, hi, False)
+                  for at in range(max(lo, 1, end - size - k), end - size + k + 1) if text[at - 1] == " "}
+        places = sorted((edits, at, end) for at in starts
+                        for end, edits in self._ends(n, text, at, min(hi, at + size + k + 1), True) if edits)
+        taken = [(at, at + size) for at in exact]
+        for edits, at, end in places:
+            place = bisect_left(taken, (at, end))
+            if (not place or taken[place - 1][1] <= at) and (place == len(taken) or end <= taken[place][0]):
+                taken.insert(place, (at, end))
+                yield at, end, edits
+
     def spans(self, norm: bytes) -> list[tuple[int, int, int, int]]:
         """(notice, first word, last word, edits), by place."""
         text = norm.decode("latin-1")
-        exact: set[tuple[int, int]] = set()
-        stretches: dict[int, list[list[int]]] = {}
+        exact: dict[int, set[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.seeds.iter(text):
             for n, a in where:
                 phrase, at = self.notices[n][1], end + 1 - size - a
                 if at > 0 and text.startswith(f" {phrase} ", at - 1):
-                    exact.add((n, at))
-                k = self.fuzzy[n][0]
-                if k:
-                    lo, hi = max(0, at - k - 1), min(len(text), at + len(phrase) + k + 1)
-                    own = stretches.setdefault(n, [])
-                    if own and lo <= own[-1][1]:
-                        own[-1] = [min(lo, own[-1][0]), max(hi, own[-1][1])]
-                    else:
-                        own.append([lo, hi])
-        found = [(n, at, at + len(self.notices[n][1]), 0) for n, at in exact]
-        for n, own in stretches.items():
-            for lo, hi in own:
-                for m in self.fuzzy[n][1].finditer(text, lo, hi):
-                    if edits := sum(m.fuzzy_counts):
-                        found.append((n, m.start(), m.end(), edits))
+                    exact.setdefault(n, set()).add(at)
+                if k := self.fuzzy[n][0]:
+                    hits.setdefault(n, []).append((max(0, at - k - 1), min(len(text), at + len(phrase) + k + 1)))
+        found = [(n, at, at + len(self.notices[n][1]), 0) for n, places in exact.items() for at in places]
+        for n, own in hits.items():
+            stretches: list[list[int]] = []
+            for lo, hi in sorted(own):
+                if stretches and lo <= stretches[-1][1]:
+                    stretches[-1][1] = max(hi, stretches[-1][1])
+                else:
+                    stretches.append([lo, hi])
+            places = sorted(exact.get(n, ()))
+            for lo, hi in stretches:
+                inside = places[bisect_left(places, lo):bisect_left(places, hi)]
+                found += [(n, *place) for place in self._edited(n, text, lo, hi, inside)]
         if not found:
             return []
         spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)

@@ -67,6 +67,62 @@ def test_seeds_lose_no_fuzzy_match(spark):
             assert 0 <= s.first_word <= s.last_word < r.n_words and s.edits <= len(s.notice) // EDIT_EVERY
 
 
+def edit_distances(phrase, text):
+    """Edits between the phrase and each prefix of the text."""
+    row = list(range(len(text) + 1))
+    for k, c in enumerate(phrase, 1):
+        before, row = row, [k]
+        for j, d in enumerate(text):
+            row.append(min(before[j] + (c != d), before[j + 1] + 1, row[j] + 1))
+    return row
+
+
+def brute_places(words, phrase):
+    """Places (first word, last word, edits): unchanged ones, then edited ones
+    that overlap none taken before, fewest edits and leftmost first."""
+    places = []
+    for a in range(len(words)):
+        rest = " ".join(words[a:])[:2 * len(phrase)]
+        edits = edit_distances(phrase, rest)
+        end = -1
+        for b in range(a, len(words)):
+            end += len(words[b]) + 1
+            if end > len(rest):
+                break
+            if edits[end] <= len(phrase) // EDIT_EVERY:
+                places.append((edits[end], a, b))
+    taken = []
+    for e, a, b in sorted(places):
+        if not e or all(b < c or d < a for c, d, _ in taken):
+            taken.append((a, b, e))
+    return set(taken)
+
+
+def test_neighbouring_notices_are_all_found(spark):
+    rng = random.Random(8)
+    texts = ["under the mit licence and under the mit license",
+             "under the mit lisence under the mit licence under the mit license"]
+    notices = BASE_NOTICES + MORE_NOTICES
+    for _ in range(120):
+        _, phrase = rng.choice(notices)
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            chars = list(phrase)
+            for _ in range(rng.choice((0, 0, 1, 2, 3))):
+                k = rng.randrange(len(chars))
+                chars[k:k + rng.randrange(2)] = rng.choice("abcdefg ") * rng.randrange(2)
+            parts += "".join(chars), *rng.choices(("and", "or", "under the", "license"), k=rng.randrange(3))
+        texts.append(" ".join(parts))
+    texts.append("under the mit licence " * 3000)  # takes time in proportion to its length
+    got = scan_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    found = {r.doc_id: {(s.notice, s.first_word, s.last_word, s.edits) for s in r.spans} for r in got}
+    assert sorted(x[1:] for x in found[0] if x[0] == BASE_NOTICES[0][1]) == [(0, 3, 1), (5, 8, 0)]
+    assert sorted(x[1:] for x in found[1] if x[0] == BASE_NOTICES[0][1]) == [(0, 3, 2), (4, 7, 1), (8, 11, 0)]
+    for k, t in enumerate(texts[:-1]):
+        assert found[k] == {(p, *place) for _, p in notices for place in brute_places(t.split(), p)}, t
+    assert len(found[len(texts) - 1]) == 3000
+
+
 def test_licence_empty(spark, none):
     assert scan_notices(none).collect() == []
 
