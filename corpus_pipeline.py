@@ -7,7 +7,7 @@ as Parquet and read again as the next stage's docs:
                      models, go; the models learn from the labelled documents
                      outside the held-out fold
 2. ``ngram_join``    one document of each group of near copies stays
-3. ``suffix_dedup``  byte strings of ``REPEAT_BYTES`` that occur twice are cut out
+3. ``suffix_dedup``  strings of more than ``REPEAT_WORDS`` words that occur twice are cut out
 4. ``mix_sources``   documents are taken as often as the mix says
 5. ``bpe``           ids of each whole text, and the text that they decode to
 
@@ -32,7 +32,7 @@ from sqlrun.llm.queries import BYTE_BPE, fold, tokenizer_path
 from sqlrun.llm.suffix_dedup import without_repeats
 
 
-REPEAT_BYTES = 250  # fifty words of four letters and a space
+REPEAT_WORDS = 50
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = without_repeats(docs, length=REPEAT_BYTES)
+    cut = without_repeats(docs, words=REPEAT_WORDS)
     # The length column follows the text.
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else cut

@@ -29,6 +29,12 @@ they are scanned.  Texts are known by a 128-bit hash: a text that two rows
 hold is repeated as a whole if it has ``length`` bytes, and takes part in the
 sort only as a representative.
 
+A window can also be a number of words (``words``): of more than that many words
+in a row, with the bytes between them, and of any length in bytes.  A text is then
+the sequence of its words and the white space between them, each known by two
+64-bit hashes; bytes give way to these, and only windows that start with a word
+count, from the first byte of the first to the last byte of the last word.
+
 Defined results: a null text is empty; texts shorter than ``length`` keep all
 bytes; repeated rows are copies of one another; an empty table gives an empty
 result; other columns are not read by the sort and are kept by ``without_repeats``.
@@ -41,11 +47,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, quoted, sealed
+from .common import materialise, quoted, sealed, word_count
 
 LENGTH = 400
 MAX_LENGTH = 8192    # of windows; the tables of powers are that much longer than a block
@@ -80,16 +87,49 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+
+
+def word_edges(data: np.ndarray) -> np.ndarray:
+    """Where the first word starts and ends, the second, and so on."""
+    white = np.ones(len(data) + 2, bool)
+    white[1:-1] = _WHITE[data]
+    return np.flatnonzero(white[1:] != white[:-1])
+
+
+def word_symbols(data: np.ndarray) -> np.ndarray:
+    """Two hashes of each word and of the white space up to the next one."""
+    values, powers, _ = _constants()
+    edges = word_edges(data)
+    out = np.empty((2, max(0, len(edges) - 1)), np.uint64)
+    a, n = 0, out.shape[1]
+    while a < n:
+        b = int(np.searchsorted(edges, edges[a] + BLOCK, "right")) - 1
+        if b <= a:  # longer than the tables
+            whole = xxhash.xxh3_128_intdigest(data[edges[a]:edges[a + 1]].tobytes())
+            out[:, a] = whole >> 64, whole & ((1 << 64) - 1)
+            a += 1
+            continue
+        b = min(b, n)
+        part, first = data[edges[a]:edges[b]], edges[a:b] - edges[a]
+        place = np.arange(len(part)) - np.repeat(first, np.diff(edges[a:b + 1]))
+        for which in range(2):
+            out[which, a:b] = _mix(np.add.reduceat(values[which][part] * powers[which][place], first))
+        a = b
+    return out
+
+
 class Slice:
-    """Hashes of substrings of a part of a text that starts at `at`."""
+    """Hashes of substrings of a part of a text that starts at `at`: of its
+    bytes, or of two rows of symbols."""
 
     def __init__(self, data: np.ndarray, at: int = 0):
         values, powers, self.inverses = _constants()
-        self.at, self.size = at, len(data)
+        self.at, self.size = at, data.shape[-1]
         self.sums = []
-        for v, p in zip(values, powers):
-            s = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(v[data] * p[:len(data)], out=s[1:])
+        for v, p, own in zip(values, powers, data if data.ndim == 2 else (data, data)):
+            s = np.zeros(self.size + 1, np.uint64)
+            np.cumsum((own if data.ndim == 2 else v[own]) * p[:self.size], out=s[1:])
             self.sums.append(s)
 
     def hash(self, which: int, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
@@ -116,10 +156,10 @@ class Slice:
 
 def _first_runs(data: np.ndarray, length: int, run: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor, lo, hi, digit, span) of all runs of a text."""
-    last = len(data) - length
+    last = data.shape[-1] - length
     for a in range(0, last + 1, BLOCK):
         n = min(BLOCK, last + 1 - a)
-        part = Slice(data[a:a + n + length - 1], a)
+        part = Slice(data[..., a:a + n + length - 1], a)
         own = part.anchors(n, run)
         cut = np.flatnonzero(own[1:] != own[:-1])
         lo = np.concatenate(([0], cut + 1)) + a
@@ -150,7 +190,7 @@ def _cut_runs(data: np.ndarray, runs: np.ndarray, length: int, grain: int) -> It
         low = np.maximum(own - block * grain - (grain - 1), lo[of])
         high = np.minimum(own - block * grain, hi[of])
         a = max(0, int(lo.min()) - grain)
-        part = Slice(data[a:int(hi.max()) + length + grain], a)
+        part = Slice(data[..., a:int(hi.max()) + length + grain], a)
         yield (own, low, high, *_digits(part, own, block, low, high, length, grain), weight[of])
 
 
@@ -181,22 +221,27 @@ def _bytes(batch: pa.RecordBatch, column: int, k: int) -> np.ndarray:
     return np.frombuffer(batch.column(column)[k].as_buffer(), np.uint8)
 
 
-def _scan_texts(texts: DataFrame, length: int, run: int) -> DataFrame:
+def _units(batch: pa.RecordBatch, column: int, k: int, by_words: bool) -> np.ndarray:
+    data = _bytes(batch, column, k)
+    return word_symbols(data) if by_words else data
+
+
+def _scan_texts(texts: DataFrame, length: int, run: int, by_words: bool) -> DataFrame:
     def rows(batches):
         def of_text(batch, k):
-            for found in _first_runs(_bytes(batch, 2, k), length, run):
+            for found in _first_runs(_units(batch, 2, k, by_words), length, run):
                 yield (*found, np.ones(len(found[0]), np.int64))
         return _emit(batches, of_text)
     return texts.select("t1", "t2", "bytes").mapInArrow(rows, _ROWS)
 
 
-def _scan_runs(texts: DataFrame, length: int, grain: int) -> DataFrame:
+def _scan_runs(texts: DataFrame, length: int, grain: int, by_words: bool) -> DataFrame:
     """`texts` has (t1, t2, bytes, runs)."""
     def rows(batches):
         def of_text(batch, k):
             runs = batch.column(3)[k].values
             table = np.stack([runs.field(i).to_numpy() for i in range(4)], axis=1)
-            return _cut_runs(_bytes(batch, 2, k), table, length, grain)
+            return _cut_runs(_units(batch, 2, k, by_words), table, length, grain)
         return _emit(batches, of_text)
     return texts.select("t1", "t2", "bytes", "runs").mapInArrow(rows, _ROWS)
 
@@ -237,24 +282,34 @@ def text_key(text) -> list:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def _length(length: int, words: int | None) -> int:
+    """Of windows: bytes, or words and the white space between them."""
+    return length if words is None else 2 * words + 1
+
+
+def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
+                     words: int | None = None) -> DataFrame:
     """A row for each distinct text that has repeated windows: (t1, t2,
     copied, bytes, spans).  `copied` texts are repeated as a whole; for the
-    others `spans` holds [lo, hi] of the repeated windows' starts."""
+    others `spans` holds [lo, hi] of the repeated windows' starts, in bytes or,
+    with `words`, in words and white space between words."""
+    by_words, length = words is not None, _length(length, words)
     if not 2 * GRAM <= length <= MAX_LENGTH // 2:
         raise ValueError(f"length must be from {2 * GRAM} to {MAX_LENGTH // 2}")
     run = min(round(length * RUN_SHARE), length - GRAM)
     own = F.coalesce(F.col(text), F.lit(""))
     # Of the rows of a text that goes on, those of one hash of the plain columns do.
     plain = [quoted(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text]
-    texts = (docs.select(own.cast("binary").alias("bytes"), *text_key(own),
+    enough = word_count(own) > words if by_words else F.lit(True)
+    texts = (docs.select(own.cast("binary").alias("bytes"), *text_key(own), enough.alias("enough"),
                          (F.xxhash64(*plain) if plain else F.lit(0).cast("long")).alias("row"))
              .filter(F.octet_length("bytes") >= length))
     kinds = materialise(texts.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2"))
-                        .agg((F.count("*") > 1).alias("copied"), F.min("row").alias("one")), "suffix-texts")
+                        .agg(((F.count("*") > 1) & F.max("enough")).alias("copied"), F.min("row").alias("one")),
+                        "suffix-texts")
     copied = kinds.filter("copied").select("k1", "k2")
 
-    done, on = _pass(_scan_texts(texts, length, run), False, "digit1")
+    done, on = _pass(_scan_texts(texts, length, run, by_words), False, "digit1")
     # Copies are settled; what is left of the first pass concerns single texts.
     done = done.join(copied, _same(), "left_anti")
     first = _by_text(done, "lo", "hi", name="spans")
@@ -270,7 +325,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH)
 
     later = []
     for k, grain in enumerate(GRAINS, 2):
-        on_rows = _scan_runs(kept.filter(F.col("runs").isNotNull()), length, grain)
+        on_rows = _scan_runs(kept.filter(F.col("runs").isNotNull()), length, grain, by_words)
         done, on = _pass(on_rows, grain == 1, f"digit{k}")
         later.append(done)
         if on is not None:
@@ -288,43 +343,63 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH)
 
 
 def _removed(spans: np.ndarray, length: int) -> np.ndarray:
-    """Maximal [from, to) runs of bytes that the windows starting in `spans` cover."""
+    """Maximal [from, to) runs of bytes (or words and white space) that the
+    windows starting in `spans` cover."""
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     ends = np.maximum.accumulate(spans[:, 1]) + length
     new = np.concatenate(([True], spans[1:, 0] > ends[:-1]))
     return np.stack((spans[new, 0], ends[np.concatenate((new[1:], [True]))]), axis=1)
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def _from_words(spans: np.ndarray) -> np.ndarray:
+    """Of windows of words and white space in turn, those that start with a word."""
+    spans = np.stack((spans[:, 0] + (spans[:, 0] & 1), spans[:, 1] - (spans[:, 1] & 1)), axis=1)
+    return spans[spans[:, 0] <= spans[:, 1]]
+
+
+def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, words: int | None = None) -> DataFrame:
     """A row for each distinct text that loses bytes: (t1, t2, kept, n_removed,
     n_spans), `kept` being the bytes that stay.  A copied text loses all."""
+    by_words, size = words is not None, _length(length, words)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed, runs = [], [], []
+            rows, kept, removed, runs = [], [], [], []
             for k in range(batch.num_rows):
                 if batch.column(2)[k].as_py():
-                    kept.append(b""), removed.append(None), runs.append(1)
+                    rows.append(k), kept.append(b""), removed.append(None), runs.append(1)
                     continue
                 own = batch.column(4)[k].values
-                gone = _removed(np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], axis=1), length)
+                spans = np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], axis=1)
+                if by_words:
+                    spans = _from_words(spans)
+                    if not len(spans):
+                        continue
+                gone = _removed(spans, size)
+                if by_words:
+                    gone = word_edges(_bytes(batch, 3, k))[gone]
                 data = batch.column(3)[k].as_py()
                 stay = zip([0, *gone[:, 1]], [*gone[:, 0], len(data)])
+                rows.append(k)
                 kept.append(b"".join(data[a:b] for a, b in stay))
                 removed.append(int((gone[:, 1] - gone[:, 0]).sum()))
                 runs.append(len(gone))
+            where = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()),
+                [batch.column(0).take(where), batch.column(1).take(where), pa.array(kept, pa.binary()),
                  pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
                 ["t1", "t2", "kept", "n_removed", "n_spans"])
 
-    return repeated_windows(docs, text, length).mapInArrow(
+    return repeated_windows(docs, text, length, words).mapInArrow(
         cut, "t1 long, t2 long, kept binary, n_removed long, n_spans long")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """`docs` with the repeated bytes cut out of the texts.  A character that
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH,
+                    words: int | None = None) -> DataFrame:
+    """`docs` with the repeated windows of `length` bytes, or of more than
+    `words` words, cut out of the texts.  A character that
     is cut in the middle goes with the cut; null texts stay null."""
-    cuts = cut_repeats(docs, text, length).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "kept")
+    cuts = cut_repeats(docs, text, length, words).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "kept")
     own = F.coalesce(F.col(text), F.lit(""))
     decode = F.pandas_udf(lambda kept: kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore")),
                           "string")

@@ -1,6 +1,8 @@
 """Suffix dedup and the Jaccard join against brute force."""
 
 import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -45,6 +47,58 @@ def test_other_lengths(spark, docs, length):
     assert {r.row: r.text for r in cut.collect()} == want
 
 
+def brute_words(texts, words):
+    """The texts without the strings of more than `words` words that occur twice."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    windows = [[(p[k][0], p[k + words][1]) for k in range(len(p) - words)] for p in places]
+    seen = Counter((t or "").encode()[a:b] for t, w in zip(texts, windows) for a, b in w)
+    out = []
+    for t, w, p in zip(texts, windows, places):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for a, b in w:
+            if seen[data[a:b]] > 1:
+                gone[a:b] = b"\1" * (b - a)
+        if len(p) > words and texts.count(t) > 1:  # copies go as a whole
+            gone = b"\1" * len(data)
+        out.append(None if t is None else bytes(x for x, g in zip(data, gone) if not g).decode())
+    return out
+
+
+@pytest.mark.parametrize("words", [16, 50])
+def test_windows_of_words(spark, docs, words):
+    rng = random.Random(6)
+    short = " ".join(rng.choice("abcdefghijklmnop") for _ in range(51))  # 101 bytes
+    fewer = " ".join(rng.choice("abcdefghijklmnop") + "x" * 40 for _ in range(50))  # 2,099 bytes, fifty words
+    own = lambda k, n: " ".join(f"w{k}y{j}" for j in range(n))
+    texts = [f"{own(1, 60)}\n{short}\n{own(2, 9)}", f" {own(3, 7)} {short} {own(4, 70)} ", f"{own(5, 9)} {short}",
+             f"{own(6, 9)} {fewer} {own(7, 9)}", f"{own(8, 9)} {fewer} {own(9, 9)}",
+             f"{own(10, 9)} {short.replace(' ', '  ', 1)}", f"{own(11, 9)} q{short}", " " + "ab " * 300,
+             f"{own(12, 3)} {fewer}", f"{own(12, 3)} {fewer}", "z" * 120, "z" * 120,
+             "y" * 300_000 + f" {short}", f"{own(13, 5)} " + "y" * 300_000 + f" {short}"]
+    extra = spark.createDataFrame([(1000 + k, t, "en", "a", 1, f"x{k}", 0, "") for k, t in enumerate(texts)], SCHEMA)
+    every = docs.unionByName(extra)
+    rows = every.select("row", "text").collect()
+    want = dict(zip([r.row for r in rows], brute_words([r.text for r in rows], words)))
+    cut = without_repeats(every, words=words)
+    assert cut.schema == docs.schema
+    got = {r.row: r.text for r in cut.collect()}
+    assert got == want
+    assert short not in got["x0"] + got["x1"] + got["x2"]
+    assert words < 50 or fewer in got["x3"] and fewer in got["x4"]
+
+
+def test_pipeline_cuts_passages_of_short_words(spark):
+    import corpus_pipeline
+    rng = random.Random(7)
+    passage = " ".join(rng.choice("abcdefghijklmnop") for _ in range(51))
+    rows = [(k, f"{' '.join(f'w{k}y{j}' for j in range(80))} {passage} end{k}", "en", "a", 1, "", 0, "")
+            for k in range(3)]
+    cut = corpus_pipeline.repeat_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.text for r in cut) == sorted(r[1].replace(passage, "") for r in rows)
+    assert all(r.n_chars == len(r.text) for r in cut)
+
+
 def test_suffix_of_few_texts(spark, none):
     assert without_repeats(none).collect() == [] and without_repeats(none).columns == none.columns
     one = spark.createDataFrame([(1, "ab" * 500, "en", "a", 1000, "", 0, "")], SCHEMA)
