@@ -26,9 +26,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.hive_paths import HIVE_NULL
 from ..sources.shared_folder import shared_dir
 
-LAYOUT_VERSION = "v3"
+LAYOUT_VERSION = "v4"
 
 def layout_root(spark: SparkSession, sf_dir: str) -> str:
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
@@ -153,9 +154,9 @@ def events_overlap(spark: SparkSession, sf_dir: str) -> str:
     def build(ev: DataFrame, path: str) -> None:
         types = [r[0] for r in ev.select("event_type").distinct().collect()]
         for t in types:
-            (ev.filter(F.col("event_type") == t)
+            (ev.filter(F.col("event_type").eqNullSafe(t))
              .withColumn("event_type", F.upper("event_type"))
-             .write.mode("overwrite").parquet(f"{path}/event_type={t}"))
+             .write.mode("overwrite").parquet(f"{path}/event_type={HIVE_NULL if t is None else t}"))
         ev.select("event_type").distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")
     return _layout(spark, sf_dir, "events", "events_overlap", build)
 
@@ -170,7 +171,7 @@ def _two_schemas(spark: SparkSession, sf_dir: str, name: str, old: Callable[[Dat
                  new_levels: tuple[str, ...] = ()) -> str:
     """`events` by event_type with two kinds of leaves: one write for each."""
     def build(ev: DataFrame, path: str) -> None:
-        is_old = F.col("event_type").isin(OLD_SCHEMA_TYPES)
+        is_old = F.coalesce(F.col("event_type").isin(OLD_SCHEMA_TYPES), F.lit(False))
         write_partitioned(old(ev.filter(is_old)), path, "event_type", *old_levels)
         write_partitioned(new(ev.filter(~is_old)), path, "event_type", *new_levels, mode="append")
         ev.select("event_type").distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")

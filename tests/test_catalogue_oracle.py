@@ -1,6 +1,10 @@
 """Every catalogue query against its DuckDB oracle (sf0.001, whole tables,
 exact values: floats compared without rounding)."""
 
+import os
+import tempfile
+
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -32,6 +36,29 @@ def test_query_matches_oracle(spark, con, name):
     assert compare(df, con, ORACLES[name], strict=True) == []
 
 
+@pytest.fixture(scope="module")
+def untyped(spark):
+    """A folder whose `events` hold null event types."""
+    from pyspark.sql import functions as F
+    out = tempfile.mkdtemp(prefix="sqlrun-test-")
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    kind = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    events.withColumn("event_type", kind).coalesce(1).write.parquet(f"{out}/all")
+    os.link(next(f"{out}/all/{f}" for f in os.listdir(f"{out}/all") if f.endswith(".parquet")),
+            f"{out}/events.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["scan_schema_evolution", "scan_widen_bigint_double", "scan_widen_int_string",
+                                  "scan_mixed_depth", "scan_partition_overlap"])
+def test_rows_without_an_event_type_stay(spark, untyped, name):
+    df = QUERIES[name](spark, untyped)
+    assert df.filter("event_type IS NULL").count() > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{untyped}/events.parquet')")
+    assert compare(df, con, ORACLES[name], strict=True) == []
+
+
 def test_entry_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["user_id", "username", "event_count"]
