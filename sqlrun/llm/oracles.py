@@ -110,3 +110,113 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          AND words_left >= n_words * CAST(0.3 AS DOUBLE) AS kept, lines_removed, words_left
 FROM counted
 """
+
+# All orders of five letters, step by step; counts by combination of failures.
+FILTER_AUDIT = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+least AS (SELECT t, min(doc_id) AS m FROM docs GROUP BY t),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN l.m < d.doc_id THEN 'E' ELSE '' END AS f
+  FROM docs d JOIN least l ON d.t = l.t LEFT JOIN marks m ON d.doc_id = m.doc_id),
+counted AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS own, filter_order[1:i - 1] AS before
+  FROM orders CROSS JOIN range(1, 6) r(i)),
+rows_of AS (
+  SELECT s.filter_order, s.step, s.own, c.part, c.f, c.n, c.good, c.toxic,
+         contains(c.f, s.own) AS fails, translate(c.f, s.before, '') <> c.f AS early
+  FROM steps s CROSS JOIN counted c),
+summed AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (WHERE NOT fails AND NOT early), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT early), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE fails AND early), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE f = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails AND NOT early), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE fails AND NOT early), 0) AS toxic_lost
+  FROM rows_of GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+found AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (
+  SELECT f.lang, f.source, f.term, CAST(count(*) AS HUGEINT) AS n
+  FROM found f JOIN kept k ON f.lang = k.lang AND f.term = k.term GROUP BY f.lang, f.source, f.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+         1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN totals t ON g.lang = t.lang AND g.source = t.source
+  LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON a.lang = s.lang AND a.source = s.source AND b.source = s.item),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+  FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+# An example for each reply, and one for all turns where the last is no reply;
+# a turn's marks and role take 24 characters more than its texts.
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+written AS (
+  SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 24
+            + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A')) AS chars
+  FROM turns),
+placed AS (
+  SELECT *, sum(chars) OVER before AS so_far, row_number() OVER before AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM written
+  WINDOW before AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(coalesce(sum(so_far) FILTER (WHERE role = 'assistant' OR i = n), 0) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
