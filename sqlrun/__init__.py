@@ -18,13 +18,16 @@ __version__ = "0.1.0"
 from .functions.params import ParameterError, substitute
 from .plans.runner import DEFAULT_PROFILE, RunResult, ViewError, run
 from .sources.partition_scan import Scan, ScanError, scan_dataset
-from .sources.result_sink import manifest, manifest_summary, preview, read_result, write_result
+from .sources.result_sink import (
+    manifest, manifest_summary, preview, read_ordered, read_ranked, read_result, write_result,
+)
 from .spec import DatasetSpec, PartitionKey, RunSpec, SpecError, ViewSpec
 
 __all__ = [
     "__version__",
     "DEFAULT_PROFILE", "DatasetSpec", "ParameterError", "PartitionKey", "RunResult",
     "RunSpec", "Scan", "ScanError", "SpecError", "ViewError", "ViewSpec",
-    "manifest", "manifest_summary", "preview", "read_result", "run", "scan_dataset",
+    "manifest", "manifest_summary", "preview", "read_ordered", "read_ranked",
+    "read_result", "run", "scan_dataset",
     "substitute", "write_result",
 ]

@@ -14,6 +14,13 @@ DUCK_EV = ("ev AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date "
            "FROM events)")
 
 
+# Customers' balances in the bands of suppliers' balances.
+BANDS_DUCK = ("WITH s AS (SELECT s_suppkey, s_acctbal AS lo, s_acctbal + CAST(33000 AS DOUBLE) / "
+               "(SELECT COUNT(*) FROM supplier) AS hi FROM supplier) "
+               "SELECT s.s_suppkey, COUNT(*) AS n, MIN(c.c_acctbal) AS least, MAX(c.c_custkey) AS last_key "
+               "FROM customer c JOIN s ON c.c_acctbal >= s.lo AND c.c_acctbal < s.hi GROUP BY s.s_suppkey")
+
+
 def flat(sf_dir: str, table: str, name: str | None = None) -> dict[str, Any]:
     return {"name": name or table, "path": f"{sf_dir}/{table}.parquet"}
 

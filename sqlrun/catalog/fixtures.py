@@ -205,6 +205,45 @@ def events_mixed_depth(spark: SparkSession, sf_dir: str) -> str:
                         lambda ev: ev.withColumn("hour", F.hour("ts")), new_levels=("hour",))
 
 
+def event_calendar(spark: SparkSession, sf_dir: str) -> str:
+    """The days of `events`, with their day of the week (1 is Sunday)."""
+    return _layout(spark, sf_dir, "events", "event_calendar",
+                   lambda ev, p: _days(ev).select("event_date").distinct()
+                   .withColumn("weekday", F.dayofweek("event_date")).write.mode("overwrite").parquet(p))
+
+
+# The sites among which a layout shares out `events`, and those
+# whose files lack `props`.
+SITES = ["north", "south", "west"]
+SITES_WITHOUT_PROPS = ["west"]
+
+
+def event_sites(spark: SparkSession, sf_dir: str) -> str:
+    """`events` under a folder for each site, then by event_date: one base
+    path of the kind ``sites/*``.  Each site's files are a write."""
+    def build(ev: DataFrame, path: str) -> None:
+        site = F.element_at(F.array(*map(F.lit, SITES)), (F.pmod("event_id", F.lit(len(SITES))) + 1).cast("int"))
+        for name in SITES:
+            own = _days(ev.filter(site == name))
+            write_partitioned(own.drop("props") if name in SITES_WITHOUT_PROPS else own,
+                              f"{path}/sites/{name}", "event_date")
+        _days(ev).select("event_date").distinct().write.mode("overwrite").parquet(f"{path}/{_VALUES}")
+    return _layout(spark, sf_dir, "events", "event_sites", build)
+
+
+# Fixed value: the day of which a layout holds no readable file.
+SPOILED_DATE = "2024-01-04"
+
+
+def events_spoiled(spark: SparkSession, sf_dir: str) -> str:
+    """`events` by event_date; one day's folder holds a file that is no Parquet."""
+    def build(ev: DataFrame, path: str) -> None:
+        _partitioned(_days(ev).filter(F.col("event_date") != SPOILED_DATE), path, "event_date")
+        (spark.createDataFrame([("no parquet file at all",)], "value string").coalesce(1)
+         .write.mode("overwrite").text(f"{path}/event_date={SPOILED_DATE}"))
+    return _layout(spark, sf_dir, "events", "events_spoiled", build)
+
+
 def part_csv(spark: SparkSession, sf_dir: str) -> str:
     """`part` as CSV with a header line."""
     return _layout(spark, sf_dir, "part", "part_csv",

@@ -9,12 +9,13 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.range_join import range_join
 from ..plans.runner import run
-from ..sources.result_sink import manifest_summary, preview, read_result, write_result
+from ..sources.result_sink import manifest_summary, preview, read_ranked, read_result, write_result
 from ..spec import RunSpec
 from . import fixtures as fx
 from . import register
-from .common import DUCK_EV, events_ds, flat, run_sql, sql_list
+from .common import BANDS_DUCK, DUCK_EV, events_ds, flat, run_sql, sql_list
 
 D = "CAST(CAST(ts AS DATE) AS VARCHAR)"
 
@@ -158,6 +159,65 @@ def scan_mixed_depth(spark: SparkSession, sf: str):
     return run_sql(spark, [ds], "SELECT * FROM ev")
 
 
+@register("scan_many_roots",
+          f"SELECT event_id, ts, user_id, value, CASE WHEN ["
+          f"{sql_list(fx.SITES)}][CAST(event_id % {len(fx.SITES)} + 1 AS INTEGER)] IN ({sql_list(fx.SITES_WITHOUT_PROPS)}) "
+          f"THEN NULL ELSE props END AS props, event_type, {D} AS event_date FROM events")
+def scan_many_roots(spark: SparkSession, sf: str):
+    # a glob as the base path: every site that holds a listed day, of two schemas
+    path = fx.event_sites(spark, sf)
+    ds = {"name": "ev", "path": f"{path}/sites/*",
+          "partitions": [{"key": "event_date", "values": fx.layout_values(spark, path, "event_date") + ["2099-01-01"]}]}
+    return run_sql(spark, [ds], "SELECT * FROM ev")
+
+
+_SPOILED_ORACLE = (f"SELECT event_type, {D} AS event_date, COUNT(*) AS n, MAX(value) AS most FROM events "
+                   f"WHERE {D} <> '{fx.SPOILED_DATE}' GROUP BY 1, 2")
+
+
+def _spoiled(spark: SparkSession, sf: str, **how):
+    path = fx.events_spoiled(spark, sf)
+    days = sorted({*fx.layout_values(spark, path, "event_date"), fx.SPOILED_DATE})
+    ds = {"name": "ev", "path": path, "partitions": [{"key": "event_date", "values": days}], **how}
+    return run_sql(spark, [ds], "SELECT event_type, event_date, COUNT(*) AS n, MAX(value) AS most "
+                   "FROM ev GROUP BY event_type, event_date")
+
+
+@register("scan_unreadable_declared", _SPOILED_ORACLE)
+def scan_unreadable_declared(spark: SparkSession, sf: str):
+    # a day without a readable file is left out though no footer is read
+    return _spoiled(spark, sf, schema=f"{EVENTS_DDL}, event_type STRING")
+
+
+@register("scan_unreadable_leaf", _SPOILED_ORACLE)
+def scan_unreadable_leaf(spark: SparkSession, sf: str):
+    # the same by one footer for each day
+    return _spoiled(spark, sf, schema_mode="leaf")
+
+
+@register("scan_leaf_footers",
+          f"SELECT event_id, ts, user_id, CASE WHEN {_IS_OLD} THEN NULL ELSE props END AS props, value, event_type "
+          "FROM events")
+def scan_leaf_footers(spark: SparkSession, sf: str):
+    # INT and BIGINT leaves, one without a column: one scan by a footer a leaf
+    path = fx.events_evolved(spark, sf)
+    ds = {"name": "ev", "path": path, "schema_mode": "leaf", "partitions": _all_values(spark, path, "event_type")}
+    return run_sql(spark, [ds], "SELECT * FROM ev")
+
+
+# The days of a calendar that a filter leaves decide, while the query runs,
+# which folders of the listed scan are read.
+@register("scan_dynamic_pruning",
+          f"SELECT CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday, event_type, COUNT(*) AS n, MAX(value) AS most "
+          f"FROM events WHERE dayofweek(ts) IN (0, 6) GROUP BY 1, 2")
+def scan_dynamic_pruning(spark: SparkSession, sf: str):
+    calendar = {"name": "calendar", "path": fx.event_calendar(spark, sf)}
+    return run_sql(spark, [events_ds(spark, sf), calendar],
+                   "SELECT c.weekday, e.event_type, COUNT(*) AS n, MAX(e.value) AS most FROM ev e "
+                   "JOIN calendar c ON e.event_date = c.event_date WHERE c.weekday IN (1, 7) "
+                   "GROUP BY c.weekday, e.event_type")
+
+
 _LATER = f"ts + INTERVAL {fx.SHIFT_DAYS} DAY"
 
 
@@ -195,6 +255,18 @@ def partition_coverage(spark: SparkSession, sf: str):
     return res.coverage().select("leaf_index", "event_date", "event_type", "status", "rows")
 
 
+# --------------------------------------------------------------- joins
+@register("join_range", BANDS_DUCK)
+def join_range(spark: SparkSession, sf: str):
+    # the same bands as in sql_range_bins, by the operator
+    res = run(spark, {"datasets": [flat(sf, "customer"), flat(sf, "supplier")],
+                      "query": "SELECT c_custkey, c_acctbal FROM customer"})
+    bands = res.sql("SELECT s_suppkey, s_acctbal AS lo, s_acctbal + CAST(33000 AS DOUBLE) / "
+                    "(SELECT COUNT(*) FROM supplier) AS hi FROM supplier")
+    return range_join(res.df, bands, "c_acctbal", "lo", "hi").groupBy("s_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("least"), F.max("c_custkey").alias("last_key"))
+
+
 # -------------------------------------------------------- registration
 # Events are pre-aggregated per (user, type) before the join: the shuffle
 # carries one row per pair instead of one per event, and a hot user is
@@ -374,8 +446,9 @@ _RESULT_SQL = ("SELECT event_date, event_type, COUNT(*) AS n, COUNT(DISTINCT use
                "FROM ev GROUP BY 1, 2 ORDER BY 1, 2")
 
 
-def _written(spark: SparkSession, sf: str, sql: str) -> str:
-    res = run(spark, {"datasets": [events_ds(spark, sf)], "query": sql})
+def _written(spark: SparkSession, sf: str, sql: str, datasets: list[dict] | None = None,
+             conf: dict[str, str] | None = None) -> str:
+    res = run(spark, {"datasets": datasets or [events_ds(spark, sf)], "query": sql, "sparkSessionConfig": conf or {}})
     return write_result(res.df, fx.results_dir(spark, sf), f"run-{uuid.uuid4()}")
 
 
@@ -391,6 +464,50 @@ def result_preview(spark: SparkSession, sf: str):
     return preview(spark, path, n=20)
 
 
+# Ranges of a sort differ in size, and a task's files hold at most so many rows.
+_UNEVEN_FILES = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxRecordsPerFile": "700"}
+_PRICED_SQL = "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
+_PRICED_ORACLE = ("SELECT o_orderkey, o_orderdate, o_totalprice, "
+                  "row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+
+
+def _priced(spark: SparkSession, sf: str) -> str:
+    return _written(spark, sf, _PRICED_SQL, [flat(sf, "orders")], _UNEVEN_FILES)
+
+
+@register("result_preview_sorted", f"{_PRICED_ORACLE} ORDER BY place LIMIT 1000")
+def result_preview_sorted(spark: SparkSession, sf: str):
+    # the first rows of the result's order, though its files are of unequal size
+    return preview(spark, _priced(spark, sf), n=1000, rank="place")
+
+
+@register("result_read_ranked", _PRICED_ORACLE)
+def result_read_ranked(spark: SparkSession, sf: str):
+    # the whole result, each row with its place in the written order
+    return read_ranked(spark, _priced(spark, sf), rank="place")
+
+
+_TYPES_SQL = ("SELECT event_id, parse_json(props) AS doc, ts - TIMESTAMP_NTZ'2024-01-01 00:00:00' AS since, "
+              "make_ym_interval(CAST(event_id % 5 AS INT), CAST(event_id % 12 AS INT)) AS span FROM events")
+
+
+@register("write_types",
+          "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, "
+          "'{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS doc, "
+          "CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) AS since_us, "
+          "CAST(event_id % 5 AS VARCHAR) || '-' || CAST(event_id % 12 AS VARCHAR) AS span FROM events")
+def write_types(spark: SparkSession, sf: str):
+    """Variant and interval columns, written and read back."""
+    path = _written(spark, sf, _TYPES_SQL, [flat(sf, "events")])
+    back = read_result(spark, path)
+    part = lambda unit, us: F.expr(f"CAST(extract({unit} FROM since) AS DECIMAL(20, 6)) * {us}")
+    since = (part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000)
+             + part("SECOND", 1_000_000))
+    return back.select("event_id", F.variant_get("doc", "$.k", "bigint").alias("k"), F.to_json("doc").alias("doc"),
+                       since.cast("bigint").alias("since_us"),
+                       F.regexp_extract(F.col("span").cast("string"), "'([0-9-]+)'", 1).alias("span"))
+
+
 @register("result_manifest", "SELECT TRUE AS has_files, TRUE AS has_bytes")
 def result_manifest(spark: SparkSession, sf: str):
     path = _written(spark, sf, _RESULT_SQL)
@@ -398,6 +515,19 @@ def result_manifest(spark: SparkSession, sf: str):
         (F.col("files") >= 1).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
+@register("run_session_conf",
+          "SELECT 'Asia/Tokyo' AS zone, CAST(floor((epoch(ts) - 32400) / 86400) AS BIGINT) AS utc_day, COUNT(*) AS n "
+          "FROM events GROUP BY 2")
+def run_session_conf(spark: SparkSession, sf: str):
+    """A run takes on the runtime confs of the caller's session: local times
+    are in its time zone."""
+    caller = spark.newSession()
+    caller.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    return run_sql(caller, [flat(sf, "events")],
+                   "SELECT current_timezone() AS zone, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / 86400) AS BIGINT) "
+                   "AS utc_day, COUNT(*) AS n FROM events GROUP BY 1, 2")
+
+
 @register("run_spec_json",
           "SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_acctbal > 1000 GROUP BY c_mktsegment")
 def run_spec_json(spark: SparkSession, sf: str):

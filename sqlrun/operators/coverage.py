@@ -9,8 +9,8 @@ repeated rows), so it can be filtered, joined or written like any result:
 * The requested side is generated inside Spark from ``range(n_leaves)`` by
   mixed-radix arithmetic over the listed values (later keys vary fastest), so
   the driver never materialises the product.
-* ``files``/``bytes`` come from a ``binaryFile`` listing of the same globs with
-  the content column pruned: no file body is read.
+* ``files``/``bytes`` come from the scan's file index, which lists the globs at
+  most once however often it is asked: no file body is read.
 * ``rows`` counts rows per leaf from the scan with only partition columns
   requested (Parquet answers this from footers).
 Both sides are aggregated to one row per leaf before the join, so the join is
@@ -24,7 +24,6 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.footers import list_files
 from ..sources.hive_paths import canonical_text, column_type, hive_escape
 
 if TYPE_CHECKING:
@@ -88,7 +87,7 @@ def coverage_frame(scan: "Scan", with_rows: bool = True) -> DataFrame:
     req = requested_leaves(scan).withColumn("dataset", F.lit(ds.name))
     dir_cols = [f"_dir_{k}" for k in keys]
 
-    files = list_files(spark, scan.globs, keys).drop("path")
+    files = scan.index().files.select("length", *[col(c) for c in dir_cols])
     for p in ds.partitions:  # booleans may be spelled True/False on storage
         if column_type(p).typeName() == "boolean":
             files = files.withColumn(f"_dir_{p.key}", F.lower(col(f"_dir_{p.key}")))

@@ -1,8 +1,9 @@
 """The run: datasets -> temp views -> view chain -> query -> result.
 
 Every run gets ``spark.newSession()``: its own temp views, SQL functions and
-runtime SQL confs, on the caller's cluster.  The caller's session is never
-changed, created or stopped.  Everything stays lazy until the caller acts on
+runtime SQL confs, on the caller's cluster.  It starts with the runtime confs
+that the caller has set (a session time zone, ANSI mode, credentials).  The
+caller's session is never changed, created or stopped.  Everything stays lazy until the caller acts on
 ``RunResult.df`` (or writes it), so Catalyst optimises the whole chain -
 dataset scans, views and query - as one plan.
 """
@@ -13,6 +14,7 @@ import logging
 import re
 import sys
 from dataclasses import dataclass, field
+from types import MappingProxyType
 from typing import Any, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,9 +113,18 @@ class RunResult:
         return write_result(self.df, prefix, run_id)
 
 
-def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
-    """Set runtime confs; a given map replaces the default profile (an empty
-    map means the defaults).
+def runtime_confs(caller: SparkSession, fresh: SparkSession) -> dict[str, str]:
+    """The confs that the caller's session has by now and a new one starts
+    without."""
+    has = fresh.conf.getAll
+    return {k: v for k, v in caller.conf.getAll.items() if has.get(k) != v}
+
+
+def apply_profile(session: SparkSession, conf: Mapping[str, str],
+                  inherited: Mapping[str, str] = MappingProxyType({})) -> list[str]:
+    """Set runtime confs: the default profile, over it what the caller's
+    session has set (`inherited`), over both the given map, which replaces the
+    default profile (an empty map means the defaults).
 
     * ``spark.hadoop.X`` is set as ``X`` on the run session: the session's
       file reads and writes build their Hadoop configuration from its confs,
@@ -123,7 +134,7 @@ def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
       (``spark.default.parallelism``) are skipped and returned, not silently
       half-applied."""
     skipped = []
-    for key, value in (conf or DEFAULT_PROFILE).items():
+    for key, value in {**({} if conf else DEFAULT_PROFILE), **inherited, **(conf or {})}.items():
         if key in _LAUNCH_ONLY:
             skipped.append(key)
             continue
@@ -133,8 +144,11 @@ def apply_profile(session: SparkSession, conf: Mapping[str, str]) -> list[str]:
         except Exception as exc:
             # Only a conf that is fixed at launch is passed over; an invalid value is an error.
             if "CANNOT_MODIFY" not in str(exc):
+                if key not in (conf or DEFAULT_PROFILE):
+                    continue  # the caller's own, no setting of the run
                 raise SpecError(f"session conf {key}={value!r}: {exc}") from exc
-            skipped.append(key)
+            if key in (conf or DEFAULT_PROFILE):
+                skipped.append(key)
     if skipped:
         log.warning("launch-time confs not applied to the run session: %s", skipped)
     return skipped
@@ -165,12 +179,13 @@ def most_cores(session: SparkSession) -> int | None:
     return int(executors) * int(cores) if executors and cores and executors.isdigit() else None
 
 
-def size_to_cluster(session: SparkSession, conf: Mapping[str, str]) -> None:
+def size_to_cluster(session: SparkSession, conf: Mapping[str, str],
+                    inherited: Mapping[str, str] = MappingProxyType({})) -> None:
     """Initial shuffle width by the most cores that the application can have,
     never under the cluster's own setting or over one that was chosen.  Folder
     listing keeps Spark's default on a cluster; in one local process, whose
     cores never change, a task lists a batch of folders instead of one."""
-    conf = conf or {}
+    conf = {**inherited, **(conf or {})}
     cores = most_cores(session)
     if cores is None:
         return
@@ -206,8 +221,9 @@ def run(spark: SparkSession, spec: RunSpec | Mapping[str, Any], *,
     except Exception:  # pragma: no cover - clients without newSession
         log.warning("newSession() unavailable: the run shares the caller's session")
         session = spark
-    skipped = apply_profile(session, spec.session_config)
-    size_to_cluster(session, spec.session_config)
+    inherited = runtime_confs(spark, session) if session is not spark else {}
+    skipped = apply_profile(session, spec.session_config, inherited)
+    size_to_cluster(session, spec.session_config, inherited)
 
     # Spec-level failures first: view files are read and every ${NAME} in
     # the views and the query is resolved before any dataset is listed.
@@ -279,6 +295,47 @@ def _sql(session: SparkSession, text: str, bound: Mapping[str, Any]) -> DataFram
     return session.sql(text)
 
 
+def launch(spec_path: str) -> tuple[SparkSession, RunSpec]:
+    """The session for a spec, and the spec.
+
+    Confs that are fixed at launch take effect if this call starts the
+    application.  A spec on the driver is read before that; one that only Spark
+    reaches (a Hadoop path) is read by a first session, which makes way for the
+    real one if the spec has launch confs that it lacks.  An application that
+    runs already, or whose driver lives on the cluster and ends with its
+    context, is left as it is: ``run`` reports the confs that it skips."""
+    builder = SparkSession.builder
+    if driver_file(spec_path):
+        spec = RunSpec.load(None, spec_path, require_output=True)
+        return _configured(builder, spec).getOrCreate(), spec
+    ours = SparkSession.getActiveSession() is None
+    first = builder.getOrCreate()
+    spec = RunSpec.load(first, spec_path, require_output=True)
+    lacking = launch_confs(first, spec.session_config)
+    if not lacking or not ours:
+        return first, spec
+    if first.sparkContext.getConf().get("spark.submit.deployMode", "client") == "cluster":
+        log.warning("the driver runs on the cluster: launch confs %s need spark-submit", sorted(lacking))
+        return first, spec
+    log.info("starting again with the spec's launch confs: %s", sorted(lacking))
+    first.stop()
+    return _configured(builder, spec).getOrCreate(), spec
+
+
+def _configured(builder: Any, spec: RunSpec) -> Any:
+    for key, value in spec.session_config.items():
+        builder = builder.config(key, value)
+    return builder
+
+
+def launch_confs(spark: SparkSession, conf: Mapping[str, str]) -> dict[str, str]:
+    """Those of `conf` that a running application can't take on and has
+    otherwise."""
+    have = spark.sparkContext.getConf()
+    return {k: v for k, v in conf.items() if k.startswith("spark.") and not k.startswith(_HADOOP_PREFIX)
+            and (k in _LAUNCH_ONLY or not spark.conf.isModifiable(k)) and have.get(k, None) != str(v)}
+
+
 def main(argv: list[str] | None = None) -> int:
     """``python -m sqlrun.plans.runner SPEC_PATH [RUN_ID] [--query SQL] [--preview N]``
 
@@ -300,14 +357,7 @@ def main(argv: list[str] | None = None) -> int:
     if not ns.spec_path.strip() or (ns.run_id is not None and not ns.run_id.strip()):
         print("spec path and run id must be non-empty", file=sys.stderr)
         return 1
-    # A spec on the driver is read before the session starts, so that confs
-    # fixed at launch take effect too.
-    builder = SparkSession.builder
-    if driver_file(ns.spec_path):
-        for key, value in RunSpec.load(None, ns.spec_path, require_output=True).session_config.items():
-            builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    spec = RunSpec.load(spark, ns.spec_path, require_output=True)
+    spark, spec = launch(ns.spec_path)
     result = run(spark, spec, query=ns.query)
     path = result.write(run_id=ns.run_id)
     print(path)

@@ -56,20 +56,31 @@ class DatasetSpec:
     # footer-based inference, which is the cheapest option at large scale.
     schema: str | None = None
     # "merge": superset of all file schemas (Spark's parallel footer merge);
+    # "leaf": superset of one file's schema for each leaf of a partition list;
     # "first": schema of one footer only (Spark's default).  Unset means
     # "merge" for a partition list (a union of leaves sees every leaf's
     # columns) and "first" for a plain path (one Spark read).
     schema_mode: str | None = None
+    # Partition lists: look at the last bytes of every file, so that leaves
+    # without a readable file are left out and damaged files named before the
+    # scan runs, in the modes that don't read every footer anyway.
+    check_files: bool = True
 
     @property
     def merge_schema(self) -> bool:
         mode = self.schema_mode or ("merge" if self.partitions else "first")
         return mode == "merge"
 
+    @property
+    def has_many_roots(self) -> bool:
+        """The base path of a partition list is a glob."""
+        return bool(self.partitions) and any(ch in self.path for ch in "*?[{")
+
     @staticmethod
     def from_dict(raw: Mapping[str, Any]) -> "DatasetSpec":
         """One dataset entry (``name``, ``path``, ``partitions``, optional
-        ``schema`` / ``schema_mode``), checked as in a run spec."""
+        ``schema`` / ``schema_mode`` / ``check_files``), checked as in a run
+        spec."""
         return _dataset(raw, 0)
 
     @property
@@ -243,19 +254,19 @@ def _dataset(d: Any, i: int) -> DatasetSpec:
     if not isinstance(parts_raw, (list, tuple)):
         raise SpecError(f"dataset '{name}': 'partitions' must be a list")
     parts = tuple(_partition(p, j, name) for j, p in enumerate(parts_raw))
-    if parts and any(ch in path for ch in "*?[{"):
-        # Spark cannot use a glob as the partition root (basePath); list each
-        # concrete root as its own dataset and UNION ALL them in a view.
-        raise SpecError(f"dataset '{name}': a partitioned dataset path cannot hold "
-                        f"glob characters ({path!r})")
     keys = [p.key.lower() for p in parts]
     if len(set(keys)) != len(keys):
         raise SpecError(f"dataset '{name}' lists a partition key twice")
     mode = d.get("schema_mode")
-    if mode not in (None, "merge", "first"):
-        raise SpecError(f"dataset '{name}': schema_mode must be 'merge' or 'first'")
+    if mode not in (None, "merge", "leaf", "first"):
+        raise SpecError(f"dataset '{name}': schema_mode must be 'merge', 'leaf' or 'first'")
+    if mode == "leaf" and not parts:
+        raise SpecError(f"dataset '{name}': schema_mode 'leaf' needs a partition list")
+    checked = d.get("check_files", True)
+    if not isinstance(checked, bool):
+        raise SpecError(f"dataset '{name}': check_files must be true or false")
     return DatasetSpec(name=name, path=path, partitions=parts,
-                       schema=d.get("schema"), schema_mode=mode)
+                       schema=d.get("schema"), schema_mode=mode, check_files=checked)
 
 
 def _partition(p: Any, j: int, ds: str) -> PartitionKey:

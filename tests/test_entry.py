@@ -32,3 +32,16 @@ def test_columns_are_named_and_unique(spark, name):
     assert len(cols) == len({c.lower() for c in cols})
     # every computed column carries an alias (no generated names such as count(1))
     assert not any("(" in c or " " in c for c in cols), cols
+
+
+def test_whatever_the_training_data_operators_miss_the_catalogue_stays(scratch):
+    """A package that they import can't be imported: the catalogue registers."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    script = ("import sys; sys.modules['pyarrow'] = None\n"
+              "import __spark_entry__ as e\nprint('GOT', len(e.queries()), len(e.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", script], env={**os.environ, "PYTHONPATH": root}, cwd=scratch,
+                         capture_output=True, text=True, timeout=120)
+    assert f"GOT {len(CATALOGUE)} {len(catalog.ORACLES)}" in out.stdout, out.stderr[-1500:]

@@ -216,7 +216,6 @@ def test_one_glob_per_first_level_value_feeds_one_scan(spark, events_base):
     ({"partitions": [{"key": "k", "values": [1]}, {"key": "K", "values": [2]}]}, "twice"),
     ({"name": "a-b"}, "identifier"),
     ({"path": "  "}, "empty path"),
-    ({"path": "/data/*/x", "partitions": [{"key": "k", "values": [1]}]}, "glob"),
 ])
 def test_spec_checks(bad, match):
     ds = {"name": "t", "path": "/x", **bad}
