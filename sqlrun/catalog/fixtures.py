@@ -42,7 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Changes with the names, sizes and times of the table's files."""
+    """Changes with the names, sizes and times of the table's files.  In one
+    local process the driver sees the files itself; else a small job does."""
+    path = f"{sf_dir}/{name}.parquet"
+    if spark.sparkContext.master.startswith("local[") and os.path.exists(path):
+        found = [path] if os.path.isfile(path) else [os.path.join(d, f) for d, _, own in os.walk(path) for f in own]
+        stats = sorted((f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in found)
+        return hashlib.sha1(str(stats).encode()).hexdigest()[:10]
     files = (spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet")
              .select("path", "length", "modificationTime"))
     row = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
@@ -50,6 +56,7 @@ def fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 _LOCKS: dict[str, threading.Lock] = {}
+_KNOWN_COMPLETE: set[str] = set()  # a path names its content, so complete once is complete
 _LOCKS_GUARD = threading.Lock()
 
 # Hidden (underscore) folders, which partition discovery skips: the distinct
@@ -71,9 +78,10 @@ def _ensure(spark: SparkSession, path: str, build: Callable[[str], None]) -> str
     with _LOCKS_GUARD:
         lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:
-        if not _exists(spark, f"{path}/{_COMPLETE}"):
+        if path not in _KNOWN_COMPLETE and not _exists(spark, f"{path}/{_COMPLETE}"):
             build(path)
             spark.range(0).write.mode("overwrite").parquet(f"{path}/{_COMPLETE}")
+        _KNOWN_COMPLETE.add(path)
     return path
 
 

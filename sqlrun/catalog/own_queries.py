@@ -283,7 +283,7 @@ def register_join(spark: SparkSession, sf: str):
 
 
 # ---------------------------------------------------------- parameters
-PARAMS = {"START_DATE": "2024-01-05", "END_DATE": "2024-01-25", "MIN_VALUE": 10}
+PARAMS = {"FROM_DAY": "2024-01-05", "TO_DAY": "2024-01-25", "MIN_VALUE": 10}
 _PARAM_ORACLE = (
     f"WITH {DUCK_EV} SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users "
     "FROM ev WHERE event_date >= '2024-01-05' AND event_date <= '2024-01-25' "
@@ -294,7 +294,7 @@ _PARAM_ORACLE = (
 def param_text(spark: SparkSession, sf: str):
     return run_sql(spark, [events_ds(spark, sf)],
                    "SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users FROM ev "
-                   "WHERE event_date >= '${START_DATE}' AND event_date <= '${END_DATE}' "
+                   "WHERE event_date >= '${FROM_DAY}' AND event_date <= '${TO_DAY}' "
                    "AND value >= ${MIN_VALUE} GROUP BY event_type", parameters=PARAMS)
 
 
@@ -395,32 +395,32 @@ def view_chain_table_function(spark: SparkSession, sf: str):
 
 # ------------------------------------------------------------- README
 TOP_USERS_SQL = """
-WITH per_user AS (
-  SELECT user_id, COUNT(*) AS event_count
+WITH counted AS (
+  SELECT user_id, COUNT(*) AS n_events
   FROM events
-  WHERE event_date >= '${START_DATE}' AND event_date <= '${END_DATE}'
+  WHERE event_date >= '${FROM_DAY}' AND event_date <= '${TO_DAY}'
   GROUP BY user_id
 )
-SELECT p.user_id, u.c_name AS username, p.event_count
-FROM per_user p
-JOIN users u ON p.user_id = u.c_custkey
-ORDER BY p.event_count DESC, p.user_id
-LIMIT ${LIMIT}
+SELECT p.user_id, u.c_name AS person, p.n_events
+FROM counted p
+JOIN people u ON p.user_id = u.c_custkey
+ORDER BY p.n_events DESC, p.user_id
+LIMIT ${TOP}
 """
-TOP_USERS_PARAMS = {"START_DATE": "2024-01-05", "END_DATE": "2024-01-25", "LIMIT": 100}
+TOP_USERS_PARAMS = {"FROM_DAY": "2024-01-05", "TO_DAY": "2024-01-25", "TOP": 100}
 
 
 def top_users_spec(spark: SparkSession, sf: str) -> dict:
-    return {"datasets": [events_ds(spark, sf, name="events"), flat(sf, "customer", "users")],
+    return {"datasets": [events_ds(spark, sf, name="events"), flat(sf, "customer", "people")],
             "query": TOP_USERS_SQL, "parameters": TOP_USERS_PARAMS}
 
 
 @register("readme_top_users",
-          f"WITH per_user AS (SELECT user_id, COUNT(*) AS event_count FROM events "
+          f"WITH counted AS (SELECT user_id, COUNT(*) AS n_events FROM events "
           f"WHERE {D} >= '2024-01-05' AND {D} <= '2024-01-25' GROUP BY user_id) "
-          "SELECT p.user_id, u.c_name AS username, p.event_count FROM per_user p "
+          "SELECT p.user_id, u.c_name AS person, p.n_events FROM counted p "
           "JOIN customer u ON p.user_id = u.c_custkey "
-          "ORDER BY p.event_count DESC, p.user_id LIMIT 100")
+          "ORDER BY p.n_events DESC, p.user_id LIMIT 100")
 def readme_top_users(spark: SparkSession, sf: str):
     return run(spark, top_users_spec(spark, sf)).df
 

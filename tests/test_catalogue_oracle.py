@@ -61,8 +61,8 @@ def test_rows_without_an_event_type_stay(spark, untyped, name):
 
 def test_entry_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["user_id", "username", "event_count"]
+    assert df.columns == ["user_id", "person", "n_events"]
     rows = df.collect()
     assert 0 < len(rows) <= 100
-    counts = [r.event_count for r in rows]
+    counts = [r.n_events for r in rows]
     assert counts == sorted(counts, reverse=True)
