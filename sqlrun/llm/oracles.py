@@ -72,7 +72,7 @@ SELECT d.doc_id, CASE WHEN d.k IS NULL THEN d.doc_id ELSE c.class_id END AS clas
 FROM keyed d LEFT JOIN rooted s ON d.k = s.k LEFT JOIN classes c ON s.root = c.root
 """
 
-# Limits as in line_quality: 50 documents, 1 % of the host's, 50 words, 0.3 of the words.
+# Limits as in line_quality: 3 documents, 1 % of the host's, 50 words, 0.3 of the words.
 LINE_QUALITY = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
@@ -92,7 +92,7 @@ dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM held GROUP BY r),
 hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
 often AS (
   SELECT h.source, h.x FROM held h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source
-  GROUP BY h.source, h.x, o.n HAVING count(DISTINCT r) > 50 AND count(DISTINCT r) > CAST(0.01 AS DOUBLE) * o.n),
+  GROUP BY h.source, h.x, o.n HAVING count(DISTINCT r) > 3 AND count(DISTINCT r) > CAST(0.01 AS DOUBLE) * o.n),
 gone AS (
   SELECT h.r, count(DISTINCT h.x) AS n, sum(len(string_split(h.x, ' '))) AS words
   FROM held h JOIN often o ON h.source IS NOT DISTINCT FROM o.source AND h.x = o.x GROUP BY h.r),
