@@ -23,7 +23,6 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pieces import PieceEncoder
+from .resident import resident
 
 # Fixed value: the pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,16 +143,18 @@ class RankArrayBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=4)
+def _load(path: str) -> tuple[RankArrayBPE, PieceEncoder]:
+    bpe = RankArrayBPE(path)
+    return bpe, PieceEncoder(bpe.encode_bytes, list(bpe.specials), "<i4",
+                             lambda words: [array("i", bpe.merge(w.encode())).tobytes() for w in words])
+
+
 def _bpe(path: str) -> RankArrayBPE:
-    return RankArrayBPE(path)
+    return resident(("bpe", path), lambda: _load(path))[0]
 
 
-@lru_cache(maxsize=4)
 def _encoder(path: str) -> PieceEncoder:
-    bpe = _bpe(path)
-    return PieceEncoder(bpe.encode_bytes, list(bpe.specials), "<i4",
-                        lambda words: [array("i", bpe.merge(w.encode())).tobytes() for w in words])
+    return resident(("bpe", path), lambda: _load(path))[1]
 
 
 def list_column(flat: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import materialise
 
 # The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -93,9 +93,7 @@ def chat_examples(turns: DataFrame, conversation: str = "conv_id", trainable: st
 def write_examples(examples: DataFrame) -> DataFrame:
     """Write examples to the shared folder and read them back; prefixes repeat,
     so they are packed by zstd."""
-    path = shared_path(examples.sparkSession, "chat-examples")
-    examples.write.option("compression", "zstd").parquet(path)
-    return examples.sparkSession.read.schema(examples.schema).parquet(path)
+    return materialise(examples, "chat-examples", "zstd")
 
 
 def example_turns(formatted: Column) -> Column:

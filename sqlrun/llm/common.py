@@ -24,12 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sqlrun-llm/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.  This cuts the
     lineage, so a lost executor costs one re-read, and fixes the values of
-    expressions that would differ between runs of a task."""
+    expressions that would differ between runs of a task.  Tables of whole
+    texts ask for a stronger `compression`."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -74,7 +74,7 @@ def copies_of_smaller(docs: DataFrame, hashes: DataFrame) -> DataFrame:
                            "audit-repeated")
     if repeated.count() <= BROADCAST_HASHES:
         repeated = F.broadcast(repeated)
-    rows = materialise(_with_id(docs).join(repeated, ["h1", "h2"]), "audit-copies")
+    rows = materialise(_with_id(docs).join(repeated, ["h1", "h2"]), "audit-copies", "zstd")
     salts = F.ceil(F.col("n") / COPIES_PER_SALT).cast("int")
     least = (rows.groupBy("h1", "h2", "text", salts.alias("salts")).agg(F.min("doc_id").alias("least"))
              .select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("text").alias("same"), "least",

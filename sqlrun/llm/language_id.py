@@ -1,16 +1,17 @@
 """Language ID by interpolated Kneser-Ney character models.
 
-Letters are lower-cased and mapped to 63 classes (a-z one each, all others by
-code point), runs of other characters to one boundary class; a character with
-the three before it is a 24-bit code.  Tasks count codes by language, Spark
-sums the counts over all training documents, and the sums, at most 2**24 for
-a language whatever the corpus, are written to the shared folder.  Each worker
-loads them as sorted arrays and derives from them, by language:
+Letters are lower-cased, runs of other characters become one boundary; a
+character with the three before it is one 64-bit code, 16 bits for each
+(letters beyond U+FFFF share the 6,400 codes of private use).  Tasks count codes
+by language, Spark sums the counts over all training documents, and the sums
+are written to the shared folder.  Each worker loads them as sorted arrays,
+finds codes in them by binary search, and derives by language:
 
     p(w|abc) = max(n(abcw) - D, 0) / n(abc.) + D N+(abc.) / n(abc.) p(w|bc)
 
 with D = n1 / (n1 + 2 n2), lower orders counting the distinct characters
-before a code instead of occurrences, and the uniform distribution under all.
+before a code instead of occurrences, and under all the uniform distribution
+over the characters that any language was seen with, and one more.
 A text's language is that of the lowest cross-entropy per character; ``score``
 is that language's posterior when at most ``CERTAIN_CHARS`` characters count
 as independent evidence.
@@ -42,10 +43,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, shared_path
+from .resident import resident
 
 ORDER = 4
-CLASS_BITS = 6
-CODE_SPACE = 1 << (ORDER * CLASS_BITS)
+CHAR_BITS = 16
+# The code points of private use, which are no letters.
+PRIVATE_USE, PRIVATE_USES = 0xE000, 6400
 CERTAIN_CHARS = 20
 LONG_CHARS = 400
 REJECT_SD = 8.0
@@ -57,42 +60,46 @@ BLOCK_CHARS = 1 << 20  # characters that are scored at once
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of each code point of the basic plane: 0 for no letter."""
-    table = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        if chr(c).isalpha():
-            table[c] = c - 96 if 97 <= c <= 122 else 27 + c % 37
-    return table
+def _letters() -> np.ndarray:
+    """Each code point of the basic plane, 0 for no letter."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(1 << CHAR_BITS)], np.uint16)
 
 
-def text_classes(text: str) -> np.ndarray:
-    """The classes of a text, runs of boundaries as one, one at each end."""
+def text_letters(text: str) -> np.ndarray:
+    """The letters of a text; runs of other characters as one 0, one at each end."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    table = _classes()
-    kinds = np.zeros(len(points) + 2, np.uint8)
-    kinds[1:-1] = table[np.minimum(points, 0xFFFF)]
+    letters = np.zeros(len(points) + 2, np.uint16)
+    letters[1:-1] = _letters()[np.minimum(points, 0xFFFF)]
     for k in np.flatnonzero(points > 0xFFFF):
-        kinds[k + 1] = 27 + int(points[k]) % 37 if chr(points[k]).isalpha() else 0
-    keep = np.ones(len(kinds), bool)
-    keep[1:] = (kinds[1:] > 0) | (kinds[:-1] > 0)
-    return kinds[keep]
+        letters[k + 1] = PRIVATE_USE + int(points[k]) % PRIVATE_USES if chr(points[k]).isalpha() else 0
+    keep = np.ones(len(letters), bool)
+    keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0)
+    return letters[keep]
 
 
 def text_codes(text: str) -> np.ndarray:
-    """The 24-bit codes of a text, one for each character after the first
-    boundary; empty if it has no letters."""
-    kinds = text_classes(text)
-    if not kinds.any():
-        return np.empty(0, np.int32)
-    padded = np.concatenate((np.zeros(ORDER - 2, np.uint8), kinds)).astype(np.int32)
+    """The codes of a text, one for each character after the first boundary;
+    empty if it has no letters."""
+    letters = text_letters(text)
+    if not letters.any():
+        return np.empty(0, np.uint64)
+    padded = np.concatenate((np.zeros(ORDER - 2, np.uint16), letters)).astype(np.uint64)
     n = len(padded) - ORDER + 1
-    codes = np.zeros(n, np.int32)
+    codes = np.zeros(n, np.uint64)
     for k in range(ORDER):
-        codes = (codes << CLASS_BITS) | padded[k:k + n]
+        codes = (codes << np.uint64(CHAR_BITS)) | padded[k:k + n]
     return codes
 
 
+def _context(codes: np.ndarray) -> np.ndarray:
+    return codes >> np.uint64(CHAR_BITS)
+
+
+def _last(codes: np.ndarray, order: int) -> np.ndarray:
+    """The last characters of each code."""
+    return codes & np.uint64((1 << CHAR_BITS * order) - 1)
+
+
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the values of equal keys; keys are sorted."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -103,17 +110,18 @@ class KneserNey:
     """One language's model: by order, sorted codes and contexts with what
     the formula needs of them."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.levels = []
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, characters: int):
+        """`characters`: how many there are, for the uniform distribution."""
+        self.levels, self.uniform = [], 1.0 / characters
         counts = counts.astype(np.float64)
         for order in range(ORDER, 0, -1):
             n1, n2 = (counts == 1).sum(), (counts == 2).sum()
             discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-            contexts, totals = _sums(codes >> CLASS_BITS, counts)
-            _, types = _sums(codes >> CLASS_BITS, np.minimum(counts, 1.0))
+            contexts, totals = _sums(_context(codes), counts)
+            _, types = _sums(_context(codes), np.minimum(counts, 1.0))
             self.levels.append((codes, np.maximum(counts - discount, 0), contexts, totals, discount * types / totals))
             if order > 1:
-                shorter = np.sort(codes & ((1 << CLASS_BITS * (order - 1)) - 1))
+                shorter = np.sort(_last(codes, order - 1))
                 codes, counts = _sums(shorter, np.ones(len(shorter)))
 
     @staticmethod
@@ -122,10 +130,10 @@ class KneserNey:
         return k, keys[k] == wanted
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 2.0 ** -CLASS_BITS)
+        p = np.full(len(codes), self.uniform)
         for order, (keys, mass, contexts, totals, back) in zip(range(1, ORDER + 1), reversed(self.levels)):
-            own = codes & ((1 << CLASS_BITS * order) - 1)
-            c, seen = self._at(contexts, own >> CLASS_BITS)
+            own = _last(codes, order)
+            c, seen = self._at(contexts, _context(own))
             k, known = self._at(keys, own)
             p = np.where(seen, np.where(known, mass[k], 0.0) / totals[c] + back[c] * p, p)
         return p
@@ -135,11 +143,12 @@ class LanguageModels:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         """`counts`: for each language, sorted codes and their counts."""
         self.langs = sorted(counts, key=lambda x: x.encode())
-        self.models = [KneserNey(*counts[x]) for x in self.langs]
-        known = np.unique(np.concatenate([counts[x][0] for x in self.langs])) if counts else np.empty(0, np.int64)
-        self.log_p = self._log(known).astype(np.float32)
-        self.row = np.full(CODE_SPACE, -1, np.int32)  # of a code in log_p
-        self.row[known] = np.arange(len(known))
+        self.known = np.unique(np.concatenate([c for c, _ in counts.values()] or [np.empty(0, np.uint64)]))
+        characters = len(np.unique(_last(self.known, 1))) + 1
+        self.models = [KneserNey(*counts[x], characters) for x in self.langs]
+        self.log_p = np.empty((len(self.known), len(self.langs)), np.float32)
+        for a in range(0, len(self.known), BLOCK_CHARS):
+            self.log_p[a:a + BLOCK_CHARS] = self._log(self.known[a:a + BLOCK_CHARS])
 
     def _log(self, codes: np.ndarray) -> np.ndarray:
         out = np.empty((len(codes), len(self.langs)))
@@ -148,12 +157,12 @@ class LanguageModels:
         return out
 
     def _sum(self, codes: np.ndarray) -> np.ndarray:
-        rows = self.row[codes]
-        new = rows < 0
+        rows = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        new = self.known[rows] != codes
         total = self.log_p[rows[~new]].sum(axis=0, dtype=np.float64)
         if new.any():  # seen in no language
             values, times = np.unique(codes[new], return_counts=True)
-            total = total + (self._log(values.astype(np.int64)) * times[:, None]).sum(axis=0)
+            total = total + (self._log(values) * times[:, None]).sum(axis=0)
         return total
 
     def entropies(self, text: str) -> tuple[int, np.ndarray]:
@@ -165,18 +174,21 @@ class LanguageModels:
         return len(codes), -total / len(codes)
 
 
-@lru_cache(maxsize=1)
 def _models(uri: str) -> LanguageModels:
+    return resident(("languages", uri), lambda: _load(uri))
+
+
+def _load(uri: str) -> LanguageModels:
     store, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
     table = pads.dataset(path, filesystem=store, format="parquet").to_table()
     langs = table.column("lang").combine_chunks().dictionary_encode()
-    own, codes = langs.indices.to_numpy(), table.column("code").to_numpy()
+    own, codes = langs.indices.to_numpy(), table.column("code").to_numpy().view(np.uint64)
     counts = table.column("n").to_numpy()
     found = {}
     for k, lang in enumerate(langs.dictionary.to_pylist()):
         mine = np.flatnonzero(own == k)
         mine = mine[np.argsort(codes[mine])]
-        found[lang] = (codes[mine].astype(np.int64), counts[mine])
+        found[lang] = (codes[mine], counts[mine])
     return LanguageModels(found)
 
 
@@ -208,11 +220,11 @@ def train_counts(labelled: DataFrame) -> str:
                 add(lang, rest)
         for lang, (codes, n) in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(codes), np.int8))),
-                                              pa.array(codes, pa.int32()), pa.array(n, pa.int64())],
+                                              pa.array(codes.view(np.int64)), pa.array(n, pa.int64())],
                                              ["lang", "code", "n"])
 
     uri = shared_path(labelled.sparkSession, "language-counts")
-    (labelled.select("text", "lang").mapInArrow(count, "lang string, code int, n long")
+    (labelled.select("text", "lang").mapInArrow(count, "lang string, code long, n long")
      .groupBy("lang", "code").agg(F.sum("n").alias("n")).write.parquet(uri))
     return uri
 
@@ -254,7 +266,7 @@ def identify(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     uri = train_counts(docs.filter(learn & ~calibrate).select(F.col(text).alias("text"), F.col(lang).alias("lang")))
     label = F.when(learn & calibrate, F.col(lang)).alias("__label")
     wanted = keep if text in keep else (*keep, text)
-    scored = materialise(predict(docs.select(*wanted, label), uri, text, (*keep, "__label")), "languages")
+    scored = materialise(predict(docs.select(*wanted, label), uri, text, (*keep, "__label")), "languages", "zstd")
     own = scored.filter(F.col("__label") == F.col("lang_pred"))
     # One aggregation: the mean m of e, and that of r^2 (e - m)^2 from its three parts.
     reach = F.sqrt(F.least(F.col("chars"), F.lit(LONG_CHARS)))
