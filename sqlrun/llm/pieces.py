@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 # Entries of each of a cache's two generations; longer keys are never kept.
 CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
-# Bytes of text whose pieces are numbered together.
+# Bytes of text whose pieces are numbered together, if nothing else is asked for:
+# the more, the fewer pieces come up again, and the more memory a slice takes.
 SLICE_BYTES = 4 << 20
 # Marks that are, as a run, a pre-token of their own after a letter and before a space.
 PLAIN_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -81,9 +82,10 @@ class PieceEncoder:
     (letters, with or without a space before them, or marks) at once."""
 
     def __init__(self, encode: Callable[[str], bytes], specials: list[str], dtype: str,
-                 encode_words: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+                 encode_words: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES,
+                 slice_bytes: int = SLICE_BYTES):
         self.whole, self.specials, self.dtype = encode, specials, np.dtype(dtype)
-        self.encode_words = encode_words
+        self.encode_words, self.slice_bytes = encode_words, slice_bytes
         self.pieces = TwoGenerations(encode)  # those that need the pattern
         self.words = TwoGenerations(encode, entries)
 
@@ -94,13 +96,20 @@ class PieceEncoder:
         new = list({w for own in parts if own for w in own if not knows(w)})
         fresh = dict(zip(new, self.encode_words(new))) if new else {}
 
-        def ids(word: str) -> bytes:
-            return fresh[word] if word in fresh else words[word]
-
-        out = [self.pieces[lead + p] if own is None else ids(own[0]) if len(own) == 1 else b"".join(map(ids, own))
-               for p, own in zip(pieces, parts)]
-        for word, found in fresh.items():
-            words.put(word, found)
+        found = fresh.get
+        out = []
+        for p, own in zip(pieces, parts):
+            if own is None:
+                out.append(self.pieces[lead + p])
+                continue
+            ids = found(own[0])
+            ids = words[own[0]] if ids is None else ids
+            for w in own[1:]:
+                more = found(w)
+                ids += words[w] if more is None else more
+            out.append(ids)
+        for word, ids in fresh.items():
+            words.put(word, ids)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -114,7 +123,7 @@ class PieceEncoder:
         a = 0
         while a < len(texts):
             base = sizes[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
+            b = max(a + 1, int(np.searchsorted(sizes, base + self.slice_bytes, "right")))
             yield self._slice(texts.slice(a, b - a))
             a = b
 

@@ -26,7 +26,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -40,10 +39,12 @@ from pyspark.sql import types as T
 from .bpe import list_column
 from .common import materialise, shared_path
 from .pieces import PieceEncoder
+from .resident import resident
 
 KEY = np.dtype([("null", "u1"), ("id", "<i8")])
 DOCS_PER_BATCH = 2_000
 WORDS_AT_ONCE = 20_000
+SLICE_BYTES = 16 << 20  # of text that is encoded together
 WORD_ENTRIES = 500_000  # in each generation of a worker's cache, under 250 bytes each
 
 MANIFEST = T.StructType([
@@ -74,8 +75,11 @@ def _mapped(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-@lru_cache(maxsize=4)
 def _library(path: str) -> tuple[PieceEncoder, str]:
+    return resident(("library", path), lambda: _load(path))
+
+
+def _load(path: str) -> tuple[PieceEncoder, str]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -115,7 +119,8 @@ def _library(path: str) -> tuple[PieceEncoder, str]:
             skip = len(put) * width
             yield from (data[x + skip:y] for x, y in zip(cuts, cuts[1:]))
 
-    return PieceEncoder(lambda text: ids_of(text).tobytes(), specials, dtype, encode_words, WORD_ENTRIES), dtype
+    return PieceEncoder(lambda text: ids_of(text).tobytes(), specials, dtype, encode_words, WORD_ENTRIES,
+                        SLICE_BYTES), dtype
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
