@@ -261,8 +261,9 @@ def join_range(spark: SparkSession, sf: str):
     # the same bands as in sql_range_bins, by the operator
     res = run(spark, {"datasets": [flat(sf, "customer"), flat(sf, "supplier")],
                       "query": "SELECT c_custkey, c_acctbal FROM customer"})
-    bands = res.sql("SELECT s_suppkey, s_acctbal AS lo, s_acctbal + CAST(33000 AS DOUBLE) / "
-                    "(SELECT COUNT(*) FROM supplier) AS hi FROM supplier")
+    suppliers = res.sql("SELECT COUNT(*) FROM supplier").first()[0]
+    bands = res.sql("SELECT s_suppkey, s_acctbal AS lo, s_acctbal + CAST(33000 AS DOUBLE) / :n AS hi FROM supplier",
+                    args={"n": suppliers})
     return range_join(res.df, bands, "c_acctbal", "lo", "hi").groupBy("s_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("least"), F.max("c_custkey").alias("last_key"))
 

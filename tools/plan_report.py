@@ -48,11 +48,13 @@ def main() -> None:
              .config("spark.sql.adaptive.enabled", "false")  # show the static plan
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__ as entry
+    from sqlrun import catalog
+
+    catalog.load_all()
 
     print("| Query | Scans | Plan operators |")
     print("|---|---|---|")
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(catalog.QUERIES.items()):
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         scans = len(re.findall(r"FileScan \w+", plan)) + plan.count("Scan ExistingRDD") \
