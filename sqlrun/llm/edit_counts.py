@@ -10,10 +10,10 @@ old one.  From that boundary on nothing can differ, as the pre-token pattern
 only looks ahead.  Only the pre-tokens in between are encoded; the sums above
 the touched leaves are updated.
 
-Trees are a table (``token_trees``): lengths and counts as little-endian
-32-bit integers beside the text, so later edits (``edit_trees``) start from
-them without encoding the text again.  Each document is one row and its edits
-are in it, so there is no shuffle.
+Trees are a table (``token_trees``, kept by ``write_trees``): lengths and counts
+as little-endian 32-bit integers beside the text, so later edits
+(``edit_trees``) start from them without encoding the text again.  Each document
+is one row and its edits are in it, so there is no shuffle.
 
 Edits are given in the coordinates of the text as it was, in any order; they
 must not overlap (two insertions at one place stand in the order given).
@@ -28,7 +28,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import PATTERN
+from .common import materialise
 from .pieces import TwoGenerations
+from .resident import resident
 
 LEAF = 64
 ROWS_AT_ONCE = 500
@@ -60,9 +61,8 @@ class Counter:
         self.words = regex.compile(PATTERN)
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return resident(("counter", path), lambda: Counter(path))
 
 
 class CountTree:
@@ -220,6 +220,12 @@ def token_trees(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
     return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields, *fields]))
 
 
+def write_trees(trees: DataFrame) -> DataFrame:
+    """Keep trees in the shared folder, and read them back; small integers of
+    four bytes are packed by zstd."""
+    return materialise(trees, "token-trees", "zstd")
+
+
 def edit_trees(trees: DataFrame, path: str, edits: Callable[[str], list[Edit]] | str,
                keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Apply edits to `trees`: those that a function finds in a text, or those
@@ -257,31 +263,6 @@ def edit_trees(trees: DataFrame, path: str, edits: Callable[[str], list[Edit]] |
     return chosen.mapInArrow(run, T.StructType(fields))
 
 
-def edited_counts(docs: DataFrame, path: str, edits: Callable[[str], list[Edit]], text: str = "text",
-                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Trees built, edited and counted in one pass, none of them stored: the
-    columns in `keep`, the new ``text``, and ``n_before``, ``n_tokens``,
-    ``n_edits`` and ``n_encoded`` as in ``edit_trees``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = counter(path)
-        for batch in _slices(batches):
-            rows = []
-            for t in batch.column(len(keep)):
-                tree = CountTree(t.as_py() or "", tokens)
-                before, tree.encoded, wanted = tree.n_tokens, 0, edits(tree.text)
-                tree.edit_all(wanted)
-                rows.append((tree.text if wanted else t.as_py(), before, tree.n_tokens, len(wanted), tree.encoded))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)],
-                                              *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
-
-    types = (pa.string(), *[pa.int64()] * 4)
-    chosen = docs.select(*keep, docs[text].cast("string").alias("text"))
-    fields = [*chosen.schema.fields, *(T.StructField(n, T.LongType())
-                                       for n in ("n_before", "n_tokens", "n_edits", "n_encoded"))]
-    names = [f.name for f in fields]
-    return chosen.mapInArrow(run, T.StructType(fields))
-
-
 _MAIL = re.compile(r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+")
 _DIGITS = re.compile(r"\d(?:[ -]?\d){6,}")
 
@@ -297,14 +278,14 @@ def redactions(text: str) -> list[Edit]:
             edits.append((at, min(len(text), at + len(line) + 1), ""))
         else:
             seen.add(line)
-            taken = at
-            if "@" in line:
-                for m in _MAIL.finditer(line):
-                    edits.append((at + m.start(), at + m.end(), "<mail>"))
-            spans = [(a, b) for a, b, _ in edits if a >= taken]
+            mails = [m.span() for m in _MAIL.finditer(line)] if "@" in line else []
+            edits += ((at + a, at + b, "<mail>") for a, b in mails)
+            k = 0  # mails before this one end before the number starts
             for m in _DIGITS.finditer(line):
-                a, b = at + m.start(), at + m.end()
-                if not any(a < y and x < b for x, y in spans):
-                    edits.append((a, b, "<number>"))
+                a, b = m.span()
+                while k < len(mails) and mails[k][1] <= a:
+                    k += 1
+                if k == len(mails) or b <= mails[k][0]:
+                    edits.append((at + a, at + b, "<number>"))
         at += len(line) + 1
     return edits

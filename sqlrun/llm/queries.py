@@ -12,7 +12,7 @@ from . import filter_audit, oracles, source_divergence
 from .bpe import encode_documents
 from .chat_format import END, START, chat_examples, read_examples, write_examples
 from .common import documents, materialise, word_count
-from .edit_counts import edited_counts, redactions
+from .edit_counts import edit_trees, redactions, token_trees, write_trees
 from .language_id import identify
 from .license_scan import BASE_NOTICES, scan_notices
 from .line_quality import line_quality
@@ -78,7 +78,8 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edited = edited_counts(documents(spark, sf_dir), tokenizer_path(BYTE_BPE_RANKS), redactions)
+    ranks = tokenizer_path(BYTE_BPE_RANKS)
+    edited = edit_trees(write_trees(token_trees(documents(spark, sf_dir), ranks)), ranks, redactions)
     return edited.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits",
                          F.col("n_tokens").alias("n_tokens_edited"), "n_encoded",
                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("edited_sha256"))
