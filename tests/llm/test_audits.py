@@ -140,6 +140,7 @@ def test_divergence_equals_brute_force(docs):
 def test_divergence_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(source_divergence, "BLOCK_ROWS", 40)
     monkeypatch.setattr(source_divergence, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(source_divergence, "PEERS_AT_ONCE", 2)
     rng = np.random.default_rng(5)
     vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in ("", "x", "Y", "é", "ж")]
     rows = [(" ".join(rng.choice(vocabulary, rng.integers(0, 30))), "xy"[k % 2], f"s{k % 9}") for k in range(200)]

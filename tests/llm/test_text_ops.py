@@ -6,16 +6,18 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pytest
 import regex
 
 from sqlrun.llm import queries as q
 from sqlrun.llm.edit_counts import CountTree, counter, edit_trees, redactions, token_trees
-from sqlrun.llm.language_id import identify
+from sqlrun.llm.language_id import KneserNey, LanguageModels, identify, text_codes, text_letters
 from sqlrun.llm.license_scan import BASE_NOTICES, EDIT_EVERY, MORE_NOTICES, scan_notices
 from sqlrun.llm.line_quality import line_quality, normal_line, without_lines
 
-from .conftest import SCHEMA, corpus
+from .conftest import SCHEMA, WORDS, corpus
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -257,3 +259,99 @@ def test_language_edge_cases(spark, docs, none, folder, empty_folder):
         SCHEMA)
     rejected = {r.doc_id for r in identify(foreign, F.col("doc_id") < 400).filter("rejected").collect()}
     assert rejected == {400}
+
+
+@pytest.mark.parametrize("size", [50, 500])
+def test_a_line_in_a_tenth_of_a_host_goes_at_every_size(spark, size):
+    """At the production limits: a share of the host's documents decides."""
+    rng = random.Random(size)
+    rows = []
+    for k in range(size):
+        own = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10 ** 6)}" for _ in range(80))
+        rows.append((k, "Subscribe to our newsletter today\n" * (k % 10 == 0) + own, "host"))
+    verdicts, frequent = line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc: r for r in verdicts.collect()}
+    assert frequent.count() == 1
+    assert all(r.lines_removed == (k % 10 == 0) and r.kept for k, r in got.items())
+
+
+def kneser_ney(texts, characters):
+    """p(w | context) by the definition, on tuples of characters."""
+    grams = [Counter() for _ in range(5)]
+    for t in texts:
+        own = [0, 0, *text_letters(t).tolist()]
+        grams[4].update(tuple(own[k:k + 4]) for k in range(len(own) - 3))
+    for n in (3, 2, 1):  # how many characters stand before
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / characters
+        counts = grams[n]
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones else 0.5
+        after = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return (max(counts[gram] - discount, 0) + discount * len(after) * p(gram[1:])) / sum(after)
+    return p, sorted(grams[4])
+
+
+def test_kneser_ney_by_definition():
+    texts = ["the cat sat on the mat", "a cat, a hat", "été à l'été", "\u4e00\u4e8c\u4e09 \u4e00\u4e8c", "x\U00020000y"]
+    p, seen = kneser_ney(texts, 40)
+    codes = np.concatenate([text_codes(t) for t in texts])
+    model = KneserNey(*np.unique(codes, return_counts=True), 40)
+    pack = lambda g: sum(c << 16 * (3 - k) for k, c in enumerate(g))
+    wanted = seen + [(0, 0, 0, ord("q")), (ord("t"), ord("h"), ord("e"), ord("z")), (ord("q"),) * 4,
+                     (ord("q"), ord("h"), ord("e"), 0)]
+    got = model.probability(np.array([pack(g) for g in wanted], np.uint64))
+    assert np.allclose(got, [p(g) for g in wanted], rtol=1e-12, atol=0)
+    # (probabilities of all that can follow add up to one)
+    letters = sorted({g[3] for g in seen})
+    total = model.probability(np.array([pack((ord("t"), ord("h"), ord("e"), c)) for c in letters], np.uint64)).sum()
+    assert abs(total + (40 - len(letters)) * p((ord("t"), ord("h"), ord("e"), 0xFFFF)) - 1) < 1e-12
+
+
+def test_languages_of_one_large_script_are_told_apart():
+    rng = random.Random(3)
+    scripts = {lang: [chr(0x4E00 + 37 * (2 * k + odd)) for k in range(200)] for lang, odd in (("a", 0), ("b", 1))}
+    write = lambda lang, n: "".join(rng.choice(scripts[lang]) for _ in range(n))
+    counts = {x: np.unique(np.concatenate([text_codes(write(x, 50)) for _ in range(60)]), return_counts=True)
+              for x in scripts}
+    models = LanguageModels(counts)
+    for lang in scripts:
+        for _ in range(20):
+            n, entropy = models.entropies(write(lang, 30))
+            assert n == 31 and models.langs[int(np.argmin(entropy))] == lang
+
+
+def test_redactions_by_definition_and_in_linear_time():
+    import time
+
+    def plain(text):
+        out, seen, at = [], set(), 0
+        for line in text.split("\n"):
+            if line.strip() and line in seen:
+                out.append((at, min(len(text), at + len(line) + 1), ""))
+            else:
+                seen.add(line)
+                mails = [(at + m.start(), at + m.end()) for m in re.finditer(r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+", line)]
+                out += [(a, b, "<mail>") for a, b in mails]
+                out += [(at + m.start(), at + m.end(), "<number>") for m in re.finditer(r"\d(?:[ -]?\d){6,}", line)
+                        if not any(at + m.start() < y and x < at + m.end() for x, y in mails)]
+            at += len(line) + 1
+        return out
+    rng = random.Random(4)
+    parts = ["a.b@c.org", "555 123 4567", "x1234567@y.de", "12345678@z.fr", "word", "0000000", " ", "\n", "\n\n"]
+    for _ in range(200):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert redactions(text) == plain(text)
+    took = []
+    for n in (8000, 16000):
+        text = "\n".join(f"line {k} a{k}@b.org 555 123 {k:07d}" for k in range(n))
+        start = time.process_time()
+        assert len(redactions(text)) == 2 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 2.5 * took[0] + 0.05
