@@ -2,7 +2,8 @@
 
 A text is lower-cased (A-Z) and reduced to its words with one space between
 them.  A notice of ``n`` characters may differ by ``k = n // EDIT_EVERY``
-edits; cut into ``k + 1`` pieces, at least one piece stands unchanged in
+edits (none for one shorter than ``EDIT_EVERY``: an edit turns "cc by nd", another
+licence, into "cc by nc"); cut into ``k + 1`` pieces, at least one piece stands unchanged in
 every match (pigeonhole).  One Aho-Corasick pass over the text finds all
 pieces of all notices; each hit gives the stretch in which the notice would
 lie.  Unchanged notices are read off the same hits, overlapping ones included.
