@@ -55,6 +55,7 @@ SLICE_BYTES = 1 << 20
 HELD_TERMS = 200_000       # entries that a counting task holds before it emits them
 BLOCK_ROWS = 100_000       # rows of a block, on average
 SCATTERED = 1 << 20        # products that are computed at once
+PEERS_AT_ONCE = 1000       # groups of a language that one task pairs with all others
 # Largest tables of languages and of groups that are broadcast (rows under 200 bytes,
 # but for names).
 BROADCAST_ROWS = 20_000
@@ -243,8 +244,13 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
     both = sums.unionByName(sums.select("lang", F.col("a").alias("b"), F.col("b").alias("a"), "value"))
     p, q = F.col("p0"), F.col("q0")
     baseline = F.coalesce(F.col("kept") * F.call_function("div", (p - q) * (p - q), p + q), zero)
-    # The result has a row for each two sources of a language: an equi join.
-    pairs = (own.join(peers, "lang").filter("a <> b").join(both, ["lang", "a", "b"], "left")
+    # The result has a row for each two sources of a language: an equi join, a
+    # language with many sources cut into as many keys as their number asks for.
+    parts = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / PEERS_AT_ONCE).cast("int").alias("parts"))
+    own = own.join(_small(parts), "lang").withColumn("part_of", F.pmod("a", "parts"))
+    peers = peers.join(_small(parts), "lang").withColumn(
+        "part_of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = (own.join(peers, ["lang", "part_of"]).filter("a <> b").join(both, ["lang", "a", "b"], "left")
              .select("lang", "source", F.lit("pair").alias("part"), "item",
                      (baseline + F.coalesce("value", zero)).alias("value")))
     p, q = F.col("p"), F.col("q")
