@@ -43,7 +43,7 @@ EV_VIEW = {"name": "ev", "sql": "CREATE TEMPORARY VIEW ev AS "
 def run_sql(spark: SparkSession, datasets: list[dict[str, Any]], query: str,
             **kw: Any) -> DataFrame:
     spec = {"datasets": datasets, "query": query}
-    for k in ("views", "parameters", "args"):
+    for k in ("views", "parameters", "args", "sparkSessionConfig"):
         if k in kw:
             spec[k] = kw.pop(k)
     return run(spark, spec, **kw).df

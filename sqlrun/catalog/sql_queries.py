@@ -418,13 +418,16 @@ _sql("sql_page_hosts",
      "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, COUNT(*) AS pages, "
      "CAST(SUM(length(html)) AS BIGINT) AS html_chars FROM pages GROUP BY 1", ("pages",))
 
-# Turn after turn of every conversation, each step adding to the one before.
+# Turn after turn of every conversation, each step adding to the one before; as
+# many steps as the longest has turns, so Spark's limits on both are lifted.
 _RECURSIVE = ("WITH RECURSIVE walk(conv_id, turn, steps, chars) AS ("
               "SELECT conv_id, turn, 1, CAST(length(text) AS BIGINT) FROM conversations WHERE turn = 0 "
               "UNION ALL SELECT c.conv_id, c.turn, w.steps + 1, w.chars + length(c.text) "
               "FROM walk w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1) "
               "SELECT conv_id, CAST(MAX(steps) AS INT) AS steps, MAX(chars) AS chars FROM walk GROUP BY conv_id")
-_sql("sql_recursive_cte", _RECURSIVE, _RECURSIVE, ("conversations",))
+_sql("sql_recursive_cte", _RECURSIVE, _RECURSIVE, ("conversations",),
+     extra=lambda spark, sf: {"sparkSessionConfig": {"spark.sql.cteRecursionLevelLimit": "-1",
+                                                     "spark.sql.cteRecursionRowLimit": "-1"}})
 
 # ------------------------------------------------- batch time windows
 _sql("sql_tumbling",
