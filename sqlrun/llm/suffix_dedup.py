@@ -321,7 +321,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
               .select("w1", "w2", "spans", "runs", "one", "copied"))
     # The texts that go on are shuffled once and written, one row of each.
     kept = materialise(texts.join(wanted, _same("w1", "w2") & (F.col("row") == F.col("one")))
-                       .select("t1", "t2", "bytes", "copied", "spans", "runs"), "suffix-kept-texts")
+                       .select("t1", "t2", "bytes", "copied", "spans", "runs"), "suffix-kept-texts", "zstd")
 
     later = []
     for k, grain in enumerate(GRAINS, 2):
