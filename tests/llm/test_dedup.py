@@ -9,7 +9,8 @@ import pytest
 
 from sqlrun.llm import queries as q
 from sqlrun.llm.ngram_join import jaccard_classes, one_of_each, runs_for, shingles
-from sqlrun.llm.suffix_dedup import without_repeats
+from sqlrun.llm import suffix_dedup
+from sqlrun.llm.suffix_dedup import text_key, without_repeats
 
 from .conftest import SCHEMA
 
@@ -99,6 +100,30 @@ def test_pipeline_cuts_passages_of_short_words(spark):
     assert all(r.n_chars == len(r.text) for r in cut)
 
 
+def test_only_texts_that_may_lose_bytes_are_shuffled(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(450))
+    rows = [(k, f"{k} " + "".join(rng.choice("abcdefgh ") for _ in range(600)) + (passage if k % 50 == 7 else ""))
+            for k in range(500)]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", *text_key("text"))
+    wanted = keyed.filter("doc_id % 50 = 7")
+    passed = {r.doc_id for r in suffix_dedup._sieved(keyed, suffix_dedup._sieve(wanted)).filter("maybe").collect()}
+    assert {k for k, _ in rows if k % 50 == 7} <= passed and len(passed) < 30
+    cut = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in plan and "Union" in plan
+    want = brute_repeats([t for _, t in rows], 400)
+    assert {r.doc_id: r.text for r in cut.collect()} == {k: w[4].decode() for (k, _), w in zip(rows, want)}
+
+
+def test_texts_that_share_a_bit_of_the_sieve(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SIEVE_SLOTS", 1)
+    rows = docs.select("row", "text").collect()
+    want = {r.row: None if r.text is None else w[4].decode("utf-8", "ignore")
+            for r, w in zip(rows, brute_repeats([r.text for r in rows], 60))}
+    assert {r.row: r.text for r in without_repeats(docs, length=60).collect()} == want
+
+
 def test_suffix_of_few_texts(spark, none):
     assert without_repeats(none).collect() == [] and without_repeats(none).columns == none.columns
     one = spark.createDataFrame([(1, "ab" * 500, "en", "a", 1000, "", 0, "")], SCHEMA)
