@@ -13,6 +13,7 @@ it, is encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,21 @@ class TwoGenerations(dict):
                 self.clear()
             self[key] = value
 
-    def knows(self, key) -> bool:
-        return key in self or key in self.old
+    def put_all(self, found: dict) -> None:
+        short = {k: v for k, v in found.items() if len(k) <= CACHE_CHARS}
+        if len(self) + len(short) <= self.entries:
+            self.update(short)
+        else:
+            for k, v in short.items():
+                self.put(k, v)
+
+    def known(self, keys: set) -> dict:
+        """Those of `keys` that are here; those of the old generation come back."""
+        found = {k: v for k in keys if (v := self.get(k)) is not None}
+        back = {k: v for k in keys.difference(found) if (v := self.old.get(k)) is not None}
+        self.put_all(back)
+        found |= back
+        return found
 
 
 def _line_atoms(lead: str, line: str) -> tuple[str, ...] | None:
@@ -62,6 +76,10 @@ def _line_atoms(lead: str, line: str) -> tuple[str, ...] | None:
     return (lead + word, line[len(word):]) if word.isalpha() else None
 
 
+# What a piece that texts can't be split before starts with; nothing is one, too.
+_ODD_STARTS = frozenset(["", *filter(str.isspace, map(chr, range(0x10000)))])
+
+
 def _atoms(lead: str, piece: str) -> tuple[str, ...] | None:
     """A piece as pre-tokens, or None if it needs the pattern.  A line end
     with other than white space on both sides is a pre-token of its own."""
@@ -91,26 +109,17 @@ class PieceEncoder:
 
     def _encode_pieces(self, lead: str, pieces: list[str]) -> list[bytes]:
         """The ids of pieces after `lead` (a space or nothing)."""
-        parts = [_atoms(lead, p) for p in pieces]
-        words, knows = self.words, self.words.knows
-        new = list({w for own in parts if own for w in own if not knows(w)})
-        fresh = dict(zip(new, self.encode_words(new))) if new else {}
-
-        found = fresh.get
-        out = []
-        for p, own in zip(pieces, parts):
-            if own is None:
-                out.append(self.pieces[lead + p])
-                continue
-            ids = found(own[0])
-            ids = words[own[0]] if ids is None else ids
-            for w in own[1:]:
-                more = found(w)
-                ids += words[w] if more is None else more
-            out.append(ids)
-        for word, ids in fresh.items():
-            words.put(word, ids)
-        return out
+        # A piece of letters is its one word.
+        parts = [lead + p if p.isalpha() else _atoms(lead, p) for p in pieces]
+        own = {x for x in parts if x.__class__ is str}
+        own.update(chain.from_iterable(x for x in parts if x.__class__ is tuple))
+        found = self.words.known(own)
+        if new := list(own.difference(found)):
+            fresh = dict(zip(new, self.encode_words(new)))
+            self.words.put_all(fresh)
+            found |= fresh
+        return [found[x] if x.__class__ is str else self.pieces[lead + p] if x is None
+                else b"".join([found[w] for w in x]) for p, x in zip(pieces, parts)]
 
     def encode(self, text: str) -> bytes:
         flat, _ = self._slice(pa.array([text], pa.string()))
@@ -134,7 +143,7 @@ class PieceEncoder:
         number = numbered.indices.to_numpy().astype(np.int64)
         distinct = numbered.dictionary.to_pylist()
         # Nothing, or white space, after a space: the text can't be split there.
-        odd = np.fromiter((not p or p[0].isspace() for p in distinct), bool, len(distinct))
+        odd = np.array([p[:1] in _ODD_STARTS for p in distinct], bool)
         ids = self._encode_pieces(" ", distinct)
 
         # Each text's first piece has no space before it and is an entry of its own.

@@ -219,3 +219,18 @@ def test_pipeline_runs_the_stages_in_order(spark, folder, docs, library):
 
 def test_pipeline_of_nothing(spark, empty_folder):
     assert cp.run(spark, empty_folder).collect() == []
+
+
+def test_words_that_a_worker_knows_are_not_encoded_again():
+    from sqlrun.llm.pieces import PieceEncoder
+    singly, together = [], []
+
+    def ids(word):
+        return bytes(len(word) * [ord(word[-1]) % 100])
+
+    encoder = PieceEncoder(lambda w: singly.append(w) or ids(w), [], "u1",
+                           lambda words: together.extend(words) or [ids(w) for w in words], entries=8)
+    text = " ".join("x" + c for c in "abcdefghijkl")
+    found = [next(encoder.encode_many(pa.array([text])))[0].tobytes() for _ in range(3)]
+    assert found == 3 * [b"".join(ids((" " if k else "") + w) for k, w in enumerate(text.split(" ")))]
+    assert not singly and len(together) == len(set(together)) == 13  # one of them without a space, too
