@@ -38,6 +38,30 @@ def test_suffix_query_is_exact(spark, docs, folder):
     assert sum(r[2] > 0 for r in want) > 20
 
 
+def test_planted_passages_go_from_400_bytes_on(spark, tmp_path):
+    """Passages of over 50 words in pairs of documents: the contract counts bytes, not words."""
+    rng = random.Random(9)
+    own = lambda k, n: " ".join(f"{k}w{j}" for j in range(n))
+    rows, passages = [], []
+    for k, (words, size) in enumerate([(51, 399), (51, 400), (60, 399), (60, 400), (90, 390), (90, 600)]):
+        long = [size // words - 1] * (words - 1)
+        passage = " ".join(f"{rng.randrange(10 ** n):0{n}}" for n in [*long, size - sum(long) - words + 1])
+        passages.append(passage)
+        # Nothing beside the passage is equal.
+        rows += [(2 * k, f"{own(f'a{k}', 70)}x{passage}u{own(f'c{k}', 20)}"),
+                 (2 * k + 1, f"{own(f'b{k}', 70)}y{passage}v{own(f'd{k}', 20)}")]
+    rows += [(100 + k, own(f"clean{k}", 90)) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in q.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [len(p) for p in passages] == [399, 400, 399, 400, 390, 600]
+    assert [(got[2 * k].n_removed, got[2 * k + 1].n_removed) for k in range(6)] == [
+        (0, 0), (400, 400), (0, 0), (400, 400), (0, 0), (600, 600)]
+    for k, text in rows:  # n_bytes is the input's length, whatever goes
+        assert got[k].n_bytes == len(text) and (k < 100 or got[k].n_removed == 0)
+        kept = text.replace(passages[k // 2], "") if k < 100 and got[k].n_removed else text
+        assert got[k].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("length", [32, 60, 150])
 def test_other_lengths(spark, docs, length):
     rows = docs.select("row", "text").collect()
